@@ -13,28 +13,26 @@ from listwright.fixed_values import (
     STREET_DIRECTIONS,
     STREET_TYPES,
 )
-
-
-def _lookup(words: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
+from listwright.functions.binding import once
+from listwright.functions.text import word_map
 
 
 def _last_translated(tokens: Column, words: dict[str, str]) -> Column:
     """Translation of the last token that ``words`` knows, as an array of none or one."""
     known = F.filter(tokens, lambda t: t.isin(list(words)))
-    return F.transform(F.slice(F.reverse(known), 1, 1), lambda t: _lookup(words)[t])
+    return F.transform(F.slice(F.reverse(known), 1, 1), lambda t: word_map(words)[t])
 
 
 def house_number(raw: Column) -> Column:
     """Leading number, NULL if there is none or it is longer than five digits."""
-    number = F.nullif(F.regexp_extract(raw, HOUSE_NUMBER, 1), F.lit(""))
-    return F.when(~raw.rlike(r"^\d{6}"), number)
+    number = F.regexp_extract(raw, rf"(?!\d{{6}})(?:{HOUSE_NUMBER})", 1)
+    return F.nullif(number, F.lit(""))
 
 
 def street_part(raw: Column) -> Column:
     rest = F.substring(raw, F.length(house_number(raw)) + F.lit(1), F.length(raw))
-    rest = F.ltrim(F.regexp_replace(rest, r"^[\s,]+", ""))
-    return F.lower(F.regexp_replace(F.substring_index(rest, ",", 1), r"[ \n]+$", ""))
+    street = F.substring_index(F.regexp_replace(rest, r"^[\s,]+", ""), ",", 1)
+    return F.lower(F.rtrim(street, F.lit(" \n")))
 
 
 def street_tokens(street: Column) -> Column:
@@ -42,7 +40,7 @@ def street_tokens(street: Column) -> Column:
 
 
 def expand_abbreviations(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: F.coalesce(_lookup(STREET_ABBREVIATIONS)[t], t))
+    return F.transform(tokens, lambda t: F.coalesce(word_map(STREET_ABBREVIATIONS)[t], t))
 
 
 def lift_type_and_direction(
@@ -53,12 +51,17 @@ def lift_type_and_direction(
     """Move the street type, then the direction, to the end in English; the last one wins."""
     directions = STREET_DIRECTIONS if directions is None else directions
     lifted = list(STREET_TYPES) + list(directions)
-    kept = F.filter(tokens, lambda t: ~t.isin(lifted))
-    kind = _last_translated(tokens, STREET_TYPES)
-    heading = _last_translated(tokens, directions)
-    if direction_needs_type:
-        heading = F.when(F.size(kind) > 0, heading).otherwise(F.array().cast("array<string>"))
-    return F.concat(kept, kind, heading)
+
+    def rebuilt(words: Column) -> Column:
+        kept = F.filter(words, lambda t: ~t.isin(lifted))
+        kind = _last_translated(words, STREET_TYPES)
+        heading = _last_translated(words, directions)
+        if direction_needs_type:
+            typed = F.exists(words, lambda t: t.isin(list(STREET_TYPES)))
+            heading = F.when(typed, heading).otherwise(F.array().cast("array<string>"))
+        return F.concat(kept, kind, heading)
+
+    return once(tokens, rebuilt)
 
 
 def _capitalise(word: Column) -> Column:

@@ -12,7 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from listwright.fixed_values import MAP_MARKER
-from listwright.functions.text import trim_blanks
+from listwright.functions.binding import once
+from listwright.functions.text import trim_blanks, word_map
 
 _NOT_SHOWN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 _CHARACTER_REFERENCE = r"&(?:#[xX][0-9a-fA-F]+|#[0-9]+|[A-Za-z][A-Za-z0-9]*);"
@@ -25,28 +26,23 @@ def shown_html(html: Column) -> Column:
 
 
 def _named_reference(piece: Column) -> Column:
-    names = F.create_map(
-        *[F.lit(x) for name, code in name2codepoint.items() for x in (f"&{name};", chr(code))]
-    )
+    names = word_map({f"&{name};": chr(code) for name, code in name2codepoint.items()})
     return F.coalesce(names[piece], piece)
 
 
 def _numbered_reference(piece: Column) -> Column:
     digits = F.regexp_extract(piece, r"^&#[xX]?([0-9a-fA-F]+);", 1)
-    base16 = F.upper(
-        F.when(piece.rlike("^&#[xX]"), digits).otherwise(F.conv(digits, 10, 16))
-    )
-    code = F.lpad(F.ltrim(base16, F.lit("0")), 8, "0")
-    valid = (code <= "0010FFFF") & ~code.between("0000D800", "0000DFFF")
-    return F.when(valid, F.decode(F.unhex(code), "UTF-32")).otherwise(piece)
+    base16 = F.when(piece.rlike("^&#[xX]"), F.upper(digits)).otherwise(F.conv(digits, 10, 16))
+
+    def character(code: Column) -> Column:
+        valid = (code <= "0010FFFF") & ~code.between("0000D800", "0000DFFF")
+        return F.when(valid, F.decode(F.unhex(code), "UTF-32")).otherwise(piece)
+
+    return once(F.lpad(F.ltrim(base16, F.lit("0")), 8, "0"), character)
 
 
 def decode_references(text: Column) -> Column:
     """Replace character references (&amp; &eacute; &#233; &#xE9;)."""
-    pieces = F.regexp_extract_all(
-        text, F.lit(rf"(?s){_CHARACTER_REFERENCE}|[^&]+|&"), F.lit(0)
-    )
-
     def decoded(piece: Column) -> Column:
         return (
             F.when(piece.rlike("^&#.*;$"), _numbered_reference(piece))
@@ -54,8 +50,14 @@ def decode_references(text: Column) -> Column:
             .otherwise(piece)
         )
 
-    whole = F.array_join(F.transform(pieces, decoded), "")
-    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
+    def whole(given: Column) -> Column:
+        pieces = F.regexp_extract_all(
+            given, F.lit(rf"(?s){_CHARACTER_REFERENCE}|[^&]+|&"), F.lit(0)
+        )
+        joined = F.array_join(F.transform(pieces, decoded), "")
+        return F.when(F.contains(given, F.lit("&")), joined).otherwise(given)
+
+    return once(text, whole)
 
 
 def inner_text(fragment: Column) -> Column:
@@ -75,16 +77,22 @@ def opening_tag(tag: str, attribute: str | None = None, value: str | None = None
     )
 
 
+def _matched(text: Column, pattern: str, group: int) -> Column:
+    """Group of the first match, NULL if nothing matches; the text is searched once."""
+    return once(
+        F.regexp_extract(text, pattern, 0),
+        lambda found: F.when(found != "", F.regexp_extract(found, pattern, group)),
+    )
+
+
 def first_element(html: Column, tag: str, attribute: str | None = None, value: str | None = None) -> Column:
     """Inner HTML of the first matching element, NULL if there is none."""
-    pattern = rf"(?is){opening_tag(tag, attribute, value)}(.*?)</{tag}\s*>"
-    return F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 1))
+    return _matched(html, rf"(?is){opening_tag(tag, attribute, value)}(.*?)</{tag}\s*>", 1)
 
 
 def last_element(html: Column, tag: str, attribute: str | None = None, value: str | None = None) -> Column:
     pattern = rf"(?is){opening_tag(tag, attribute, value)}(.*?)</{tag}\s*>"
-    found = F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
-    return F.get(found, F.size(found) - 1)
+    return F.get(F.reverse(F.regexp_extract_all(html, F.lit(pattern), F.lit(1))), F.lit(0))
 
 
 def first_element_text(html: Column, tag: str, attribute: str | None = None, value: str | None = None) -> Column:
@@ -138,18 +146,18 @@ def directory_address(html: Column) -> Column:
 
 def review_address(html: Column) -> Column:
     """Last address of a review page: its marked part if there is one, else all of it."""
-    block = last_element(html, "address")
-    street = F.regexp_extract(
-        block, rf"(?is){opening_tag('([a-z0-9]+)', 'itemprop', 'streetAddress')}(.*?)</\1\s*>", 2
+    marked = rf"(?is){opening_tag('([a-z0-9]+)', 'itemprop', 'streetAddress')}(.*?)</\1\s*>"
+    return once(
+        last_element(html, "address"),
+        lambda block: inner_text(F.coalesce(_matched(block, marked, 2), block)),
     )
-    return F.coalesce(inner_text(F.nullif(street, F.lit(""))), inner_text(block))
 
 
 def marker_cell(html: Column) -> Column:
     """Text of the table cell after the one that holds the map marker."""
     image = rf"""<img\b[^>]*\ssrc\s*=\s*["']{re.escape(MAP_MARKER)}["'][^>]*>"""
     pattern = rf"(?is){image}(?:(?!</td).)*</td\s*>\s*<td\b[^>]*>(.*?)</td\s*>"
-    return F.when(html.rlike(pattern), inner_text(F.regexp_extract(html, pattern, 1)))
+    return inner_text(_matched(html, pattern, 1))
 
 
 def result_links(html: Column) -> Column:

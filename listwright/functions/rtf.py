@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from listwright.fixed_values import PRINTED_ATTRIBUTES, RTF_BLOCK_END, RTF_LINE
+from listwright.functions.binding import once
 from listwright.functions.urls import display_url
 
 # Control characters, the three characters with a meaning in RTF, and all non-ASCII.
@@ -18,21 +19,26 @@ def _escaped_unit(unit: Column) -> Column:
 
 
 def _escaped_char(char: Column) -> Column:
-    code = F.ascii(char)
-    high = F.lit(0xD800) + F.shiftright(code - 0x10000, 10)
-    low = F.lit(0xDC00) + (code - 0x10000).bitwiseAND(F.lit(0x3FF))
-    return F.when(code < 0x10000, _escaped_unit(code)).otherwise(
-        F.concat(_escaped_unit(high), _escaped_unit(low))
-    )
+    def escaped(code: Column) -> Column:
+        high = F.lit(0xD800) + F.shiftright(code - 0x10000, 10)
+        low = F.lit(0xDC00) + (code - 0x10000).bitwiseAND(F.lit(0x3FF))
+        return F.when(code < 0x10000, _escaped_unit(code)).otherwise(
+            F.concat(_escaped_unit(high), _escaped_unit(low))
+        )
+
+    return once(F.ascii(char), escaped)
 
 
 def escape_text(text: Column) -> Column:
     """Special and non-ASCII characters as \\uN?, N a signed 16-bit number per UTF-16 unit."""
-    pieces = F.regexp_extract_all(text, F.lit(f"[{_SPECIAL}]|[^{_SPECIAL}]+"), F.lit(0))
-    escaped = F.transform(
-        pieces, lambda p: F.when(p.rlike(f"^[{_SPECIAL}]"), _escaped_char(p)).otherwise(p)
-    )
-    return F.when(text.rlike(f"[{_SPECIAL}]"), F.array_join(escaped, "")).otherwise(text)
+    def escaped(given: Column) -> Column:
+        pieces = F.regexp_extract_all(given, F.lit(f"[{_SPECIAL}]|[^{_SPECIAL}]+"), F.lit(0))
+        parts = F.transform(
+            pieces, lambda p: F.when(p.rlike(f"^[{_SPECIAL}]"), _escaped_char(p)).otherwise(p)
+        )
+        return F.when(given.rlike(f"[{_SPECIAL}]"), F.array_join(parts, "")).otherwise(given)
+
+    return once(text, escaped)
 
 
 def link_field(url: Column, label: Column) -> Column:

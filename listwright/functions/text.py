@@ -10,11 +10,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from listwright.fixed_values import CITY, LOOKUPS, SKIP_WORDS
+from listwright.functions.binding import once
 
 _BLANKS = " \t\n\r\f\x0b"
 LINE_BREAK = r"\r\n|\r|\n"
 
 
+def word_map(words: dict[str, str]) -> Column:
+    """Constant map column; one literal however long the dictionary."""
+    text = "\x1e".join(f"{key}\x1f{value}" for key, value in words.items())
+    return F.str_to_map(F.lit(text), F.lit("\x1e"), F.lit("\x1f"))
+
+
 def trim_blanks(text: Column) -> Column:
     return F.btrim(text, F.lit(_BLANKS))
 
@@ -56,19 +63,39 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
     return "".join(single_from), "".join(single_to), longer
 
 
+def _char_class(chars) -> str:
+    """Regular-expression class of the characters, runs as ranges."""
+    codes = sorted(ord(c) for c in chars)
+    runs: list[list[int]] = []
+    for code in codes:
+        if runs and code == runs[-1][1] + 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "".join(rf"\x{{{low:X}}}-\x{{{high:X}}}" for low, high in runs)
+
+
 def ascii_fold(text: Column) -> Column:
     """NFKD, then drop what is not ASCII."""
     source, target, longer = _fold_tables()
-    members = "[" + "".join(longer) + "]"
-    outside = "[^" + "".join(longer) + "]+"
-    expand = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
-    pieces = F.regexp_extract_all(text, F.lit(f"{members}|{outside}"), F.lit(0))
-    expanded = F.array_join(
-        F.transform(pieces, lambda p: F.when(p.rlike(f"^{members}"), expand[p]).otherwise(p)), ""
-    )
-    folded = F.translate(F.when(text.rlike(members), expanded).otherwise(text), source, target)
-    plain = F.regexp_replace(folded, r"[^\x00-\x7F]+", "")
-    return F.when(text.rlike(r"[^\x00-\x7F]"), plain).otherwise(text)
+    members = _char_class(longer)
+
+    def plain(folded: Column) -> Column:
+        return F.regexp_replace(folded, r"[^\x00-\x7F]+", "")
+
+    def expanded(folded: Column) -> Column:
+        expand = word_map(longer)
+        pieces = F.regexp_extract_all(folded, F.lit(f"[{members}]|[^{members}]+"), F.lit(0))
+        return F.array_join(
+            F.transform(pieces, lambda p: F.when(p.rlike(f"^[{members}]"), expand[p]).otherwise(p)), ""
+        )
+
+    def rest(folded: Column) -> Column:
+        # The class is costly to test, so it meets only what translation left over.
+        left_over = F.regexp_replace(folded, r"[\x00-\x7F]+", "")
+        return F.when(left_over.rlike(f"[{members}]"), plain(expanded(folded))).otherwise(plain(folded))
+
+    return once(F.translate(text, source, target), rest)
 
 
 def lookup_key(name: Column, kind: str = "search", city: str = CITY) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,18 +16,13 @@ def before(text: Column, mark: str) -> Column:
 
 def after(text: Column, mark: str) -> Column:
     """What follows the first ``mark``; '' where there is none."""
-    at = F.instr(text, mark)
-    return F.when(at > 0, F.substring(text, at + F.lit(len(mark)), F.length(text))).otherwise(
-        F.when(text.isNotNull(), F.lit(""))
-    )
+    return F.regexp_replace(text, rf"(?s)^(?:(?!{re.escape(mark)}).)*(?:{re.escape(mark)}|\z)", "")
 
 
 def percent_decode(text: Column) -> Column:
     """Decode %XX; '+' and malformed escapes stay as they are."""
-    protected = F.replace(
-        F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B")
-    )
-    return F.when(F.contains(text, F.lit("%")), F.try_url_decode(protected)).otherwise(text)
+    valid = F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.try_url_decode(F.replace(valid, F.lit("+"), F.lit("%2B")))
 
 
 def unwrap_redirect(href: Column) -> Column:
@@ -61,11 +58,9 @@ def is_root_url(url: Column) -> Column:
 
 def strip_www(url: Column) -> Column:
     """What follows 'www.'; without one, the link less its scheme."""
-    return F.when(F.contains(url, F.lit("www.")), after(url, "www.")).otherwise(
-        F.regexp_replace(url, "^[a-z]+://", "")
-    )
+    return F.regexp_replace(url, r"(?s)^(?:(?:(?!www\.).)*www\.|[a-z]+://)", "")
 
 
 def page_key(url: Column) -> Column:
     """Address of a page without fragment, query and closing slashes."""
-    return F.rtrim(before(before(url, "#"), "?"), "/")
+    return F.rtrim(before(before(url, "#"), "?"), F.lit("/"))

@@ -13,7 +13,7 @@ LISTINGS = _table(list_id=_S, line_no=_L, section=_S, search_name=_S)
 PAGES = _table(page_id=_L, source=_S, lookup_key=_S, url=_S, html=_S)
 PAGE_FACTS = _table(
     page_id=_L, source=_S, lookup_key=_S, url=_S, name=_S, phone=_S, address_raw=_S,
-    website=_S, profile=_S,
+    website=_S, link=_S,
     facebook=_S, yelp=_S, yellowpages=_S, urbanspoon=_S, twitter=_S,
 )
 ENRICHED = _table(
