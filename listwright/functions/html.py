@@ -35,7 +35,7 @@ def _numbered_reference(piece: Column) -> Column:
     base16 = F.when(piece.rlike("^&#[xX]"), F.upper(digits)).otherwise(F.conv(digits, 10, 16))
 
     def character(code: Column) -> Column:
-        valid = (code <= "0010FFFF") & ~code.between("0000D800", "0000DFFF")
+        valid = code.rlike("^00(?:00(?!D[89A-F])|0[1-9A-F]|10)[0-9A-F]{4}$")
         return F.when(valid, F.decode(F.unhex(code), "UTF-32")).otherwise(piece)
 
     return once(F.lpad(F.ltrim(base16, F.lit("0")), 8, "0"), character)

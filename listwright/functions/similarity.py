@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from listwright.functions.arrow import batched
 
@@ -141,3 +142,17 @@ def token_ratio(a: Column, b: Column) -> Column:
 def match_score(tokens_a: Column, tokens_b: Column) -> Column:
     """Similarity of two token arrays in [0, 1]; NULL if either is empty."""
     return batched(_match_score, "double")(tokens_a, tokens_b)
+
+
+def with_match_score(df: DataFrame, tokens_a: Column, tokens_b: Column, score: str) -> DataFrame:
+    """Add the match score of two token arrays given as expressions.
+
+    The arrays are set down as columns by a generator first: the optimizer fails to take a
+    Python function out of a projection when its arguments are deeply nested lambdas.
+    """
+    words = F.struct(tokens_a.alias("_words_a"), tokens_b.alias("_words_b"))
+    return (
+        df.select("*", F.inline(F.array(words)))
+        .withColumn(score, match_score(F.col("_words_a"), F.col("_words_b")))
+        .drop("_words_a", "_words_b")
+    )

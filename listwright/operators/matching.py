@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from listwright.fixed_values import ACCEPT_ABOVE, REVIEW_BELOW
 from listwright.functions.signatures import similarity_keys
-from listwright.functions.similarity import match_score, token_ratio
+from listwright.functions.similarity import match_score, token_ratio, with_match_score
 from listwright.functions.text import name_tokens
 from listwright.session import materialise
 
@@ -53,7 +53,7 @@ def distinct_names(df: DataFrame, name: str) -> DataFrame:
 
 def score_pairs(df: DataFrame, left: str, right: str, score: str = "score") -> DataFrame:
     """Score two name columns of one table, row by row."""
-    return df.withColumn(score, match_score(name_tokens(F.col(left)), name_tokens(F.col(right))))
+    return with_match_score(df, name_tokens(F.col(left)), name_tokens(F.col(right)), score)
 
 
 def needs_review(score: Column) -> Column:
@@ -113,20 +113,30 @@ def _meeting_words(
     )
 
 
+def both_word_counts(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Word counts of two name tables, written once."""
+    sides = word_counts(left).withColumn("side", F.lit("a")).unionByName(
+        word_counts(right).withColumn("side", F.lit("b"))
+    )
+    counts = materialise(sides, "words")
+    return tuple(counts.filter(F.col("side") == side).drop("side") for side in ("a", "b"))
+
+
 def match_candidates(
     left: DataFrame,
     right: DataFrame,
     threshold: float = ACCEPT_ABOVE,
     floor: float = PAIR_FLOOR,
     frequent: int = FREQUENT_PLACES,
+    counts: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """Distinct (key_a, key_b) that include every pair scoring above ``threshold``.
 
     ``left`` and ``right`` hold distinct ``name_key``. The joins run on words; a frequent
-    word's postings are split by AQE's skew handling.
+    word's postings are split by AQE's skew handling. ``counts``, if known already, may
+    cover more names than the tables hold.
     """
-    counts_a = materialise(word_counts(left), "words")
-    counts_b = materialise(word_counts(right), "words")
+    counts_a, counts_b = counts or both_word_counts(left, right)
     if counts_a.unionByName(counts_b).filter(F.col("places") > frequent).isEmpty():
         floor = threshold
     floor = min(floor, threshold)
@@ -155,10 +165,11 @@ def match_pairs(
     threshold: float = ACCEPT_ABOVE,
     floor: float = PAIR_FLOOR,
     frequent: int = FREQUENT_PLACES,
+    counts: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """Every (key_a, key_b, score) with score above ``threshold``."""
     return (
-        match_candidates(left, right, threshold, floor, frequent)
+        match_candidates(left, right, threshold, floor, frequent, counts)
         .withColumn("score", match_score(words_of(F.col("key_a")), words_of(F.col("key_b"))))
         .filter(F.col("score") > threshold)
     )
@@ -179,18 +190,20 @@ def _rarest_word(names: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
-def _contained(left: DataFrame, right: DataFrame) -> DataFrame:
+def _contained(
+    left: DataFrame, right: DataFrame, counts: tuple[DataFrame, DataFrame]
+) -> DataFrame:
     """(key_a, key_b) where all words of one name stand in the other: these score 1."""
     def inside(small: str, large: str) -> Column:
         return F.size(F.array_except(words_of(F.col(small)), words_of(F.col(large)))) == 0
 
     a_in_b = (
-        _rarest_word(left, word_counts(right)).withColumnRenamed("name_key", "key_a")
+        _rarest_word(left, counts[1]).withColumnRenamed("name_key", "key_a")
         .join(_postings(right).withColumnRenamed("name_key", "key_b"), "token")
         .filter(inside("key_a", "key_b"))
     )
     b_in_a = (
-        _rarest_word(right, word_counts(left)).withColumnRenamed("name_key", "key_b")
+        _rarest_word(right, counts[0]).withColumnRenamed("name_key", "key_b")
         .join(_postings(left).withColumnRenamed("name_key", "key_a"), "token")
         .filter(inside("key_b", "key_a"))
     )
@@ -230,20 +243,20 @@ def best_matches(
     )
     pages = materialise(pages, "page-names")
     keyed = with_name_key(listings, "search_name")
-    names = materialise(
-        keyed.select("name_key").filter("name_key is not null").distinct(), "list-names"
-    )
-
-    same = names.join(pages, "name_key").withColumn("score", F.lit(1.0))
-    rest = materialise(names.join(pages, "name_key", "left_anti"), "unsettled-names")
-    contained = materialise(
-        _best_of(_contained(rest, pages).distinct().withColumn("score", F.lit(1.0)), pages),
-        "contained-names",
-    )
-    rest = materialise(rest.join(contained, "name_key", "left_anti"), "unsettled-names")
     columns = ["name_key", "page_id", "page_name", "score"]
-    best = same.select(columns).unionByName(contained.select(columns))
+
+    def split_settled(names: DataFrame, settled: DataFrame, label: str):
+        """Settled rows and the names still open, from one written table."""
+        both = materialise(names.join(settled, "name_key", "left").select(columns), label)
+        return both.filter("score is not null"), both.filter("score is null").select("name_key")
+
+    names = keyed.select("name_key").filter("name_key is not null").distinct()
+    same, rest = split_settled(names, pages.withColumn("score", F.lit(1.0)), "same-names")
+    counts = both_word_counts(rest, pages.select("name_key"))
+    inside = _contained(rest, pages, counts).distinct().withColumn("score", F.lit(1.0))
+    contained, rest = split_settled(rest, _best_of(inside, pages), "contained-names")
+    best = same.unionByName(contained)
     if not rest.isEmpty():
-        fuzzy = _best_of(match_pairs(rest, pages.select("name_key"), threshold), pages)
-        best = best.unionByName(fuzzy.select(columns))
+        pairs = match_pairs(rest, pages.select("name_key"), threshold, counts=counts)
+        best = best.unionByName(_best_of(pairs, pages).select(columns))
     return keyed.join(best, "name_key", "left").drop("name_key")

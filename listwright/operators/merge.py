@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from listwright.fixed_values import ACCEPT_ABOVE, SITES
 from listwright.functions.addresses import standard_address
 from listwright.functions.phones import phone_format
-from listwright.functions.similarity import match_score
+from listwright.functions.similarity import with_match_score
 from listwright.functions.text import lookup_key, name_tokens
 from listwright.operators.matching import needs_review
 from listwright.sources.pages import look_up, spread_key
@@ -91,7 +91,7 @@ def with_review_page(rows: DataFrame, facts: DataFrame) -> DataFrame:
     url = F.coalesce("yelp", "q_link")
     asked = _ask(asked, reviews, "r_", url.isNotNull(), url)
     compare = F.when(unlinked, name_tokens(F.col("r_name")))
-    asked = asked.withColumn("_score", match_score(name_tokens(F.col("search_name")), compare))
+    asked = with_match_score(asked, name_tokens(F.col("search_name")), compare, "_score")
     trusted = ~unlinked | F.coalesce(F.col("_score") > ACCEPT_ABOVE, F.lit(False))
     told = asked.withColumn("_trusted", trusted).withColumns(
         {
@@ -134,11 +134,12 @@ def with_profile_page(rows: DataFrame, facts: DataFrame) -> DataFrame:
 
 def finish(rows: DataFrame) -> DataFrame:
     """Website fallback, phone format, score and flags."""
-    score = match_score(name_tokens(F.col("search_name")), name_tokens(F.col("found_name")))
+    scored = with_match_score(
+        rows, name_tokens(F.col("search_name")), name_tokens(F.col("found_name")), "score"
+    )
     return (
-        rows.withColumn("website", F.coalesce("website", "fallback_website"))
+        scored.withColumn("website", F.coalesce("website", "fallback_website"))
         .withColumn("phone", phone_format(F.col("phone")))
-        .withColumn("score", score)
         .select(
             "list_id",
             "line_no",

@@ -16,6 +16,7 @@ from listwright.plans.catalog.shared import (
 )
 from listwright.schemas import PAGES
 from listwright.session import materialise
+from listwright.sources.pages import spread
 
 
 def merge_precedence(spark, sf_dir):
@@ -141,7 +142,7 @@ def customer_pages(spark, sf_dir):
         page("directory", None, F.concat(F.lit("http://www.yellowpages.ca/"), key), directory),
         page("profile", lookup_key(F.concat("c_name", F.lit(" "), segment, F.lit(" Café")), "profile"), None, profile),
     )
-    return c.select(key.alias("page_id"), F.inline(each)).select(PAGES.names)
+    return spread(c.select(key.alias("page_id"), F.inline(each)).select(PAGES.names))
 
 
 def enrich_listings(spark, sf_dir):

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from listwright.fixed_values import ACCEPT_ABOVE
+from listwright.functions.binding import once
 from listwright.functions.similarity import token_ratio
 from listwright.functions.text import split_tokens
 from listwright.operators import matching as M
@@ -23,11 +24,14 @@ from listwright.sources.lists import lines_of_texts
 def indel_ratio(spark, sf_dir):
     """Ratio of every two words that follow each other somewhere in the conversations."""
     turns = table(spark, sf_dir, "conversations").withColumn("id", F.concat_ws("-", "conv_id", "turn"))
-    words = split_tokens(F.col("line"))
-    follow = F.transform(
-        F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda w, i: F.struct(w.alias("tok_a"), words[i + 1].alias("tok_b")),
-    )
+
+    def neighbours(words):
+        firsts = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
+        return F.transform(
+            firsts, lambda w, i: F.struct(w.alias("tok_a"), words[i + 1].alias("tok_b"))
+        )
+
+    follow = once(split_tokens(F.col("line")), neighbours)
     pairs = lines_of_texts(turns, "id", "text").select(F.inline(follow)).distinct()
     return pairs.withColumn("ratio", F.round(token_ratio(F.col("tok_a"), F.col("tok_b")), 6))
 

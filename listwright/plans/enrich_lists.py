@@ -10,7 +10,7 @@ from listwright.operators.merge import enrich
 from listwright.operators.report import document_rows, fill_rates, profile_list_rows, report_blocks
 from listwright.session import materialise
 from listwright.sources.lists import read_lists
-from listwright.sources.pages import read_pages
+from listwright.sources.pages import read_pages, spread
 from listwright.sources.reports import write_documents
 
 
@@ -19,7 +19,7 @@ def enrich_lists(spark: SparkSession, list_path: str, pages_path: str) -> DataFr
 
     The facts are written once: four lookups read them, the HTML is read a single time.
     """
-    facts = materialise(page_facts(read_pages(spark, pages_path)), "page-facts")
+    facts = materialise(page_facts(spread(read_pages(spark, pages_path))), "page-facts")
     return enrich(listings(read_lists(spark, list_path)), facts)
 
 

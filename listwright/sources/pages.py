@@ -12,6 +12,12 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PAGES).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small input out to all cores; an input of enough splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def one_per_key(pages: DataFrame, key: str, order: str = "page_id") -> DataFrame:
     """First page of every key. Each task keeps one row per key before the shuffle."""
     first = Window.partitionBy(key).orderBy(order)
