@@ -156,7 +156,7 @@ def review_address(html: Column) -> Column:
 def marker_cell(html: Column) -> Column:
     """Text of the table cell after the one that holds the map marker."""
     image = rf"""<img\b[^>]*\ssrc\s*=\s*["']{re.escape(MAP_MARKER)}["'][^>]*>"""
-    pattern = rf"(?is){image}(?:(?!</td).)*</td\s*>\s*<td\b[^>]*>(.*?)</td\s*>"
+    pattern = rf"(?is){image}(?>.*?</td\s*>)\s*<td\b[^>]*>(.*?)</td\s*>"
     return inner_text(_matched(html, pattern, 1))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from listwright.functions.arrow import batched
 
 _WORD = 64
+_MOST_CELLS = 2_000_000
 
 
 def _lcs_long(a: str, b: str) -> int:
@@ -87,10 +88,40 @@ def _number_words(parts) -> tuple[list[str], np.ndarray]:
 
 
 def name_scores(left: list[list[str]], right: list[list[str]]) -> np.ndarray:
-    """Score of each pair of token lists: the better of the two mean best ratios.
+    """Score of each pair of token lists: the better of the two mean best ratios; NaN where
+    a side is empty. Pairs go through in groups of bounded token-pair counts."""
+    cells = np.fromiter((len(a) * len(b) for a, b in zip(left, right)), np.int64, len(left))
+    scores = np.full(len(left), np.nan)
+    wide = cells > _MOST_CELLS
+    for k in np.flatnonzero(wide):
+        scores[k] = _wide_score(left[k], right[k])
+    narrow = np.flatnonzero(~wide)
+    group = np.cumsum(cells[narrow]) // _MOST_CELLS
+    for rows in np.split(narrow, np.flatnonzero(np.diff(group)) + 1):
+        scores[rows] = _group_scores([left[k] for k in rows], [right[k] for k in rows])
+    return scores
 
-    The ratio is computed once per distinct token pair of the batch; NaN where a side is empty.
-    """
+
+def _wide_score(left: list[str], right: list[str]) -> float:
+    """Score of two very long names, a block of left tokens at a time."""
+    words, codes = _number_words([left, right])
+    a, b = codes[: len(left)], codes[len(left):]
+    distinct_b, back = np.unique(b, return_inverse=True)
+    best_b = np.zeros(len(distinct_b))
+    total = 0.0
+    block = max(1, _MOST_CELLS // len(distinct_b))
+    for start in range(0, len(a), block):
+        part = a[start: start + block]
+        grid = pair_ratios(
+            words, np.repeat(part, len(distinct_b)), np.tile(distinct_b, len(part))
+        ).reshape(len(part), len(distinct_b))
+        total += grid.max(axis=1).sum()
+        best_b = np.maximum(best_b, grid.max(axis=0))
+    return max(total / len(a), best_b[back].mean())
+
+
+def _group_scores(left: list[list[str]], right: list[list[str]]) -> np.ndarray:
+    """Scores of a group of pairs; the ratio is computed once per distinct token pair."""
     n_left = np.fromiter((len(t) for t in left), np.int64, len(left))
     n_right = np.fromiter((len(t) for t in right), np.int64, len(right))
     cells = n_left * n_right

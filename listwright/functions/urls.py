@@ -16,7 +16,7 @@ def before(text: Column, mark: str) -> Column:
 
 def after(text: Column, mark: str) -> Column:
     """What follows the first ``mark``; '' where there is none."""
-    return F.regexp_replace(text, rf"(?s)^(?:(?!{re.escape(mark)}).)*(?:{re.escape(mark)}|\z)", "")
+    return F.regexp_replace(text, rf"(?s)^.*?(?:{re.escape(mark)}|\z)", "")
 
 
 def percent_decode(text: Column) -> Column:
@@ -58,7 +58,7 @@ def is_root_url(url: Column) -> Column:
 
 def strip_www(url: Column) -> Column:
     """What follows 'www.'; without one, the link less its scheme."""
-    return F.regexp_replace(url, r"(?s)^(?:(?:(?!www\.).)*www\.|[a-z]+://)", "")
+    return F.regexp_replace(url, r"(?s)^(?:.*?www\.|[a-z]+://)", "")
 
 
 def page_key(url: Column) -> Column:

@@ -9,6 +9,10 @@ aside some other word must have a partner with ratio above (t*n - h) / (n - h).
 name sets aside its most frequent words, as long as that bound stays above the floor of the
 word-pair table, and meets the other table through the rest. Where no word is frequent,
 nothing is set aside and the floor is the threshold itself.
+
+The set of *all* pairs over a low threshold can be quadratic by itself once a word is
+frequent. ``best_matches`` never builds it: names are settled from the highest score down,
+and the more names share a word, the more of them settle where few words must meet.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from listwright.session import materialise
 # the word-pair table then goes down to this floor. Both change the work, never the result.
 FREQUENT_PLACES = 10_000
 PAIR_FLOOR = 0.6
+# Scores at which best matches settle before the threshold, where words are frequent.
+HIGH_SCORES = (0.9, 0.8)
 _SLACK = 1e-9
 
 
@@ -95,6 +101,8 @@ def _meeting_words(
 ) -> DataFrame:
     """(name_key, token, need): words a name meets the other table through, and the ratio
     a partner must exceed. ``counts`` are the word counts of the other table."""
+    if floor >= threshold:
+        return _postings(names).withColumn("need", F.lit(threshold - _SLACK))
     share = (_fraction(threshold) - _fraction(floor)) / (1 - _fraction(floor))
     by_frequency = Window.partitionBy("name_key").orderBy(F.desc("places"), "token")
     n = F.size(words_of(F.col("name_key")))
@@ -122,26 +130,26 @@ def both_word_counts(left: DataFrame, right: DataFrame) -> tuple[DataFrame, Data
     return tuple(counts.filter(F.col("side") == side).drop("side") for side in ("a", "b"))
 
 
+def _any_frequent(counts: tuple[DataFrame, DataFrame], frequent: int) -> bool:
+    return not counts[0].unionByName(counts[1]).filter(F.col("places") > frequent).isEmpty()
+
+
 def match_candidates(
     left: DataFrame,
     right: DataFrame,
-    threshold: float = ACCEPT_ABOVE,
-    floor: float = PAIR_FLOOR,
-    frequent: int = FREQUENT_PLACES,
-    counts: tuple[DataFrame, DataFrame] | None = None,
+    threshold: float,
+    floor: float,
+    frequent: int,
+    counts: tuple[DataFrame, DataFrame],
+    pairs: DataFrame,
 ) -> DataFrame:
     """Distinct (key_a, key_b) that include every pair scoring above ``threshold``.
 
-    ``left`` and ``right`` hold distinct ``name_key``. The joins run on words; a frequent
-    word's postings are split by AQE's skew handling. ``counts``, if known already, may
-    cover more names than the tables hold.
+    ``left`` and ``right`` hold distinct ``name_key``; ``counts`` are their word counts and
+    ``pairs`` their word pairs above ``floor`` (both may cover more words). The joins run on
+    words; a frequent word's postings are split by AQE's skew handling.
     """
-    counts_a, counts_b = counts or both_word_counts(left, right)
-    if counts_a.unionByName(counts_b).filter(F.col("places") > frequent).isEmpty():
-        floor = threshold
-    floor = min(floor, threshold)
-    pairs = materialise(token_pairs(counts_a, counts_b, floor), "token-pairs")
-
+    counts_a, counts_b = counts
     meet_a = _meeting_words(left, counts_b, threshold, floor, frequent)
     from_a = (
         meet_a.join(pairs, (meet_a.token == pairs.tok_a) & (pairs.ratio > meet_a.need))
@@ -159,20 +167,24 @@ def match_candidates(
     return from_a.unionByName(from_b).distinct()
 
 
+def _scored(candidates: DataFrame, threshold: float) -> DataFrame:
+    score = match_score(words_of(F.col("key_a")), words_of(F.col("key_b")))
+    return candidates.withColumn("score", score).filter(F.col("score") > threshold)
+
+
 def match_pairs(
     left: DataFrame,
     right: DataFrame,
     threshold: float = ACCEPT_ABOVE,
     floor: float = PAIR_FLOOR,
     frequent: int = FREQUENT_PLACES,
-    counts: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """Every (key_a, key_b, score) with score above ``threshold``."""
-    return (
-        match_candidates(left, right, threshold, floor, frequent, counts)
-        .withColumn("score", match_score(words_of(F.col("key_a")), words_of(F.col("key_b"))))
-        .filter(F.col("score") > threshold)
-    )
+    counts = both_word_counts(left, right)
+    floor = min(floor, threshold) if _any_frequent(counts, frequent) else threshold
+    pairs = materialise(token_pairs(*counts, floor), "token-pairs")
+    found = match_candidates(left, right, threshold, floor, frequent, counts, pairs)
+    return _scored(found, threshold)
 
 
 def _rarest_word(names: DataFrame, counts: DataFrame) -> DataFrame:
@@ -221,10 +233,47 @@ def _best_of(pairs: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
+def _settle(names: DataFrame, settled: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """Settled rows and the names still open, from one written table."""
+    rows = names.join(settled, "name_key", "left").select("name_key", "page_id", "page_name", "score")
+    both = materialise(rows, label)
+    return both.filter("score is not null"), both.filter("score is null").select("name_key")
+
+
+def _fuzzy_best(
+    names: DataFrame,
+    pages: DataFrame,
+    counts: tuple[DataFrame, DataFrame],
+    threshold: float,
+    frequent: int,
+) -> DataFrame:
+    """Best page per name by the fuzzy join. A name settled at a high score is done: all
+    pairs above that score were found."""
+    keys = pages.select("name_key")
+    pairs = materialise(token_pairs(*counts, threshold), "token-pairs")
+
+    def best_above(rest, score, floor, counts, pairs):
+        found = match_candidates(rest, keys, score, floor, frequent, counts, pairs)
+        return _best_of(_scored(found, score), pages)
+
+    if not _any_frequent(counts, frequent):
+        return best_above(names, threshold, threshold, counts, pairs)
+    best, rest = None, names
+    for score in (s for s in HIGH_SCORES if s > threshold):
+        settled, rest = _settle(rest, best_above(rest, score, threshold, counts, pairs), "settled")
+        best = settled if best is None else best.unionByName(settled)
+    left = both_word_counts(rest, keys)
+    floor = min(PAIR_FLOOR, threshold)
+    pairs = materialise(token_pairs(*left, floor), "token-pairs")
+    last = best_above(rest, threshold, floor, left, pairs)
+    return last if best is None else best.unionByName(last.select(best.columns))
+
+
 def best_matches(
     listings: DataFrame,
     page_names: DataFrame,
     threshold: float = ACCEPT_ABOVE,
+    frequent: int = FREQUENT_PLACES,
 ) -> DataFrame:
     """Best page of every listing, or none if no page scores above ``threshold``.
 
@@ -233,7 +282,7 @@ def best_matches(
     same set of words, then to the lowest page.
 
     Most names are settled by an equi-join on the name key, the next by containment; only
-    the rest need the fuzzy join.
+    the rest need the fuzzy join, where words are frequent from high scores down.
     """
     pages = (
         with_name_key(page_names.select("page_id", "page_name"), "page_name")
@@ -245,18 +294,12 @@ def best_matches(
     keyed = with_name_key(listings, "search_name")
     columns = ["name_key", "page_id", "page_name", "score"]
 
-    def split_settled(names: DataFrame, settled: DataFrame, label: str):
-        """Settled rows and the names still open, from one written table."""
-        both = materialise(names.join(settled, "name_key", "left").select(columns), label)
-        return both.filter("score is not null"), both.filter("score is null").select("name_key")
-
     names = keyed.select("name_key").filter("name_key is not null").distinct()
-    same, rest = split_settled(names, pages.withColumn("score", F.lit(1.0)), "same-names")
+    same, rest = _settle(names, pages.withColumn("score", F.lit(1.0)), "same-names")
     counts = both_word_counts(rest, pages.select("name_key"))
     inside = _contained(rest, pages, counts).distinct().withColumn("score", F.lit(1.0))
-    contained, rest = split_settled(rest, _best_of(inside, pages), "contained-names")
+    contained, rest = _settle(rest, _best_of(inside, pages), "contained-names")
     best = same.unionByName(contained)
     if not rest.isEmpty():
-        pairs = match_pairs(rest, pages.select("name_key"), threshold, counts=counts)
-        best = best.unionByName(_best_of(pairs, pages).select(columns))
+        best = best.unionByName(_fuzzy_best(rest, pages, counts, threshold, frequent).select(columns))
     return keyed.join(best, "name_key", "left").drop("name_key")

@@ -56,9 +56,10 @@ def need_directory(spark, sf_dir):
 
 
 def need_profile(spark, sf_dir):
-    """Customers without an order get the first part of their number as profile."""
+    """Customers without a finished urgent order get the part of their number as profile."""
     customers = table(spark, sf_dir, "customer")
-    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").cast("string").alias("twitter"))
+    finished = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'")
+    orders = finished.groupBy("o_custkey").agg(F.max("o_orderkey").cast("string").alias("twitter"))
     rows = customers.join(orders, customers.c_custkey == orders.o_custkey, "left")
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("c_custkey"), F.col("p_name").alias("profile"))
     needy = rows.filter(G.need_profile()).select("c_custkey")
@@ -147,7 +148,7 @@ def customer_pages(spark, sf_dir):
 
 def enrich_listings(spark, sf_dir):
     """Lists through the whole merge against the made crawl."""
-    facts = materialise(X.page_facts(customer_pages(spark, sf_dir)), "page-facts")
+    facts = materialise(X.page_facts(customer_pages(spark, sf_dir)), "page-facts", "source")
     enriched = G.enrich(listings(list_lines(spark, sf_dir)), facts)
     return enriched.withColumn("score", F.round("score", 6))
 
@@ -203,7 +204,8 @@ QUERIES = {
     "need_profile": (
         need_profile,
         "SELECT c_custkey, p_name AS profile FROM customer LEFT JOIN part ON p_partkey = c_custkey"
-        " WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+        " WHERE c_custkey NOT IN (SELECT o_custkey FROM orders"
+        " WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')",
     ),
     "enrich_listings": (enrich_listings, ENRICH_SQL),
 }

@@ -19,7 +19,7 @@ def enrich_lists(spark: SparkSession, list_path: str, pages_path: str) -> DataFr
 
     The facts are written once: four lookups read them, the HTML is read a single time.
     """
-    facts = materialise(page_facts(spread(read_pages(spark, pages_path))), "page-facts")
+    facts = materialise(page_facts(spread(read_pages(spark, pages_path))), "page-facts", "source")
     return enrich(listings(read_lists(spark, list_path)), facts)
 
 

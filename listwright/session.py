@@ -45,14 +45,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder()
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """Write ``df`` once under the shared folder and read it back.
 
     Used where several branches would otherwise repeat a costly scan. Unlike cached
     blocks, the written table outlives the executors that made it, and its size is known
-    to the optimizer.
+    to the optimizer. With ``partition_by`` readers of one value skip the rest.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)

@@ -13,7 +13,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a small input out to all cores; an input of enough splits stays as it is."""
+    """Deal a small scan out to all cores; one of enough splits stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

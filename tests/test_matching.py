@@ -56,14 +56,15 @@ def test_pairs_equal_brute_force(spark, floor, frequent):
     assert got == pytest.approx(wanted, abs=1e-8)
 
 
-def test_best_match_equals_brute_force(spark):
+@pytest.mark.parametrize("frequent", [10_000, 10])
+def test_best_match_equals_brute_force(spark, frequent):
     listed, paged = names(120, 7), names(120, 8) + ["restaurant", "cafe union"]
     listings = spark.createDataFrame(
         [("l", i, n) for i, n in enumerate(listed + ["Le De", "cafe union", "UNION Café"])],
         "list_id string, line_no long, search_name string",
     )
     pages = spark.createDataFrame([(i, n) for i, n in enumerate(paged)], "page_id long, page_name string")
-    got = {r.line_no: (r.page_id, r.score) for r in M.best_matches(listings, pages).collect()}
+    got = {r.line_no: (r.page_id, r.score) for r in M.best_matches(listings, pages, frequent=frequent).collect()}
     assert len(got) == listings.count()
     assert got[120] == (None, None)
     for line, name in enumerate(listed + ["", "cafe union", "union cafe"]):

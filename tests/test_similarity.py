@@ -5,6 +5,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from listwright.functions import similarity
 from listwright.functions.signatures import token_keys
 from listwright.functions.similarity import name_scores, ratios
 
@@ -49,6 +50,17 @@ def test_score_is_right_symmetric_and_bounded(a, b):
     assert 0 <= score[0] <= 1
 
 
+def test_scores_do_not_depend_on_grouping(monkeypatch):
+    rng = random.Random(4)
+    left, right = (
+        [["".join(rng.choice("abc") for _ in range(3)) for _ in range(rng.randint(0, 6))] for _ in range(50)]
+        for _ in range(2)
+    )
+    whole = name_scores(left, right)
+    monkeypatch.setattr(similarity, "_MOST_CELLS", 7)
+    np.testing.assert_allclose(name_scores(left, right), whole)
+
+
 def test_empty_names_have_no_score():
     assert np.isnan(name_scores([[], ["a"]], [["a"], []])).all()
 

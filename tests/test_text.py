@@ -54,6 +54,13 @@ def test_redirects(spark):
     assert value(spark, "/r?url=http%3A%2F%2Fa.test%2F&src=1", U.unquote_redirect) == "http://a.test/"
 
 
+def test_very_long_links(spark):
+    long = "data:" + "x" * 200_000
+    assert value(spark, long, U.unwrap_redirect) == ""
+    assert value(spark, long + "=y", U.unwrap_redirect) == "y"
+    assert value(spark, long, U.strip_www) == long
+
+
 def test_hosts(spark):
     assert value(spark, "/url?q=http://www.yelp.com/biz", U.is_denied) is True
     assert value(spark, "/url?q=http://yelper.com/biz", U.is_denied) is False
