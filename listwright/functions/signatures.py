@@ -83,15 +83,16 @@ def _ordered_picks(token: str, q: int) -> list[tuple[str, int]]:
 
 def token_keys(token: str, floor: Fraction, left: bool) -> list[str]:
     length, band = len(token), _band(len(token))
-    picks: dict[int, list] = {}
+    whole: dict[int, set[str]] = {}
+    picks: dict[int, list[tuple[str, int]]] = {}
     keys: set[str] = set()
     for partner, m in _partner_bands(length, floor):
         q = _pick_size(band, partner, m)
         lengths = f"{band}.{partner}." if left else f"{partner}.{band}."
         if q == m:
-            if q not in picks:
-                picks[q] = sorted({"".join(c) for c in combinations(token, q)})
-            keys.update(lengths + p for p in picks[q])
+            if q not in whole:
+                whole[q] = {"".join(letters) for letters in combinations(token, q)}
+            keys.update(lengths + subsequence for subsequence in whole[q])
         else:
             if q not in picks:
                 picks[q] = _ordered_picks(token, q)

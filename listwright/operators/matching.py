@@ -28,11 +28,13 @@ from listwright.functions.similarity import match_score, token_ratio, with_match
 from listwright.functions.text import name_tokens
 from listwright.session import materialise
 
-# A word with more places than this in a table is set aside where the bound allows it, and
-# the word-pair table then goes down to this floor. Both change the work, never the result.
+# A word that leads to more places of the other table than this, or to a hundred times as
+# many pairs of places, is set aside where the bound allows it, and the word-pair table then
+# goes down to this floor. Both change the work, never the result.
 FREQUENT_PLACES = 10_000
 PAIR_FLOOR = 0.6
-# Scores at which best matches settle before the threshold, where words are frequent.
+# Scores at which best matches settle before the threshold, where words are frequent: the
+# first with the word pairs above the threshold, the second with those down to the floor.
 HIGH_SCORES = (0.9, 0.8)
 _SLACK = 1e-9
 
@@ -96,23 +98,54 @@ def token_pairs(left: DataFrame, right: DataFrame, floor: float = ACCEPT_ABOVE)
     )
 
 
+def _reach(
+    pairs: DataFrame, own: str, other: str, own_counts: DataFrame, other_counts: DataFrame
+) -> DataFrame:
+    """(token, places, own_places): how many places of the other table each word leads to
+    through all its partners. A misspelt frequent word leads to as many as the word itself."""
+    partners = other_counts.withColumnRenamed("token", other)
+    return (
+        pairs.join(partners, other)
+        .groupBy(F.col(own).alias("token"))
+        .agg(F.sum("places").alias("places"))
+        .join(own_counts.withColumnRenamed("places", "own_places"), "token")
+    )
+
+
+def _reaches(pairs: DataFrame, counts: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    return (
+        _reach(pairs, "tok_a", "tok_b", counts[0], counts[1]),
+        _reach(pairs, "tok_b", "tok_a", counts[1], counts[0]),
+    )
+
+
+def _is_frequent(frequent: int) -> Column:
+    places, own = F.col("places"), F.col("own_places")
+    return (places > frequent) | (places * own > 100 * frequent)
+
+
+def _any_frequent(pairs: DataFrame, counts: tuple[DataFrame, DataFrame], frequent: int) -> bool:
+    of_a, of_b = _reaches(pairs, counts)
+    return not of_a.unionByName(of_b).filter(_is_frequent(frequent)).isEmpty()
+
+
 def _meeting_words(
-    names: DataFrame, counts: DataFrame, threshold: float, floor: float, frequent: int
+    names: DataFrame, reach: DataFrame, threshold: float, floor: float, frequent: int
 ) -> DataFrame:
     """(name_key, token, need): words a name meets the other table through, and the ratio
-    a partner must exceed. ``counts`` are the word counts of the other table."""
+    a partner must exceed. ``reach`` says how many places each word leads to."""
     if floor >= threshold:
         return _postings(names).withColumn("need", F.lit(threshold - _SLACK))
     share = (_fraction(threshold) - _fraction(floor)) / (1 - _fraction(floor))
     by_frequency = Window.partitionBy("name_key").orderBy(F.desc("places"), "token")
     n = F.size(words_of(F.col("name_key")))
     most_aside = F.expr(f"size(split(name_key, ' ')) * {share.numerator} div {share.denominator}")
-    common = F.count_if(F.col("places") > frequent).over(Window.partitionBy("name_key"))
+    common = F.count_if(_is_frequent(frequent)).over(Window.partitionBy("name_key"))
     need = (F.lit(threshold) * F.col("n") - F.col("aside")) / (F.col("n") - F.col("aside"))
     return (
         _postings(names)
-        .join(counts, "token", "left")
-        .fillna(0, "places")
+        .join(reach, "token", "left")
+        .fillna(0, ["places", "own_places"])
         .withColumn("place", F.row_number().over(by_frequency))
         .withColumn("n", n)
         .withColumn("aside", F.least(most_aside, common))
@@ -130,10 +163,6 @@ def both_word_counts(left: DataFrame, right: DataFrame) -> tuple[DataFrame, Data
     return tuple(counts.filter(F.col("side") == side).drop("side") for side in ("a", "b"))
 
 
-def _any_frequent(counts: tuple[DataFrame, DataFrame], frequent: int) -> bool:
-    return not counts[0].unionByName(counts[1]).filter(F.col("places") > frequent).isEmpty()
-
-
 def match_candidates(
     left: DataFrame,
     right: DataFrame,
@@ -149,15 +178,15 @@ def match_candidates(
     ``pairs`` their word pairs above ``floor`` (both may cover more words). The joins run on
     words; a frequent word's postings are split by AQE's skew handling.
     """
-    counts_a, counts_b = counts
-    meet_a = _meeting_words(left, counts_b, threshold, floor, frequent)
+    reach_a, reach_b = _reaches(pairs, counts)
+    meet_a = _meeting_words(left, reach_a, threshold, floor, frequent)
     from_a = (
         meet_a.join(pairs, (meet_a.token == pairs.tok_a) & (pairs.ratio > meet_a.need))
         .select(F.col("name_key").alias("key_a"), F.col("tok_b").alias("token"))
         .join(_postings(right), "token")
         .select("key_a", F.col("name_key").alias("key_b"))
     )
-    meet_b = _meeting_words(right, counts_a, threshold, floor, frequent)
+    meet_b = _meeting_words(right, reach_b, threshold, floor, frequent)
     from_b = (
         meet_b.join(pairs, (meet_b.token == pairs.tok_b) & (pairs.ratio > meet_b.need))
         .select(F.col("name_key").alias("key_b"), F.col("tok_a").alias("token"))
@@ -181,8 +210,11 @@ def match_pairs(
 ) -> DataFrame:
     """Every (key_a, key_b, score) with score above ``threshold``."""
     counts = both_word_counts(left, right)
-    floor = min(floor, threshold) if _any_frequent(counts, frequent) else threshold
-    pairs = materialise(token_pairs(*counts, floor), "token-pairs")
+    pairs = materialise(token_pairs(*counts, threshold), "token-pairs")
+    if floor < threshold and _any_frequent(pairs, counts, frequent):
+        pairs = materialise(token_pairs(*counts, floor), "token-pairs")
+    else:
+        floor = threshold
     found = match_candidates(left, right, threshold, floor, frequent, counts, pairs)
     return _scored(found, threshold)
 
@@ -250,23 +282,21 @@ def _fuzzy_best(
     """Best page per name by the fuzzy join. A name settled at a high score is done: all
     pairs above that score were found."""
     keys = pages.select("name_key")
-    pairs = materialise(token_pairs(*counts, threshold), "token-pairs")
 
     def best_above(rest, score, floor, counts, pairs):
         found = match_candidates(rest, keys, score, floor, frequent, counts, pairs)
         return _best_of(_scored(found, score), pages)
 
-    if not _any_frequent(counts, frequent):
+    pairs = materialise(token_pairs(*counts, threshold), "token-pairs")
+    if not _any_frequent(pairs, counts, frequent):
         return best_above(names, threshold, threshold, counts, pairs)
-    best, rest = None, names
-    for score in (s for s in HIGH_SCORES if s > threshold):
-        settled, rest = _settle(rest, best_above(rest, score, threshold, counts, pairs), "settled")
-        best = settled if best is None else best.unionByName(settled)
-    left = both_word_counts(rest, keys)
-    floor = min(PAIR_FLOOR, threshold)
-    pairs = materialise(token_pairs(*left, floor), "token-pairs")
-    last = best_above(rest, threshold, floor, left, pairs)
-    return last if best is None else best.unionByName(last.select(best.columns))
+    highest, high = (max(score, threshold) for score in HIGH_SCORES)
+    first, rest = _settle(names, best_above(names, highest, threshold, counts, pairs), "settled")
+    counts, floor = both_word_counts(rest, keys), min(PAIR_FLOOR, threshold)
+    pairs = materialise(token_pairs(*counts, floor), "token-pairs")
+    second, rest = _settle(rest, best_above(rest, high, floor, counts, pairs), "settled")
+    last = best_above(rest, threshold, floor, counts, pairs)
+    return first.unionByName(second).unionByName(last.select(first.columns))
 
 
 def best_matches(

@@ -2,6 +2,7 @@ import random
 from fractions import Fraction
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -82,5 +83,26 @@ def test_similar_tokens_share_a_key(a, data, floor):
         assert set(token_keys(a, bound, True)) & set(token_keys(b, bound, False))
 
 
+@pytest.mark.parametrize("floor", ["0.5", "0.6", "0.75"])
+def test_all_lengths_meet(floor):
+    """Tokens of every two lengths built around a common part just over the floor."""
+    rng, bound = random.Random(9), Fraction(floor)
+    for la in range(1, 30):
+        for lb in range(1, 30):
+            common = int(bound * (la + lb) / 2) + 1
+            if common > min(la, lb):
+                continue
+            core = [rng.choice("abcdefgh") for _ in range(common)]
+            pair = []
+            for length in (la, lb):
+                token = core[:]
+                while len(token) < length:
+                    token.insert(rng.randint(0, len(token)), rng.choice("stuvwxyz"))
+                pair.append("".join(token))
+            a, b = pair
+            assert plain_ratio(a, b) > bound
+            assert set(token_keys(a, bound, True)) & set(token_keys(b, bound, False)), (a, b)
+
+
 def test_long_tokens_get_few_keys():
     assert len(token_keys("x1" * 5000, Fraction("0.75"), True)) < 100_000
