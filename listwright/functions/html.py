@@ -16,7 +16,7 @@ from listwright.functions.binding import once
 from listwright.functions.text import trim_blanks, word_map
 
 _NOT_SHOWN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-_CHARACTER_REFERENCE = r"&(?:#[xX][0-9a-fA-F]+|#[0-9]+|[A-Za-z][A-Za-z0-9]*);"
+_CHARACTER_REFERENCE = r"&(?:#[xX]0*[0-9a-fA-F]{1,6}|#0*[0-9]{1,7}|[A-Za-z][A-Za-z0-9]*);"
 _VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
@@ -45,8 +45,8 @@ def decode_references(text: Column) -> Column:
     """Replace character references (&amp; &eacute; &#233; &#xE9;)."""
     def decoded(piece: Column) -> Column:
         return (
-            F.when(piece.rlike("^&#.*;$"), _numbered_reference(piece))
-            .when(piece.rlike("^&[A-Za-z]"), _named_reference(piece))
+            F.when(piece.rlike("^&#.+;$"), _numbered_reference(piece))
+            .when(piece.rlike("^&[A-Za-z].*;$"), _named_reference(piece))
             .otherwise(piece)
         )
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from listwright.functions import rtf as R
 from listwright.operators import report as D
 from listwright.operators.matching import needs_review
-from listwright.plans.catalog.shared import table
+from listwright.plans.catalog.shared import documents, table
 
 
 def enriched_customers(spark, sf_dir):
@@ -94,7 +94,7 @@ def link_markup(spark, sf_dir):
 
 
 def escape_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", R.escape_text(F.col("text")).alias("escaped"))
+    return documents(spark, sf_dir).select("doc_id", R.escape_text(F.col("text")).alias("escaped"))
 
 
 _ESCAPE_SQL = r"""

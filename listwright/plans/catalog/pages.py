@@ -8,7 +8,7 @@ from listwright.functions import urls as U
 from listwright.operators import facts as X
 from listwright.plans.catalog.shared import SHOWN_SQL, element_sql, page_texts, table, text_sql
 from listwright.plans.catalog.streets import SUPPLIER_ADDRESSES_SQL, supplier_addresses
-from listwright.sources.pages import look_up
+from listwright.sources.pages import look_up, spread
 
 
 def page_snapshot(spark, sf_dir):
@@ -34,7 +34,7 @@ def first_element_text(spark, sf_dir):
 def last_element_text(spark, sf_dir):
     """Last paragraph of every article, the shape of the address lookup."""
     last = H.inner_text(H.last_element(H.first_element(H.shown_html(F.col("html")), "article"), "p"))
-    return table(spark, sf_dir, "pages").select("page_id", last.alias("text"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", last.alias("text"))
 
 
 _ARTICLE_SQL = f"regexp_extract({SHOWN_SQL}, '(?s)<article>(.*?)</article>', 1)"

@@ -9,6 +9,7 @@ from listwright.plans.catalog.shared import (
     BLANKS_SQL,
     LIST_LINES_SQL,
     SHOWN_SQL,
+    documents,
     element_sql,
     fold_sql,
     joined_words,
@@ -22,7 +23,7 @@ from listwright.sources.lists import lines_of_texts
 
 
 def read_lists(spark, sf_dir):
-    return lines_of_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return lines_of_texts(documents(spark, sf_dir), "doc_id", "text")
 
 
 def _lines_sql(source, list_id):
@@ -78,7 +79,7 @@ SELECT list_id, line_no, section, search_name FROM filled WHERE search_name NOT
 
 
 def ascii_fold(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.ascii_fold(F.col("text")).alias("folded"))
+    return documents(spark, sf_dir).select("doc_id", X.ascii_fold(F.col("text")).alias("folded"))
 
 
 def lookup_key(spark, sf_dir):

@@ -97,6 +97,19 @@ def test_review_page_without_marked_address(spark):
     assert df.select(H.review_address(F.col("h"))).first()[0] == "12 Rue B"
 
 
+def test_character_references(spark):
+    cases = {
+        "a &amp; b&eacute;&#233;&#xE9;&#128512;": "a & bééé😀",
+        "&bogus; & x &; &#;": "&bogus; & x &; &#;",
+        "&#99999999999999999999; &#xFFFFFFFFFFFF;": "&#99999999999999999999; &#xFFFFFFFFFFFF;",
+        "&#55296; &#1114112; &#0000000065;": "&#55296; &#1114112; A",
+        "plain": "plain",
+    }
+    df = spark.createDataFrame([(c,) for c in cases], "s string")
+    got = {r.s: r.x for r in df.select("s", H.decode_references(F.col("s")).alias("x")).collect()}
+    assert got == cases
+
+
 def test_anchors(spark):
     html = "<!-- <a href='no'>n</a> --><A HREF=/x?a=1&amp;b=2 class='c'><i>T</i></A><a name='n'>no</a><a href=\"it's\">y</a>"
     df = spark.createDataFrame([(1, html)], "page_id long, html string")
