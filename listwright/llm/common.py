@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -106,3 +107,49 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
 def words_of(body: bytes) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+``: bytes.split() splits at just these characters."""
     return body.split()
+
+
+_PARTS = pa.schema([("part", pa.int32()), ("bits", pa.binary())])
+_PARTS_SQL = "part int, bits binary"
+
+
+_BITS, _BIT_PARTS = 24, 16
+
+
+def _bit_cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(64 - _BITS)).astype(np.int64)
+
+
+def _bits_of_task(batches) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(1 << _BITS, bool)
+    for batch in batches:
+        bits[_bit_cells(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))] = True
+    if bits.any():
+        for part, some in enumerate(np.split(np.packbits(bits), _BIT_PARTS)):
+            yield record_batch(_PARTS, [part], [zlib.compress(some.tobytes(), 1)])
+
+
+def _bits_united(batches) -> Iterator[pa.RecordBatch]:
+    whole: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, bits in zip(column(batch, "part"), column(batch, "bits")):
+            some = np.frombuffer(zlib.decompress(bits), np.uint8)
+            whole[part] = whole[part] | some if part in whole else some
+    for part, some in whole.items():
+        yield record_batch(_PARTS, [part], [zlib.compress(some.tobytes(), 1)])
+
+
+def bitmap(hashes: DataFrame) -> bytes:
+    """Which of a fixed number of cells the 64-bit hashes of a column of longs fall to: two megabytes, packed, whatever the
+    column's size. It is made by tasks and united by parts."""
+    parts = in_arrow(hashes, _bits_of_task, _PARTS_SQL).repartition(_BIT_PARTS, "part")
+    whole = np.zeros((_BIT_PARTS, (1 << _BITS) // 8 // _BIT_PARTS), np.uint8)
+    for row in in_arrow(parts, _bits_united, _PARTS_SQL).collect():
+        whole[row["part"]] |= np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
+    return zlib.compress(whole.tobytes(), 1)
+
+
+def in_bitmap(packed: bytes) -> Callable[[np.ndarray], np.ndarray]:
+    """Tells which of some hashes may be in the column; those it denies are not."""
+    bits = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8)).astype(bool)
+    return lambda hashes: bits[_bit_cells(hashes)]

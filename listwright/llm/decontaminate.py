@@ -8,7 +8,6 @@ size is fixed, so that only likely hits are shuffled; the join itself works for
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,12 +17,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listwright.llm.common import Buffer, column, in_arrow, record_batch, texts, window_hashes, words_of
+from listwright.llm.common import Buffer, bitmap, column, in_arrow, in_bitmap, texts, window_hashes, words_of
 
 WIDTH = 5
 PERCENT = 75
-BITMAP_BITS = 24
-PARTS = 16
 
 # Units of measure and number words.
 UNITS = frozenset(
@@ -116,48 +113,15 @@ def _item_windows(batches) -> Iterator[pa.RecordBatch]:
     yield from out.flush()
 
 
-def _cells(windows: np.ndarray) -> np.ndarray:
-    return (windows.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
-
-
-def _bitmap_parts(batches) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(1 << BITMAP_BITS, bool)
-    for batch in batches:
-        bits[_cells(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))] = True
-    schema = pa.schema([("part", pa.int32()), ("bits", pa.binary())])
-    if bits.any():
-        for part, some in enumerate(np.split(np.packbits(bits), PARTS)):
-            yield record_batch(schema, [part], [zlib.compress(some.tobytes(), 1)])
-
-
-def _bitmap_union(batches) -> Iterator[pa.RecordBatch]:
-    schema, whole = pa.schema([("part", pa.int32()), ("bits", pa.binary())]), {}
-    for batch in batches:
-        for part, bits in zip(column(batch, "part"), column(batch, "bits")):
-            some = np.frombuffer(zlib.decompress(bits), np.uint8)
-            whole[part] = whole[part] | some if part in whole else some
-    for part, some in whole.items():
-        yield record_batch(schema, [part], [zlib.compress(some.tobytes(), 1)])
-
-
-def _bitmap(items: DataFrame) -> bytes:
-    """A bit for each cell that holds a window of the benchmark: two megabytes, whatever its size."""
-    parts = in_arrow(items.select("window"), _bitmap_parts, "part int, bits binary").repartition(PARTS, "part")
-    whole = np.zeros((PARTS, (1 << BITMAP_BITS) // 8 // PARTS), np.uint8)
-    for row in in_arrow(parts, _bitmap_union, "part int, bits binary").collect():
-        whole[row["part"]] |= np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
-    return zlib.compress(whole.tobytes(), 1)
-
-
 def _likely(packed: bytes):
     def likely(batches) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("window", pa.int64()), ("doc_id", pa.int64()), ("doc_slots", pa.list_(pa.string()))])
-        bits = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8)).astype(bool)
+        has = in_bitmap(packed)
         templates, out = Templates(), Buffer(schema)
         for batch in batches:
             for doc_id, body in zip(column(batch, "doc_id"), column(batch, "body")):
                 words, slot, windows = _windows(body, templates)
-                hits = np.nonzero(bits[_cells(windows)])[0]
+                hits = np.nonzero(has(windows))[0]
                 for at, window in zip(hits.tolist(), windows.view(np.int64)[hits].tolist()):
                     yield from out.add((window, doc_id, _values(words, slot, at, WIDTH)), 64)
         yield from out.flush()
@@ -222,7 +186,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     held = benchmark.filter("item_id IS NOT NULL").select(F.col("item_id").alias("doc_id"), "text")
     items = in_arrow(texts(held), _item_windows, _ITEMS_SQL).distinct()
     bodies = texts(docs.filter("doc_id IS NOT NULL"))
-    likely = in_arrow(bodies, _likely(_bitmap(items)), "window long, doc_id long, doc_slots array<string>")
+    likely = in_arrow(bodies, _likely(bitmap(items.select("window"))), "window long, doc_id long, doc_slots array<string>")
     hits = likely.distinct().join(items, "window").drop("window").distinct()
     hits = hits.repartition("doc_id", "item_id").sortWithinPartitions("doc_id", "item_id", "pos")
     return in_arrow(hits, _decide, "doc_id long, item_id long, percent double, renamed boolean")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listwright.llm.common import Buffer, WordHashes, column, in_arrow, numbers, record_batch, texts, window_hashes, words_of
+from listwright.llm.common import Buffer, WordHashes, bitmap, column, in_arrow, in_bitmap, numbers, record_batch, texts, window_hashes, words_of
 from listwright.llm.components import components
 from listwright.session import materialise
 
@@ -37,6 +37,7 @@ SKETCH_BITS = 20
 PARITY_BITS = 2048
 PARTS = 16
 BLOCK = 1024
+PART = 256
 
 _U = np.uint64
 
@@ -190,56 +191,80 @@ def _shared(batches) -> Iterator[pa.RecordBatch]:
 
 
 def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of (a, b), those that the bitmaps let through, with sizes."""
+    """Of (a, b), those that the bitmaps let through, and how far apart they are at least."""
     one = sets.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("parity").alias("p_a"))
     two = sets.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("p_b"))
 
     def passing(batches) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(name, pa.int64()) for name in ("a", "b", "n_a", "n_b")])
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("apart", pa.float64())])
         for batch in batches:
             if not batch.num_rows:
                 continue
             a, b, n_a, n_b = (numbers(batch, name) for name in ("a", "b", "n_a", "n_b"))
             x, y = (np.frombuffer(b"".join(column(batch, name)), np.uint64).reshape(len(a), -1) for name in ("p_a", "p_b"))
-            ok = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= _differ(n_a, n_b)
-            yield record_batch(schema, a[ok], b[ok], n_a[ok], n_b[ok])
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            ok = apart <= _differ(n_a, n_b)
+            yield record_batch(schema, a[ok], b[ok], (apart / (n_a + n_b))[ok])
 
-    return in_arrow(pairs.join(one, "a").join(two, "b"), passing, "a long, b long, n_a long, n_b long")
+    return in_arrow(pairs.join(one, "a").join(two, "b"), passing, "a long, b long, apart double")
 
 
-def _members(batches) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("set_id", pa.int64()), ("members", pa.binary())])
-    hashes, out = WordHashes(), Buffer(schema)
-    for batch in batches:
-        for want, n, body in zip(column(batch, "set_id"), column(batch, "n"), column(batch, "body")):
-            members = shingles(body, hashes)
-            if len(members) == n and set_hash(members) == want:  # rows that share an id may hold another text
-                yield from out.add((want, members.tobytes()), members.nbytes)
-    yield from out.flush()
+_MEMBERS = pa.schema([("doc_id", pa.int64()), ("set_id", pa.int64()), ("members", pa.binary())])
+
+
+def _members(packed: bytes):
+    """The sets of documents that may be asked for."""
+
+    def members(batches) -> Iterator[pa.RecordBatch]:
+        hashes, out, has = WordHashes(), Buffer(_MEMBERS), in_bitmap(packed)
+        for batch in batches:
+            for at in np.nonzero(has(numbers(batch, "hash")))[0].tolist() if batch.num_rows else ():
+                row = batch.slice(at, 1)
+                found = shingles(column(row, "body")[0], hashes)
+                if len(found):
+                    yield from out.add((column(row, "doc_id")[0], set_hash(found), found.tobytes()), found.nbytes)
+        yield from out.flush()
+
+    return members
 
 
 def _overlaps(batches) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    out = Buffer(schema)
+    """Stream rows sorted by (centre, part, role): a centre's own set comes before those it is to be compared with."""
+    out, centre, own = Buffer(pa.schema([("a", pa.int64()), ("b", pa.int64())])), None, None
     for batch in batches:
-        for a, b, x, y in zip(*(column(batch, name) for name in ("a", "b", "members_a", "members_b"))):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            overlap = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * overlap >= PERCENT * (len(x) + len(y) - overlap):
-                yield from out.add((a, b))
+        for a, role, b, members in zip(*(column(batch, name) for name in ("centre", "role", "set_id", "members"))):
+            other = np.frombuffer(members, np.uint64)
+            if role == 0:
+                centre, own = a, other
+            elif centre == a:
+                overlap = len(np.intersect1d(own, other, assume_unique=True))
+                if 100 * overlap >= PERCENT * (len(own) + len(other) - overlap):
+                    yield from out.add((a, b))
     yield from out.flush()
 
 
 def _links(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of (a, b), the pairs whose overlap, counted exactly, links them."""
-    wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct().join(sets, "set_id")
-    wanted = wanted.select(F.col("doc_id").alias("rep"), "set_id", "n")
-    held = texts(docs).join(wanted, F.col("doc_id") == F.col("rep"))
-    members = materialise(in_arrow(held, _members, "set_id long, members binary"), "members")
-    one = members.select(F.col("set_id").alias("a"), F.col("members").alias("members_a"))
-    two = members.select(F.col("set_id").alias("b"), F.col("members").alias("members_b"))
-    counted = pairs.select("a", "b").join(one, "a").join(two, "b")
-    return in_arrow(counted, _overlaps, "a long, b long").distinct()
+    """Of (a, b), the pairs whose overlap, counted exactly, links them.
+
+    Each b is sent to its a; a centre with many is sent to several parts, so none gathers in one task.
+    """
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    others = pairs.join(parts, "a").select(
+        F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.lit(1).alias("role"), F.col("b").alias("wanted")
+    )
+    centres = parts.select(
+        F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("wanted")
+    )
+    asked = others.unionByName(centres).join(sets.select(F.col("set_id").alias("wanted"), F.col("doc_id").alias("holder")), "wanted")
+    asked = materialise(asked, "asked")
+    # Only the sets of documents asked for are made and sent, not all texts.
+    likely = bitmap(asked.select(F.xxhash64("holder")))
+    bodies = texts(docs, F.xxhash64("doc_id").alias("hash"))
+    members = in_arrow(bodies, _members(likely), "doc_id long, set_id long, members binary")
+    same = (F.col("doc_id") == F.col("holder")) & (F.col("set_id") == F.col("wanted"))
+    sent = members.join(asked, same).select("centre", "part", "role", "set_id", "members")
+    sent = sent.repartition("centre", "part").sortWithinPartitions("centre", "part", "role")
+    return in_arrow(sent, _overlaps, "a long, b long").distinct()
 
 
 _BEST = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("more", pa.bool_())])
@@ -321,6 +346,14 @@ def _across(shared: DataFrame, sets: DataFrame, comps: DataFrame, most: int) ->
     return in_arrow(cut, _multiply(most), "a long, b long, more boolean")
 
 
+def _roots(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with the roots of both ends; a set without links is its own."""
+    for end in ("a", "b"):
+        of_end = comps.select(F.col("node").alias(end), F.col("root").alias("found"))
+        pairs = pairs.join(of_end, end, "left").withColumn(f"root_{end}", F.coalesce("found", end)).drop("found")
+    return pairs
+
+
 def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents with their set, and the components of sets.
 
@@ -342,9 +375,16 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = materialise(in_arrow(entries, _shared, "shingle long, set_id long, n long, lead long, lead_n long"), "shared-columns")
     stars = shared.filter("lead <> set_id").select(F.col("lead").alias("a"), F.col("set_id").alias("b")).distinct()
     stars = materialise(_near(stars, sets), "near-stars")
-    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = materialise(_links(docs, sets, stars), "links")
+    # First each set with its nearest centre; then the pairs of stars that this leaves in two components.
+    first = stars.groupBy("b").agg(F.min(F.struct("apart", "a"))["a"].alias("a")).select("a", "b")
+    links = materialise(_links(docs, sets, first), "links")
     comps = components(links)
+    apart = _roots(stars.select("a", "b"), comps).filter("root_a <> root_b").select("a", "b")
+    apart = materialise(apart.join(first, ["a", "b"], "left_anti"), "stars-apart")
+    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    if not apart.isEmpty():
+        links = links.unionByName(materialise(_links(docs, sets, apart), "links"))
+        comps = components(links)
     most = 4
     while True:
         best = materialise(_across(shared, sets, comps, most), "best-pairs")
