@@ -8,8 +8,8 @@ counts, of fixed size, so that common columns fall out of nearly all prefixes.
 1. ``_sets``: a row per document (size, hash and parity bitmap of its set) and the sketch.
 2. ``_incidence``: prefix entries, dealt by column; ``_shared`` streams each column and keeps those with two sets.
 3. Each set in a column is first paired with the column's smallest set of like size, not with all (a star).
-4. Size bounds on overlaps discard pairs: the parity bitmaps of two sets differ in at most as many bits as the
-   sets differ in members, which loses no pair. The rest is counted exactly.
+4. Size bounds on overlaps discard pairs: the parity bitmaps of two sets, whose width follows the size, differ in at
+   most as many bits as the sets differ in members, which loses no pair. The rest is counted exactly.
 5. Sets that a star put in one component need no more pairs. For the others, columns are cut into blocks, blocks are
    multiplied (bitmap against bitmap), and the best pairs between components are counted exactly, until no pair that
    the bounds let through is left between two components. So no group emits all its pairs, and no link
@@ -34,7 +34,7 @@ from listwright.session import materialise
 WIDTH = 5
 PERCENT = 75
 SKETCH_BITS = 20
-PARITY_BITS = 2048
+LEAST_PARITY_BITS = 512
 PARTS = 16
 BLOCK = 1024
 PART = 256
@@ -52,9 +52,19 @@ def set_hash(members: np.ndarray) -> int:
 
 
 def parity(members: np.ndarray) -> bytes:
-    """Bit i: whether an odd number of members falls to i."""
-    at = (members & _U(PARITY_BITS - 1)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=PARITY_BITS) & 1).astype(bool)).tobytes()
+    """Bit i: whether an odd number of members falls to i. There are two to four bits a member, a power of two."""
+    bits = max(LEAST_PARITY_BITS, 1 << (2 * len(members) - 1).bit_length())
+    at = (members & _U(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
+
+
+def folded(rows: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps of ``size`` bytes, or two or four times that, as those of ``size`` bytes of the same sets."""
+    out = np.empty((len(rows), size // 8), np.uint64)
+    for i, row in enumerate(rows):
+        whole = np.frombuffer(row, np.uint64).reshape(-1, size // 8)
+        out[i] = whole[0] if len(whole) == 1 else np.bitwise_xor.reduce(whole, axis=0)
+    return out
 
 
 def least_overlap(n, m):
@@ -85,7 +95,7 @@ def _sets(batches) -> Iterator[pa.RecordBatch]:
             members = shingles(body, hashes)
             n = len(members)
             row = (doc_id, n, set_hash(members) if n else None, parity(members) if n else None, None, None)
-            yield from out.add(row, PARITY_BITS // 8)
+            yield from out.add(row, n)
             gathered.append(members)
             held += n
             if held > 500_000:
@@ -201,8 +211,13 @@ def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             a, b, n_a, n_b = (numbers(batch, name) for name in ("a", "b", "n_a", "n_b"))
-            x, y = (np.frombuffer(b"".join(column(batch, name)), np.uint64).reshape(len(a), -1) for name in ("p_a", "p_b"))
-            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            p_a, p_b = column(batch, "p_a"), column(batch, "p_b")
+            size = np.array([min(len(x), len(y)) for x, y in zip(p_a, p_b)])
+            apart = np.empty(len(a), np.int64)
+            for width in np.unique(size).tolist():
+                some = np.nonzero(size == width)[0]
+                x, y = (folded([p[i] for i in some], width) for p in (p_a, p_b))
+                apart[some] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
             ok = apart <= _differ(n_a, n_b)
             yield record_batch(schema, a[ok], b[ok], (apart / (n_a + n_b))[ok])
 
@@ -274,25 +289,33 @@ def _multiply(most: int):
     """Blocks of a column: the ``most`` nearest pairs between any two components, and whether there are more."""
 
     def product(rows: list[tuple]) -> Iterator[tuple]:
-        comp, ids, n, first = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3, 5))
-        bits = np.frombuffer(b"".join(r[4] for r in rows), np.uint64).reshape(len(rows), -1)
+        rows.sort(key=lambda r: r[2])
+        comp, ids, n, block = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2, 4))
+        sizes = np.array([len(r[3]) for r in rows])
+        mixed = len(set(block.tolist())) > 1
         best: dict[tuple[int, int], list] = {}
-        mixed = len(set(first.tolist())) > 1
-        for i in range(len(rows) - 1):
-            ok = comp[i + 1 :] != comp[i]
-            if mixed:  # two blocks: only pairs across them; each block has a product of its own
-                ok &= first[i + 1 :] != first[i]
-            at = np.nonzero(ok)[0] + i + 1
-            if not len(at):
-                continue
-            slack = _differ(n[i], n[at]) - np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            for j, s in zip(at[slack >= 0].tolist(), slack[slack >= 0].tolist()):
-                key = (min(comp[i], comp[j]), max(comp[i], comp[j]))
-                found = best.setdefault(key, [])
-                found.append((-s / (n[i] + n[j]), min(ids[i], ids[j]), max(ids[i], ids[j])))
-                if len(found) > 4 * most + 64:
-                    found.sort()
-                    found[most + 1 :] = []
+        for size in np.unique(sizes).tolist():
+            # Sets that link with one of this size and are not smaller have bitmaps of this size or twice it.
+            own = np.nonzero((sizes == size) | (sizes == 2 * size))[0]
+            bits = folded([rows[i][3] for i in own], size)
+            n_own, comp_own, block_own, ids_own = n[own], comp[own], block[own], ids[own]
+            ends = np.searchsorted(n_own, 100 * n_own // PERCENT, side="right")
+            for i in range(int((sizes[own] == size).sum())):
+                rest = slice(i + 1, int(ends[i]))
+                ok = comp_own[rest] != comp_own[i]
+                if mixed:  # two blocks: only pairs across them; each block has a product of its own
+                    ok &= block_own[rest] != block_own[i]
+                at = np.nonzero(ok)[0] + i + 1
+                if not len(at):
+                    continue
+                slack = _differ(n_own[i], n_own[at]) - np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                for j, s in zip(at[slack >= 0].tolist(), slack[slack >= 0].tolist()):
+                    key = (min(comp_own[i], comp_own[j]), max(comp_own[i], comp_own[j]))
+                    found = best.setdefault(key, [])
+                    found.append((-s / (n_own[i] + n_own[j]), min(ids_own[i], ids_own[j]), max(ids_own[i], ids_own[j])))
+                    if len(found) > 4 * most + 64:
+                        found.sort()
+                        found[most + 1 :] = []
         for found in best.values():
             found.sort()
             for at, (_, a, b) in enumerate(found[:most]):
@@ -307,7 +330,7 @@ def _multiply(most: int):
                     for pair in product(rows) if len(rows) > 1 else ():
                         yield from out.add(pair)
                     key, rows = group[:3], []
-                rows.append((None, *group[3:]))
+                rows.append(group[3:])
         for pair in product(rows) if len(rows) > 1 else ():
             yield from out.add(pair)
         yield from out.flush()
