@@ -52,8 +52,13 @@ def set_hash(members: np.ndarray) -> int:
 
 
 def parity(members: np.ndarray) -> bytes:
-    """Bit i: whether an odd number of members falls to i. There are two to four bits a member, a power of two."""
-    bits = max(LEAST_PARITY_BITS, 1 << (2 * len(members) - 1).bit_length())
+    """Bit i: whether an odd number of members falls to i.
+
+    There are eight bits a member at least, four in sets of over a thousand, a power of two in all; so the width grows
+    with the size, and sets that may link have the same width or one twice the other's.
+    """
+    n = len(members)
+    bits = max(LEAST_PARITY_BITS, 1 << ((8 if n <= 1024 else 4) * n - 1).bit_length())
     at = (members & _U(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
 
@@ -95,7 +100,7 @@ def _sets(batches) -> Iterator[pa.RecordBatch]:
             members = shingles(body, hashes)
             n = len(members)
             row = (doc_id, n, set_hash(members) if n else None, parity(members) if n else None, None, None)
-            yield from out.add(row, n)
+            yield from out.add(row, 2 * n)
             gathered.append(members)
             held += n
             if held > 500_000:
@@ -282,13 +287,13 @@ def _links(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return in_arrow(sent, _overlaps, "a long, b long").distinct()
 
 
-_BEST = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("more", pa.bool_())])
+_BEST = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("more", pa.int64())])
 
 
 def _multiply(most: int):
-    """Blocks of a column: the ``most`` nearest pairs between any two components, and whether there are more."""
+    """Blocks of a column: the ``most`` nearest pairs between any two components; ``more`` is the column, if there are others."""
 
-    def product(rows: list[tuple]) -> Iterator[tuple]:
+    def product(shingle: int, rows: list[tuple]) -> Iterator[tuple]:
         rows.sort(key=lambda r: r[2])
         comp, ids, n, block = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2, 4))
         sizes = np.array([len(r[3]) for r in rows])
@@ -319,7 +324,7 @@ def _multiply(most: int):
         for found in best.values():
             found.sort()
             for at, (_, a, b) in enumerate(found[:most]):
-                yield int(a), int(b), at == 0 and len(found) > most
+                yield int(a), int(b), shingle if at == 0 and len(found) > most else None
 
     def blocks(batches) -> Iterator[pa.RecordBatch]:
         out, key, rows = Buffer(_BEST), None, []
@@ -327,11 +332,11 @@ def _multiply(most: int):
         for batch in batches:
             for group in zip(*(column(batch, name) for name in ("shingle", "left", "right", *names))):
                 if group[:3] != key:
-                    for pair in product(rows) if len(rows) > 1 else ():
+                    for pair in product(key[0], rows) if len(rows) > 1 else ():
                         yield from out.add(pair)
                     key, rows = group[:3], []
                 rows.append(group[3:])
-        for pair in product(rows) if len(rows) > 1 else ():
+        for pair in product(key[0], rows) if len(rows) > 1 else ():
             yield from out.add(pair)
         yield from out.flush()
 
@@ -366,7 +371,7 @@ def _across(shared: DataFrame, sets: DataFrame, comps: DataFrame, most: int) ->
     )
     cut = cut.join(sets.select("set_id", "n", "parity"), "set_id")
     cut = cut.repartition("shingle", "left", "right").sortWithinPartitions("shingle", "left", "right", "set_id")
-    return in_arrow(cut, _multiply(most), "a long, b long, more boolean")
+    return in_arrow(cut, _multiply(most), "a long, b long, more long")
 
 
 def _roots(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -408,21 +413,19 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if not apart.isEmpty():
         links = links.unionByName(materialise(_links(docs, sets, apart), "links"))
         comps = components(links)
-    most = 4
+    most, columns = 4, shared
     while True:
-        best = materialise(_across(shared, sets, comps, most), "best-pairs")
-        if best.isEmpty():
-            break
+        best = materialise(_across(columns, sets, comps, most), "best-pairs")
         new = materialise(best.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "new-pairs")
-        if new.isEmpty():
-            if best.filter("more").isEmpty():
-                break
-            most *= 8  # all the nearest are known not to link: look further down
-            continue
-        links = links.unionByName(materialise(_links(docs, sets, new), "links"))
-        tested = tested.unionByName(new)
-        comps = components(links)
-        most *= 2
+        if not new.isEmpty():
+            links = links.unionByName(materialise(_links(docs, sets, new), "links"))
+            tested = tested.unionByName(new)
+            comps = components(links)
+        # A column all of whose near pairs went out is done: components only grow.
+        more = materialise(best.select(F.col("more").alias("shingle")).dropna().distinct(), "columns-left")
+        if more.isEmpty():
+            break
+        columns, most = shared.join(more, "shingle"), 16 * most
     return placed.select("doc_id", "n", "set_id"), comps
 
 
