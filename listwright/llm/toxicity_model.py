@@ -14,7 +14,7 @@ import numpy as np
 WINDOW, STRIDE = 32, 24  # words of a window; words between the starts of two: windows overlap by eight
 LONGEST = 12  # characters; a longer word is several inputs
 CHARS, BUCKETS = 512, 4096
-CHAR_SIZE, WORD_SIZE, HIDDEN = 8, 8, 8
+CHAR_SIZE, WORD_SIZE, HIDDEN = 16, 8, 8
 
 _WORDS = re.compile(r"\w{1,%d}" % LONGEST)
 _F = np.float32
@@ -157,7 +157,7 @@ class Model:
         self.words = Layer(_WORD_LAYER, 2 * HIDDEN + WORD_SIZE, random)
         self.p = {
             "char": (random.standard_normal((CHARS, CHAR_SIZE)) * 0.5).astype(_F),
-            "word": (random.standard_normal((BUCKETS, WORD_SIZE)) * 0.1).astype(_F),
+            "word": np.zeros((BUCKETS, WORD_SIZE), _F),  # words never learnt add nothing
             **self.chars.start,
             **self.words.start,
             "out": (random.standard_normal(2 * HIDDEN) * 0.3).astype(_F),
@@ -203,7 +203,7 @@ class Model:
         np.add.at(g["char"], chars.reshape(-1), (d_chars * char_mask).reshape(-1, CHAR_SIZE))
         return loss, g
 
-    def train(self, texts: list[str], labels: list[int], steps: int = 900, batch: int = 32, rate: float = 0.015, seed: int = 7):
+    def train(self, texts: list[str], labels: list[int], steps: int = 800, batch: int = 16, rate: float = 0.015, seed: int = 7):
         """Adam over shuffled batches, the rate falling to a tenth. Texts without words teach nothing."""
         docs = [words_of(t) for t in texts]
         chosen = [i for i, d in enumerate(docs) if d]
