@@ -59,12 +59,12 @@ def _score(parameters: dict | None):
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def score(batches) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(parameters) if parameters else None
+        scorer = Scorer(parameters) if parameters is not None else None
         for batch in batches:
             if not batch.num_rows:
                 continue
             bodies = [body.decode() for body in column(batch, "body")]
-            scores = scorer.scores(bodies) if scorer else [0.0] * len(bodies)
+            scores = scorer.scores(bodies) if scorer is not None else [0.0] * len(bodies)
             yield record_batch(schema, column(batch, "doc_id"), scores)
 
     return score
@@ -79,7 +79,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     marked = learnable(labels)
     share = marked.agg(F.avg("toxic")).first()[0]
     model = trained(training_rows(docs, marked), share)
-    scored = in_arrow(texts(docs), _score(model and model.p), "doc_id long, score double")
+    scored = in_arrow(texts(docs), _score(model.p if model else None), "doc_id long, score double")
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
