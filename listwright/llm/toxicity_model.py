@@ -15,6 +15,7 @@ WINDOW, STRIDE = 32, 24  # words of a window; words between the starts of two: w
 LONGEST = 12  # characters; a longer word is several inputs
 CHARS, BUCKETS = 512, 4096
 CHAR_SIZE, WORD_SIZE, HIDDEN = 16, 8, 8
+WORD_DROPOUT = 0.5
 
 _WORDS = re.compile(r"\w{1,%d}" % LONGEST)
 _F = np.float32
@@ -153,6 +154,7 @@ def char_arrays(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     def __init__(self, seed: int = 7):
         random = np.random.default_rng(seed)
+        self.random = random
         self.chars = Layer(_CHAR_LAYER, CHAR_SIZE, random)
         self.words = Layer(_WORD_LAYER, 2 * HIDDEN + WORD_SIZE, random)
         self.p = {
@@ -183,7 +185,9 @@ class Model:
         chars, char_mask = char_arrays(distinct)
         char_out, char_held = self.chars.forward(p, p["char"][chars], char_mask)
         buckets = np.array([bucket(w) for w in distinct])
-        inputs = np.concatenate([char_out, p["word"][buckets]], axis=1)
+        # Half of the words show their characters only, lest the network learn rare words by heart.
+        shown = (self.random.random((len(buckets), 1)) >= WORD_DROPOUT).astype(_F)
+        inputs = np.concatenate([char_out, p["word"][buckets] * shown], axis=1)
         out, held = self.words.forward(p, inputs[grid], mask)
         logit = out @ p["out"] + p["bias"][0]
         # log(1 - p) of windows add up within a document.
@@ -197,7 +201,7 @@ class Model:
         d_inputs = np.zeros_like(inputs)
         np.add.at(d_inputs, grid.reshape(-1), (d_inputs_grid * mask).reshape(-1, inputs.shape[1]))
         g["word"] = np.zeros_like(p["word"])
-        np.add.at(g["word"], buckets, d_inputs[:, 2 * HIDDEN :])
+        np.add.at(g["word"], buckets, d_inputs[:, 2 * HIDDEN :] * shown)
         d_chars = self.chars.backward(p, g, np.ascontiguousarray(d_inputs[:, : 2 * HIDDEN]), char_held)
         g["char"] = np.zeros_like(p["char"])
         np.add.at(g["char"], chars.reshape(-1), (d_chars * char_mask).reshape(-1, CHAR_SIZE))
