@@ -52,10 +52,12 @@ def repeated_words(words: list[bytes]) -> int:
 
 
 def measures(body: bytes) -> tuple[int, ...]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; then n_lines, n_distinct, upper, lower, marks, ends."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; then n_lines, n_distinct, upper, lower, marks, ends,
+    others (ASCII characters that are no letters or spaces)."""
     words, text = words_of(body), body.decode()
     lines = [line for line in body.split(b"\n") if line.strip(b" \t\n\r\v\f")]
     letters = np.frombuffer(body, np.uint8)
+    upper, lower = int(((letters >= 65) & (letters <= 90)).sum()), int(((letters >= 97) & (letters <= 122)).sum())
     return (
         len(words),
         len(text) - sum(text.count(c) for c in SPACES),
@@ -64,10 +66,11 @@ def measures(body: bytes) -> tuple[int, ...]:
         repeated_words(words),
         len(lines),
         len(set(words)),
-        int(((letters >= 65) & (letters <= 90)).sum()),
-        int(((letters >= 97) & (letters <= 122)).sum()),
+        upper,
+        lower,
         text.count("!"),
         sum(1 for w in words if w.endswith((b".", b"!", b"?"))),
+        int(((letters > 32) & (letters < 127)).sum()) - upper - lower,
     )
 
 
@@ -78,6 +81,8 @@ def _vote(value: float, bad, good) -> int:
 #: Rules: name, and the vote from the measures. Shares are of words or of letters.
 RULES = (
     ("symbols", lambda m: _vote(m[2] / max(1, m[1]), lambda x: x > 0.03, lambda x: x < 0.005)),
+    ("decorated", lambda m: _vote(m[2] / max(1, m[0]), lambda x: x > 0.2, lambda x: x < 0.05)),
+    ("letters", lambda m: _vote(m[11] / max(1, m[1]), lambda x: x > 0.1, lambda x: x < 0.05)),
     ("repeats", lambda m: _vote(m[4] / max(1, m[0]), lambda x: x > 0.1, lambda x: x == 0 and m[0] >= 30)),
     ("lines", lambda m: _vote(m[3] / max(1, m[5]), lambda x: x > 0.3, lambda x: x == 0 and m[5] > 2)),
     ("capitals", lambda m: _vote(m[7] / max(1, m[7] + m[8]), lambda x: x > 0.4, lambda x: x < 0.15 and m[8] > 0)),

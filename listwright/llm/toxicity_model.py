@@ -300,7 +300,7 @@ class Scorer(dict):
         part = self.most // 4 // STRIDE * STRIDE  # words numbered at a time; parts overlap like windows
         for i, text in enumerate(texts):
             words = words_of(text)
-            for begin in range(0, len(words), part):
+            for begin in window_starts(len(words))[:: part // STRIDE]:
                 some = words[begin : begin + part + WINDOW - STRIDE]
                 if len(self) + len(some) > self.most:
                     settle()
