@@ -18,6 +18,13 @@ from listwright.functions.text import trim_blanks, word_map
 _NOT_SHOWN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 _CHARACTER_REFERENCE = r"&(?:#[xX]0*[0-9a-fA-F]{1,6}|#0*[0-9]{1,7}|[A-Za-z][A-Za-z0-9]*);"
 _VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
+# Tag text up to an attribute, quoted values skipped whole; and a link's opening tag, quotes respected if they close.
+_BEFORE = r"""^[^"']*?(?:(?:"[^"]*"|'[^']*')[^"']*?)*?"""
+_LINK_TAG = r"""<a\b(?:[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>|[^>]*>)"""
+# Code points 128 to 159 in references stand for these characters, as browsers read them.
+_WINDOWS_1252 = {
+    f"{code:08X}": bytes([code]).decode("cp1252") for code in range(128, 160) if code not in (129, 141, 143, 144, 157)
+}
 
 
 def shown_html(html: Column) -> Column:
@@ -26,7 +33,7 @@ def shown_html(html: Column) -> Column:
 
 
 def _named_reference(piece: Column) -> Column:
-    names = word_map({f"&{name};": chr(code) for name, code in name2codepoint.items()})
+    names = word_map({f"&{name};": chr(code) for name, code in name2codepoint.items()} | {"&apos;": "'"})
     return F.coalesce(names[piece], piece)
 
 
@@ -36,7 +43,8 @@ def _numbered_reference(piece: Column) -> Column:
 
     def character(code: Column) -> Column:
         valid = code.rlike("^00(?:00(?!D[89A-F])|0[1-9A-F]|10)[0-9A-F]{4}$")
-        return F.when(valid, F.decode(F.unhex(code), "UTF-32")).otherwise(piece)
+        read = F.coalesce(word_map(_WINDOWS_1252)[code], F.decode(F.unhex(code), "UTF-32"))
+        return F.when(valid, read).otherwise(piece)
 
     return once(F.lpad(F.ltrim(base16, F.lit("0")), 8, "0"), character)
 
@@ -101,22 +109,25 @@ def first_element_text(html: Column, tag: str, attribute: str | None = None, val
 
 def attribute_value(tag_text: Column, attribute: str) -> Column:
     """Value of an attribute inside tag text, quotes off, references decoded; NULL if absent."""
-    pattern = rf"(?is)\s{attribute}\s*=\s*{_VALUE}"
+    pattern = rf"(?is){_BEFORE}\s{attribute}\s*=\s*{_VALUE}"
     raw = F.nullif(F.regexp_extract(tag_text, pattern, 1), F.lit(""))
     return decode_references(F.regexp_replace(raw, r"""^["']|["']$""", ""))
 
 
 def anchors(html: Column) -> Column:
-    """All links in document order: array of (pos, href, text, has_class)."""
-    found = F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*>.*?</a\s*>"), F.lit(0))
+    """All links in document order: array of (pos, href, text, has_class).
+
+    A link ends at its end tag, at the next link or with the page.
+    """
+    found = F.regexp_extract_all(html, F.lit(rf"(?is){_LINK_TAG}(?:(?!</?a\b).)*+"), F.lit(0))
 
     def described(anchor: Column, pos: Column) -> Column:
-        tag = F.regexp_extract(anchor, "(?is)^<a\\b[^>]*>", 0)
+        tag = F.regexp_extract(anchor, f"(?is)^{_LINK_TAG}", 0)
         return F.struct(
             pos.alias("pos"),
             attribute_value(tag, "href").alias("href"),
-            inner_text(anchor).alias("text"),
-            tag.rlike(r"(?is)\sclass\s*=").alias("has_class"),
+            inner_text(F.substr(anchor, F.length(tag) + 1)).alias("text"),
+            tag.rlike(rf"(?is){_BEFORE}\sclass\s*=").alias("has_class"),
         )
 
     return F.filter(F.transform(found, described), lambda a: a["href"].isNotNull())
