@@ -17,10 +17,24 @@ from listwright.functions.text import trim_blanks, word_map
 
 _NOT_SHOWN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 _CHARACTER_REFERENCE = r"&(?:#[xX]0*[0-9a-fA-F]{1,6}|#0*[0-9]{1,7}|[A-Za-z][A-Za-z0-9]*);"
-_VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
-# Tag text up to an attribute, quoted values skipped whole; and a link's opening tag, quotes respected if they close.
-_BEFORE = r"""^[^"']*?(?:(?:"[^"]*"|'[^']*')[^"']*?)*?"""
-_LINK_TAG = r"""<a\b(?:[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>|[^>]*>)"""
+_VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
+# Tag text before an attribute and after it: a quoted value, which follows "=", is passed over whole.
+_BEFORE = r"""[^>=]*?(?:=\s*+(?:"[^"]*"|'[^']*'|(?!["']))[^>=]*?)*?(?<=[\s"'/])"""
+_TAG_REST = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+'|(?!["']))[^>=]*+)*+>"""
+_LINK_TAG = rf"<a\b(?:{_TAG_REST}|[^>]*>)"
+# Elements whose end tag may be left out: tags that hold elements of the same kind deeper
+# down, and tags that end the element where they stand at its own depth.
+_HEADING = ("", "h[1-6]")
+_CELL = ("table", "t[dhr]|thead|tbody|tfoot")
+_IMPLIED_ENDS = {
+    "li": ("ul|ol|menu", "li"),
+    "td": _CELL,
+    "th": _CELL,
+    "a": ("", "a"),
+    "h1": _HEADING,
+    "h3": _HEADING,
+    "p": ("", "p|div|ul|ol|li|dl|table|td|th|tr|h[1-6]|article|section|nav|main|aside|header|footer|address|form|body|html"),
+}
 # Code points 128 to 159 in references stand for these characters, as browsers read them.
 _WINDOWS_1252 = {
     f"{code:08X}": bytes([code]).decode("cp1252") for code in range(128, 160) if code not in (129, 141, 143, 144, 157)
@@ -76,12 +90,12 @@ def inner_text(fragment: Column) -> Column:
 def opening_tag(tag: str, attribute: str | None = None, value: str | None = None) -> str:
     """Pattern of an opening tag; ``value`` is one of the attribute's space-separated words."""
     if attribute is None:
-        return rf"<{tag}\b[^>]*>"
+        return rf"<{tag}\b{_TAG_REST}"
     word = re.escape(value)
     return (
-        rf"<{tag}\b(?=[^>]*\s{attribute}\s*=\s*"
-        rf"""(?:"(?:[^"]*\s)?{word}(?:\s[^"]*)?"|'(?:[^']*\s)?{word}(?:\s[^']*)?'|{word}(?=[\s/>])))"""
-        rf"[^>]*>"
+        rf"<{tag}\b{_BEFORE}{attribute}\s*=\s*"
+        rf"""(?:"(?:[^"]*\s)?{word}(?:\s[^"]*)?"|'(?:[^']*\s)?{word}(?:\s[^']*)?'|{word}(?=[\s/>]))"""
+        rf"{_TAG_REST}"
     )
 
 
@@ -93,14 +107,56 @@ def _matched(text: Column, pattern: str, group: int) -> Column:
     )
 
 
+def _up_to_end(following: Column, tag: str) -> Column:
+    """The inside of a ``tag`` element out of what follows its opening tag.
+
+    It ends where the depth of its own tag name returns to zero, where a tag stands that
+    implies its end, or with the page. Only those tags are looked at.
+    """
+    nesting, ending = _IMPLIED_ENDS.get(tag, (tag, ""))
+    names = "|".join(filter(None, (nesting, ending)))
+    marked = rf"</?(?:{names})(?=[\s/>])"
+    unmarked = rf"[^<]*+(?:<(?!/?(?:{names})(?=[\s/>]))[^<]*+)*+"
+    opens = rf"(?i)^<(?:{nesting})(?=[\s/>])" if nesting else r"^(?!)"
+    closes = rf"(?i)^</(?:{nesting})(?=[\s/>])" if nesting else r"^(?!)"
+
+    def step(state: Column, piece: Column) -> Column:
+        depth, size = state["depth"], state["size"]
+        deeper = F.when(piece.rlike(opens), depth + 1).when(piece.rlike(closes), depth - 1).otherwise(depth)
+        ended = state["ended"] | ((depth == 0) & ~piece.rlike(opens))
+        return F.struct(
+            deeper.alias("depth"),
+            F.when(ended, size).otherwise(size + F.length(piece)).alias("size"),
+            ended.alias("ended"),
+        )
+
+    def nested(whole: Column, head: Column) -> Column:
+        rest = F.substr(whole, F.length(head) + 1)
+        start = F.struct(F.lit(0).alias("depth"), F.length(head).alias("size"), F.lit(False).alias("ended"))
+        pieces = F.regexp_extract_all(rest, F.lit(f"(?is){marked}{unmarked}"), F.lit(0))
+        return F.substr(whole, F.lit(1), F.aggregate(pieces, start, step, lambda state: state["size"]))
+
+    def cut(whole: Column) -> Column:
+        return once(
+            F.regexp_extract(whole, f"(?is)^{unmarked}", 0),
+            lambda head: F.when(
+                F.substr(whole, F.length(head) + 1, F.lit(16)).rlike(opens), nested(whole, head)
+            ).otherwise(head),
+        )
+
+    return once(following, cut)
+
+
 def first_element(html: Column, tag: str, attribute: str | None = None, value: str | None = None) -> Column:
     """Inner HTML of the first matching element, NULL if there is none."""
-    return _matched(html, rf"(?is){opening_tag(tag, attribute, value)}(.*?)</{tag}\s*>", 1)
+    following = F.get(F.split(html, f"(?is){opening_tag(tag, attribute, value)}", 2), F.lit(1))
+    return _up_to_end(following, tag)
 
 
 def last_element(html: Column, tag: str, attribute: str | None = None, value: str | None = None) -> Column:
-    pattern = rf"(?is){opening_tag(tag, attribute, value)}(.*?)</{tag}\s*>"
-    return F.get(F.reverse(F.regexp_extract_all(html, F.lit(pattern), F.lit(1))), F.lit(0))
+    """Inner HTML of the element that opens last."""
+    parts = F.split(html, f"(?is){opening_tag(tag, attribute, value)}")
+    return _up_to_end(once(parts, lambda p: F.when(F.size(p) > 1, F.element_at(p, -1))), tag)
 
 
 def first_element_text(html: Column, tag: str, attribute: str | None = None, value: str | None = None) -> Column:
@@ -109,7 +165,7 @@ def first_element_text(html: Column, tag: str, attribute: str | None = None, val
 
 def attribute_value(tag_text: Column, attribute: str) -> Column:
     """Value of an attribute inside tag text, quotes off, references decoded; NULL if absent."""
-    pattern = rf"(?is){_BEFORE}\s{attribute}\s*=\s*{_VALUE}"
+    pattern = rf"(?is)^{_BEFORE}{attribute}\s*=\s*{_VALUE}"
     raw = F.nullif(F.regexp_extract(tag_text, pattern, 1), F.lit(""))
     return decode_references(F.regexp_replace(raw, r"""^["']|["']$""", ""))
 
@@ -127,7 +183,7 @@ def anchors(html: Column) -> Column:
             pos.alias("pos"),
             attribute_value(tag, "href").alias("href"),
             inner_text(F.substr(anchor, F.length(tag) + 1)).alias("text"),
-            tag.rlike(rf"(?is){_BEFORE}\sclass\s*=").alias("has_class"),
+            tag.rlike(rf"(?is)^{_BEFORE}class\s*=").alias("has_class"),
         )
 
     return F.filter(F.transform(found, described), lambda a: a["href"].isNotNull())
@@ -157,25 +213,32 @@ def directory_address(html: Column) -> Column:
 
 def review_address(html: Column) -> Column:
     """Last address of a review page: its marked part if there is one, else all of it."""
-    marked = rf"(?is){opening_tag('([a-z0-9]+)', 'itemprop', 'streetAddress')}(.*?)</\1\s*>"
-    return once(
-        last_element(html, "address"),
-        lambda block: inner_text(F.coalesce(_matched(block, marked, 2), block)),
-    )
+    marked = opening_tag("([a-z0-9]+)", "itemprop", "streetAddress")
+
+    def part(block: Column) -> Column:
+        # The marked element may be of any kind: its tags get one name, then it is cut out by depth.
+        kind = F.regexp_extract(block, f"(?is){marked}", 1)
+        tags = F.concat(F.lit("(?i)<(/?)"), kind, F.lit(r"(?=[\s/>])"))
+        renamed = F.regexp_replace(block, tags, F.lit("<$1marked"))
+        inside = F.when(kind != "", first_element(renamed, "marked", "itemprop", "streetAddress"))
+        return inner_text(F.coalesce(inside, block))
+
+    return once(last_element(html, "address"), part)
 
 
 def marker_cell(html: Column) -> Column:
     """Text of the table cell after the one that holds the map marker."""
-    image = rf"""<img\b[^>]*\ssrc\s*=\s*["']{re.escape(MAP_MARKER)}["'][^>]*>"""
-    pattern = rf"(?is){image}(?>.*?</td\s*>)\s*<td\b[^>]*>(.*?)</td\s*>"
-    return inner_text(_matched(html, pattern, 1))
+    image = rf"""(?is)<img\b[^>]*\ssrc\s*=\s*["']{re.escape(MAP_MARKER)}["'][^>]*>"""
+    after = F.get(F.split(html, image, 2), F.lit(1))
+    next_cell = r"(?is)^(?:(?!</?t[dr]\b|</table\b).)*+(?:</td\s*>)?\s*<td\b[^>]*>(.*)$"
+    return inner_text(_up_to_end(_matched(after, next_cell, 1), "td"))
 
 
 def result_links(html: Column) -> Column:
     """Links of the ranked results (h3.r under div#search), best first."""
-    results = F.regexp_extract(html, rf"(?is){opening_tag('div', 'id', 'search')}(.*)$", 1)
+    results = first_element(html, "div", "id", "search")
     heads = F.regexp_extract_all(
-        results, F.lit(rf"(?is){opening_tag('h3', 'class', 'r')}(.*?)</h3\s*>"), F.lit(1)
+        results, F.lit(rf"(?is){opening_tag('h3', 'class', 'r')}((?:(?!</?h3\b).)*+)"), F.lit(1)
     )
     links = F.transform(heads, lambda h: first_link(h, opening_tag("a")))
     return F.filter(links, lambda u: u.isNotNull())

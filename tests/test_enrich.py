@@ -117,6 +117,40 @@ def test_anchors(spark):
     assert got == [(1, 0, "/x?a=1&b=2", "T", True), (1, 2, "it's", "y", False)]
 
 
+def _one(spark, html, column):
+    return spark.createDataFrame([(html,)], "h string").select(column(F.col("h"))).first()[0]
+
+
+@pytest.mark.parametrize(
+    ("html", "column", "wanted"),
+    [
+        ('<div class="biz-website"><div>w</div><a href="/x">k</a></div>', lambda h: H.first_link_within(h, "div", "biz-website"), "/x"),
+        ('<div class="biz-website"><div>w</div></div><a href="/x">k</a>', lambda h: H.first_link_within(h, "div", "biz-website"), None),
+        ('<address itemprop="address"><span itemprop="streetAddress"><span>12</span> Rue X</span> y</address>', H.directory_address, "12 Rue X"),
+        ('<address>a <div itemprop="streetAddress"><div>12</div> Rue <b>X</b></div> y</address>', H.review_address, "12 Rue X"),
+        ('<ul><li class="phone">514-555-1234<li class="website">w</ul>t', lambda h: H.first_element_text(h, "li", "class", "phone"), "514-555-1234"),
+        ('<ul><li class="phone">514<li class="website">w</ul>t', lambda h: H.first_element_text(h, "li", "class", "website"), "w"),
+        ('<li class="phone">a<ul><li>b</li></ul>c</li>d', lambda h: H.first_element_text(h, "li", "class", "phone"), "abc"),
+        ('<h1 title="a>b" itemprop="name">N</h1>', lambda h: H.first_element_text(h, "h1", "itemprop", "name"), "N"),
+        ('<h1 title="x itemprop=name">no</h1><h1 itemprop=name>N', lambda h: H.first_element_text(h, "h1", "itemprop", "name"), "N"),
+        ("<h1 title=it's itemprop='x name'>N</h1>", lambda h: H.first_element_text(h, "h1", "itemprop", "name"), "N"),
+        ("<div class=q><diva>1</diva><DIV >2</div\n>3</Div>4", lambda h: H.first_element_text(h, "div", "class", "q"), "123"),
+        ("<div class=q>" + "<div>" * 3000 + "x" + "</div>" * 3000 + "y</div>z", lambda h: H.first_element_text(h, "div", "class", "q"), "xy"),
+        ("<p>", lambda h: H.first_element_text(h, "p"), ""),
+        ("", lambda h: H.first_element_text(h, "p"), None),
+        (None, lambda h: H.first_element_text(h, "p"), None),
+        ('<td><img src="/mapfiles/marker-noalpha.png"><td>5 Rue X<tr><td>no', H.marker_cell, "5 Rue X"),
+        ('<td><img src="/mapfiles/marker-noalpha.png"></td></tr><tr><td>no</td>', H.marker_cell, None),
+        ('<div id=search><div><h3 class=r><a href=/1>1</a></h3></div><h3 class=r><a href=/2>2</div><h3 class=r><a href=/ad>3</a></h3>', H.result_links, ["/1", "/2"]),
+        ('<a title="see href=bad class=z" href="/url?q=1">t</a>', lambda h: H.anchors(h)[0]["href"], "/url?q=1"),
+        ('<a title="see href=bad class=z" href="/url?q=1">t</a>', lambda h: H.anchors(h)[0]["has_class"], False),
+        ('<a href=/f>one <a href=/t>two</a><a href=/l>last', lambda h: F.transform(H.anchors(h), lambda a: a["href"]), ["/f", "/t", "/l"]),
+    ],
+)
+def test_broken_markup(spark, html, column, wanted):
+    assert _one(spark, html, column) == wanted
+
+
 def test_enriched_rows(spark, crawl, lists):
     enriched = enrich_lists(spark, lists, crawl)
     assert set(ENRICHED.names) <= set(enriched.columns)
