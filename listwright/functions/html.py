@@ -159,6 +159,12 @@ def last_element(html: Column, tag: str, attribute: str | None = None, value: st
     return _up_to_end(once(parts, lambda p: F.when(F.size(p) > 1, F.element_at(p, -1))), tag)
 
 
+def last_stretch(html: Column, tag: str) -> Column:
+    """Inner HTML of the last stretch from a ``tag`` to the next end tag, as written."""
+    pattern = rf"(?is){opening_tag(tag)}(.*?)</{tag}\s*>"
+    return F.get(F.reverse(F.regexp_extract_all(html, F.lit(pattern), F.lit(1))), F.lit(0))
+
+
 def first_element_text(html: Column, tag: str, attribute: str | None = None, value: str | None = None) -> Column:
     return inner_text(first_element(html, tag, attribute, value))
 

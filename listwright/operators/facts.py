@@ -10,6 +10,7 @@ from listwright.functions import html as H
 from listwright.functions import phones as P
 from listwright.functions import urls as U
 from listwright.functions.binding import once
+from listwright.sources.pages import one_per_key
 
 
 def _filled(value: Column) -> Column:
@@ -94,6 +95,13 @@ def page_facts(pages: DataFrame) -> DataFrame:
     )
 
 
+def lookup_facts(facts: DataFrame) -> DataFrame:
+    """Facts with the ``key`` their kind of page is looked up by, the first page of every key."""
+    by_address = F.col("source").isin("review", "directory")
+    keyed = facts.withColumn("key", F.when(by_address, F.col("url")).otherwise(F.col("lookup_key")))
+    return one_per_key(keyed, "source", "key")
+
+
 def anchors(pages: DataFrame) -> DataFrame:
     """(page_id, pos, href, text, has_class), one row per link in document order."""
     return pages.select(

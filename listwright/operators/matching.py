@@ -27,7 +27,6 @@ from listwright.functions.signatures import similarity_keys
 from listwright.functions.similarity import match_score, token_ratio, with_match_score
 from listwright.functions.text import name_tokens
 from listwright.session import materialise
-from listwright.sources.pages import spread
 
 # A word that leads to more places of the other table than this, or to a hundred times as
 # many pairs of places, is set aside where the bound allows it, and the word-pair table then
@@ -78,16 +77,21 @@ def word_counts(names: DataFrame) -> DataFrame:
     return _postings(names).groupBy("token").agg(F.count(F.lit(1)).alias("places"))
 
 
+def _dealt(words: DataFrame) -> DataFrame:
+    """Words in as many parts as a shuffle has; adaptive execution does not merge them."""
+    return words.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token")
+
+
 def token_pairs(left: DataFrame, right: DataFrame, floor: float = ACCEPT_ABOVE) -> DataFrame:
     """All (tok_a, tok_b, ratio) with ratio above ``floor`` between two tables of distinct
     ``token``; found by an equi-join on similarity keys. Making keys is the costly part, so
     the words, a small table for their number, are dealt out to all cores."""
     bound = _fraction(floor)
-    keyed_left = spread(left).select(
+    keyed_left = _dealt(left).select(
         F.col("token").alias("tok_a"),
         F.explode(similarity_keys(F.col("token"), bound, left=True)).alias("key"),
     )
-    keyed_right = spread(right).select(
+    keyed_right = _dealt(right).select(
         F.col("token").alias("tok_b"),
         F.explode(similarity_keys(F.col("token"), bound, left=False)).alias("key"),
     )

@@ -36,15 +36,13 @@ def need_profile() -> Column:
     return F.col("twitter").isNull()
 
 
-def _of_source(facts: DataFrame, source: str, key: str, *columns: str) -> DataFrame:
-    return facts.filter(F.col("source") == source).select(
-        "page_id", F.col(key).alias("_key"), *columns
-    )
+def _of_source(facts: DataFrame, source: str, *columns: str) -> DataFrame:
+    return facts.filter(F.col("source") == source).select(F.col("key").alias("_key"), *columns)
 
 
 def _ask(rows: DataFrame, pages: DataFrame, prefix: str, needed: Column, key: Column) -> DataFrame:
     keyed = rows.withColumn("_key", spread_key(needed, key, *ROW))
-    return look_up(keyed, pages, "_key", prefix).drop("_key", f"{prefix}page_id")
+    return look_up(keyed, pages, "_key", prefix).drop("_key")
 
 
 def default_rows(listings: DataFrame) -> DataFrame:
@@ -69,7 +67,7 @@ def _take_address(row: DataFrame, raw: Column) -> DataFrame:
 
 def with_search_page(rows: DataFrame, facts: DataFrame) -> DataFrame:
     pages = _of_source(
-        facts, "search", "lookup_key", "name", "phone", "address_raw", "website", *SITES
+        facts, "search", "name", "phone", "address_raw", "website", *SITES
     )
     asked = _ask(rows, pages, "s_", F.lit(True), lookup_key(F.col("search_name"), "search"))
     named = asked.withColumn("found_name", F.coalesce("s_name", "found_name"))
@@ -84,8 +82,8 @@ def with_search_page(rows: DataFrame, facts: DataFrame) -> DataFrame:
 
 def with_review_page(rows: DataFrame, facts: DataFrame) -> DataFrame:
     """A linked review page is trusted; one found by lookup must carry a similar name."""
-    lookups = _of_source(facts, "review_search", "lookup_key", "link")
-    reviews = _of_source(facts, "review", "url", "name", "phone", "address_raw", "website")
+    lookups = _of_source(facts, "review_search", "link")
+    reviews = _of_source(facts, "review", "name", "phone", "address_raw", "website")
     unlinked = F.col("yelp").isNull()
     asked = _ask(rows, lookups, "q_", unlinked, lookup_key(F.col("search_name"), "review"))
     url = F.coalesce("yelp", "q_link")
@@ -112,7 +110,7 @@ def with_review_page(rows: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def with_directory_page(rows: DataFrame, facts: DataFrame) -> DataFrame:
-    pages = _of_source(facts, "directory", "url", "name", "phone", "address_raw", "website")
+    pages = _of_source(facts, "directory", "name", "phone", "address_raw", "website")
     asked = _ask(rows, pages, "d_", need_directory(rows), F.col("yellowpages"))
     still_searched = F.col("found_name") == F.col("search_name")
     merged = asked.withColumns(
@@ -127,7 +125,7 @@ def with_directory_page(rows: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def with_profile_page(rows: DataFrame, facts: DataFrame) -> DataFrame:
-    pages = _of_source(facts, "profile", "lookup_key", "link")
+    pages = _of_source(facts, "profile", "link")
     asked = _ask(rows, pages, "t_", need_profile(), lookup_key(F.col("found_name"), "profile"))
     return asked.withColumn("twitter", F.coalesce("twitter", "t_link")).select(*rows.columns)
 
@@ -165,7 +163,7 @@ def finish(rows: DataFrame) -> DataFrame:
 def enrich(listings: DataFrame, facts: DataFrame) -> DataFrame:
     """One enriched row per listing.
 
-    ``facts`` is the table of :func:`listwright.operators.facts.page_facts`.
+    ``facts`` is the written table of :func:`listwright.operators.facts.lookup_facts`.
     """
     rows = default_rows(listings)
     for add in (with_search_page, with_review_page, with_directory_page, with_profile_page):

@@ -16,7 +16,6 @@ from listwright.plans.catalog.shared import (
 )
 from listwright.schemas import PAGES
 from listwright.session import materialise
-from listwright.sources.pages import spread
 
 
 def merge_precedence(spark, sf_dir):
@@ -72,7 +71,9 @@ def customer_pages(spark, sf_dir):
     By balance and segment a customer has a spelling suggestion, a map cell, linked or
     looked-up review pages under a similar or another name, a directory page, profiles.
     """
-    c = table(spark, sf_dir, "customer").withColumn(
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal", "c_nationkey")
+    c = names.repartition(parts, "c_custkey").withColumn(
         "search_name", F.concat("c_name", F.lit(" and "), "c_mktsegment")
     )
     key, segment, balance = F.col("c_custkey"), F.col("c_mktsegment"), F.col("c_acctbal")
@@ -143,12 +144,12 @@ def customer_pages(spark, sf_dir):
         page("directory", None, F.concat(F.lit("http://www.yellowpages.ca/"), key), directory),
         page("profile", lookup_key(F.concat("c_name", F.lit(" "), segment, F.lit(" Café")), "profile"), None, profile),
     )
-    return spread(c.select(key.alias("page_id"), F.inline(each)).select(PAGES.names))
+    return c.select(key.alias("page_id"), F.inline(each)).select(PAGES.names)
 
 
 def enrich_listings(spark, sf_dir):
     """Lists through the whole merge against the made crawl."""
-    facts = materialise(X.page_facts(customer_pages(spark, sf_dir)), "page-facts", "source")
+    facts = materialise(X.lookup_facts(X.page_facts(customer_pages(spark, sf_dir))), "page-facts", "source")
     enriched = G.enrich(listings(list_lines(spark, sf_dir)), facts)
     return enriched.withColumn("score", F.round("score", 6))
 

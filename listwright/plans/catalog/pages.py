@@ -8,7 +8,8 @@ from listwright.functions import urls as U
 from listwright.operators import facts as X
 from listwright.plans.catalog.shared import SHOWN_SQL, element_sql, page_texts, table, text_sql
 from listwright.plans.catalog.streets import SUPPLIER_ADDRESSES_SQL, supplier_addresses
-from listwright.sources.pages import look_up, spread
+from listwright.session import materialise
+from listwright.sources.pages import look_up, one_per_key
 
 
 def page_snapshot(spark, sf_dir):
@@ -16,7 +17,8 @@ def page_snapshot(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     key = U.page_key(F.col("url")).alias("page_key")
     snapshots = pages.select("page_id", key, F.length("html").cast("bigint").alias("chars"))
-    return look_up(pages.select("page_id", key), snapshots, "page_key", "found_")
+    firsts = materialise(one_per_key(snapshots, "page_key"), "page-keys")
+    return look_up(pages.select("page_id", key), firsts, "page_key", "found_")
 
 
 _KEY_SQL = "rtrim(split_part(split_part(url, '#', 1), '?', 1), '/')"
@@ -32,11 +34,48 @@ def first_element_text(spark, sf_dir):
 
 
 def last_element_text(spark, sf_dir):
-    """Last paragraph of every article, the shape of the address lookup."""
-    last = H.inner_text(H.last_element(H.first_element(H.shown_html(F.col("html")), "article"), "p"))
-    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", last.alias("text"))
+    """Last written-out paragraph of every article, with what precedes it where end tags are missing."""
+    last = H.inner_text(H.last_stretch(H.first_element(H.shown_html(F.col("html")), "article"), "p"))
+    return table(spark, sf_dir, "pages").select("page_id", last.alias("text"))
 
 
+def last_paragraph(spark, sf_dir):
+    """Paragraph that opens last in every article; its end tag may be missing."""
+    last = H.last_element(H.first_element(H.shown_html(F.col("html")), "article"), "p")
+    return table(spark, sf_dir, "pages").select("page_id", H.inner_text(last).alias("text"))
+
+
+def made_elements(spark, sf_dir):
+    """Elements that nest their own kind, and list items without end tags, before every page."""
+    parts = (
+        '<div class="made"><div title="</div>">', F.col("url"), "</div><div><div></div></div> ", F.col("page_id"),
+        '</div><ul><li class="phone">', F.col("url"), '<li title="class=phone" class="website"><ul><li>',
+        F.col("page_id"), "</ul></ul>", F.col("html"),
+    )
+    html = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    return table(spark, sf_dir, "pages").select(
+        "page_id",
+        H.first_element_text(html, "div", "class", "made").alias("nested"),
+        H.first_element_text(html, "li", "class", "phone").alias("phone_item"),
+        H.first_element_text(html, "li", "class", "website").alias("website_item"),
+    )
+
+
+_MADE_SQL = """
+SELECT page_id, url || ' ' || page_id AS nested, url AS phone_item, page_id::VARCHAR AS website_item FROM pages"""
+
+
+def open_links(spark, sf_dir):
+    """Links of the pages with every link end tag taken out."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.replace("html", F.lit("</a>"), F.lit("")).alias("html"))
+    return X.anchors(pages).select("page_id", "pos", "href")
+
+
+_OPEN_LINKS_SQL = rf"""
+WITH found AS (SELECT page_id, regexp_extract_all({SHOWN_SQL}, '<a\b[^>]*>') AS links FROM pages)
+SELECT page_id, i::BIGINT AS pos, regexp_extract(links[i + 1], 'href="([^"]*)"', 1) AS href
+FROM found, unnest(range(len(links))) AS u(i)"""
+
 _ARTICLE_SQL = f"regexp_extract({SHOWN_SQL}, '(?s)<article>(.*?)</article>', 1)"
 
 
@@ -159,6 +198,13 @@ QUERIES = {
         f"SELECT page_id, {text_sql('last')} AS text FROM (SELECT page_id,"
         f" regexp_extract_all({_ARTICLE_SQL}, '(?s)<p>(.*?)</p>', 1)[-1] AS last FROM pages)",
     ),
+    "last_paragraph": (
+        last_paragraph,
+        f"SELECT page_id, {text_sql('last')} AS text FROM (SELECT page_id, regexp_replace(string_split("
+        f"{_ARTICLE_SQL}, '<p>')[-1], '(?s)</?(p|div|ul|table|h[1-6])[ >].*$', '') AS last FROM pages)",
+    ),
+    "made_elements": (made_elements, _MADE_SQL),
+    "open_links": (open_links, _OPEN_LINKS_SQL),
     "first_link": (
         first_link,
         f"""SELECT page_id, regexp_extract({SHOWN_SQL}, '(?s)<nav>.*?<a href="([^"]*)"', 1) AS href FROM pages""",

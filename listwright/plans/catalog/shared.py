@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listwright.functions import html as H
-from listwright.sources.pages import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def joined_words(tokens: Column) -> Column:
@@ -24,7 +23,7 @@ def joined_words(tokens: Column) -> Column:
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, title, h1, ad) of every page."""
     html = H.shown_html(F.col("html"))
-    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select(
+    return table(spark, sf_dir, "pages").select(
         "page_id",
         H.first_element_text(html, "title").alias("title"),
         H.first_element_text(html, "h1").alias("h1"),

@@ -4,22 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listwright.operators.facts import page_facts
+from listwright.fixed_values import PROFILE_LIST_SUFFIX, REPORT_SUFFIX
+from listwright.operators.facts import lookup_facts, page_facts
 from listwright.operators.listings import listings
 from listwright.operators.merge import enrich
 from listwright.operators.report import document_rows, fill_rates, profile_list_rows, report_blocks
 from listwright.session import materialise
 from listwright.sources.lists import read_lists
-from listwright.sources.pages import read_pages, spread
-from listwright.sources.reports import write_documents
+from listwright.sources.pages import read_pages
+from listwright.sources.reports import write_named_documents
 
 
 def enrich_lists(spark: SparkSession, list_path: str, pages_path: str) -> DataFrame:
     """Enriched rows of all lists under ``list_path``.
 
-    The facts are written once: four lookups read them, the HTML is read a single time.
+    The facts are written once: five lookups read them, the HTML is read a single time.
     """
-    facts = materialise(page_facts(spread(read_pages(spark, pages_path))), "page-facts", "source")
+    facts = materialise(lookup_facts(page_facts(read_pages(spark, pages_path))), "page-facts", "source")
     return enrich(listings(read_lists(spark, list_path)), facts)
 
 
@@ -28,6 +29,6 @@ def report_lists(spark: SparkSession, list_path: str, pages_path: str, out: str)
     path = out.rstrip("/")
     enrich_lists(spark, list_path, pages_path).write.mode("overwrite").parquet(f"{path}/enriched")
     enriched = spark.read.parquet(f"{path}/enriched")
-    write_documents(document_rows(report_blocks(enriched)), f"{path}/reports")
-    write_documents(profile_list_rows(enriched, "twitter"), f"{path}/profiles")
+    write_named_documents(document_rows(report_blocks(enriched)), f"{path}/reports", REPORT_SUFFIX)
+    write_named_documents(profile_list_rows(enriched, "twitter"), f"{path}/profiles", PROFILE_LIST_SUFFIX)
     return fill_rates(enriched)

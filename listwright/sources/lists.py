@@ -9,10 +9,15 @@ from listwright.functions.text import split_lines
 
 
 def list_name(path: Column) -> Column:
-    """Name of a list: its file name without extension."""
+    """Name of a list for display: its file name without extension. Lists may share it."""
     return F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")
 
 
+def decoded_path(path: Column) -> Column:
+    """A file's path as the scan gives it, with its percent signs decoded: the key of a list."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def number_lines(lines: DataFrame) -> DataFrame:
     """(list_id, line_no, line) from lines of a text scan with ``path``, ``block``, ``line``.
 
@@ -31,7 +36,7 @@ def number_lines(lines: DataFrame) -> DataFrame:
         "first_line", F.coalesce(F.sum("lines").over(earlier), F.lit(0))
     ).drop("lines")
     return placed.join(starts, ["path", "block"]).select(
-        list_name(F.col("path")).alias("list_id"),
+        decoded_path(F.col("path")).alias("list_id"),
         (F.col("first_line") + F.col("place") - F.col("first_place")).alias("line_no"),
         "line",
     )
@@ -46,7 +51,9 @@ def scanned_lines(text: DataFrame) -> DataFrame:
 
 
 def read_lists(spark: SparkSession, path: str) -> DataFrame:
-    """(list_id, line_no, line) of all list files under ``path``; line numbers from 0."""
+    """(list_id, line_no, line) of all list files under ``path``; line numbers from 0.
+    ``list_id`` is the whole path, so files of one name in two folders, or with and without
+    an extension, are lists of their own."""
     return number_lines(scanned_lines(spark.read.text(path)))
 
 

@@ -12,17 +12,11 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PAGES).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a small scan out to all cores; one of enough splits stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def one_per_key(pages: DataFrame, key: str, order: str = "page_id") -> DataFrame:
+def one_per_key(pages: DataFrame, *keys: str, order: str = "page_id") -> DataFrame:
     """First page of every key. Each task keeps one row per key before the shuffle."""
-    first = Window.partitionBy(key).orderBy(order)
+    first = Window.partitionBy(*keys).orderBy(order)
     return (
-        pages.filter(F.col(key).isNotNull())
+        pages.dropna(subset=list(keys))
         .withColumn("_place", F.row_number().over(first))
         .filter("_place = 1")
         .drop("_place")
@@ -37,10 +31,12 @@ def spread_key(needed: Column, key: Column, *row_id: str) -> Column:
 
 
 def look_up(rows: DataFrame, pages: DataFrame, key: str, prefix: str) -> DataFrame:
-    """Left join of ``rows`` with the one page (or its facts) per ``key``; rows without a
-    page stay. The page columns come back with ``prefix``."""
-    found = one_per_key(pages, key)
-    renamed = found.select(
-        F.col(key), *[F.col(c).alias(prefix + c) for c in found.columns if c != key]
+    """Left join of ``rows`` with ``pages``, a written table with one row per ``key``; rows
+    without a page stay. The page columns come back with ``prefix``.
+
+    Both sides are scans, so adaptive execution can split a key that many rows ask for.
+    """
+    renamed = pages.select(
+        F.col(key), *[F.col(c).alias(prefix + c) for c in pages.columns if c != key]
     )
     return rows.join(renamed, key, "left")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from urllib.parse import unquote
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from listwright.sources.lists import list_name
+
 
 def write_documents(rows: DataFrame, path: str) -> None:
     """Write (list_id, line_no, text) as text files under ``path/list_id=...``.
@@ -21,3 +25,44 @@ def write_documents(rows: DataFrame, path: str) -> None:
         .mode("overwrite")
         .text(path)
     )
+
+
+def document_names(lists: DataFrame, suffix: str) -> DataFrame:
+    """(list_id, document): file name of every list's document.
+
+    It is the list's name with ``suffix``; lists that share a name carry a digest of their key.
+    """
+    name = list_name(F.col("list_id"))
+    shared = F.count(F.lit(1)).over(Window.partitionBy(name)) > 1
+    mark = F.when(shared, F.concat(F.lit("-"), F.left(F.sha2("list_id", 256), F.lit(12)))).otherwise("")
+    return lists.select("list_id").distinct().select("list_id", F.concat(name, mark, F.lit(suffix)).alias("document"))
+
+
+def write_named_documents(rows: DataFrame, path: str, suffix: str) -> None:
+    """Write (list_id, line_no, text) as one file per list under ``path``, named after the list.
+
+    The tasks write as :func:`write_documents` does; then the files, one or few per list, get
+    their names. A list written by several tasks has numbered files, which in order are the
+    document: ``june_X.rtf`` or ``june_X-00000.rtf``, ``june_X-00001.rtf``, ...
+    """
+    spark = rows.sparkSession
+    named = rows.join(document_names(rows, suffix), "list_id")
+    write_documents(named.select(F.col("document").alias("list_id"), "line_no", "text"), path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    child = spark._jvm.org.apache.hadoop.fs.Path
+    _, dot, extension = suffix.rpartition(".")
+    for listed in files.listStatus(folder):
+        kept = listed.getPath()
+        _, equals, escaped = kept.getName().partition("=")
+        if not equals:
+            continue
+        document = unquote(escaped)
+        parts = sorted(part.getPath().getName() for part in files.listStatus(kept))
+        for number, part in enumerate(parts):
+            name = document
+            if len(parts) > 1:
+                name = f"{document.removesuffix(dot + extension)}-{number:05d}{dot}{extension}"
+            if not files.rename(child(kept, part), child(folder, name)):
+                raise OSError(f"cannot name {name}")
+        files.delete(kept, True)

@@ -12,6 +12,7 @@ from listwright.operators.facts import anchors, page_facts
 from listwright.operators.report import document_parts, document_rows, report_blocks
 from listwright.plans.enrich_lists import enrich_lists, report_lists
 from listwright.schemas import ENRICHED, PAGE_FACTS, PAGES
+from listwright.sources.pages import look_up
 from listwright.sources.reports import write_documents
 
 SEARCH = """<html><script>var x = '<a class="spell">wrong</a>';</script>
@@ -181,11 +182,11 @@ def test_written_reports(spark, crawl, lists, tmp_path):
     rates = report_lists(spark, lists, crawl, str(tmp_path)).first()
     assert (rates.names, rates.address, rates.phone, rates.website) == (5, 3, 3, 3)
 
-    def document(kind):
-        parts = sorted(Path(tmp_path, kind, "list_id=june").glob("part-*"))
+    def document(kind, suffix):
+        parts = sorted(Path(tmp_path, kind).glob(f"june{suffix.replace('.', '*.')}"))
         return "".join(p.read_text() for p in parts)
 
-    report = document("reports")
+    report = document("reports", "_HYPERLINKED.rtf")
     assert report.startswith(RTF_HEADER) and report.rstrip("\n").endswith(RTF_CLOSE)
     blocks = report.removeprefix(RTF_HEADER).split("\\line\n\n")
     assert [b.split(" \\line")[0] for b in blocks[:-1]] == ["L\\u8217?Atelier", "Kaz\\u252?", "Union", "Broken", "Kaz\\u252?"]
@@ -198,7 +199,31 @@ def test_written_reports(spark, crawl, lists, tmp_path):
         "https://www.facebook.com/t\\u234?te",
         "",
     ]
-    assert document("profiles").startswith("Atelier\n\nKazu\ntwitter.com/kazu_mtl\n\nUnion\n\n")
+    assert document("profiles", "_TWITTERS.txt").startswith("Atelier\n\nKazu\ntwitter.com/kazu_mtl\n\nUnion\n\n")
+
+
+def test_a_name_many_rows_ask_for_is_split(spark, tmp_path):
+    spark.range(1000).select(F.concat(F.lit("k"), "id").alias("key"), F.col("id").alias("v")).write.parquet(str(tmp_path / "facts"))
+    hot = F.when(F.col("id") % 10 > 0, F.lit("k7")).otherwise(F.concat(F.lit("k"), F.col("id") % 2000))
+    spark.range(400_000).select("id", hot.alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("x")).write.parquet(str(tmp_path / "rows"))
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200KB",
+    }
+    for name, value in small.items():
+        spark.conf.set(name, value)
+    try:
+        found = look_up(spark.read.parquet(str(tmp_path / "rows")), spark.read.parquet(str(tmp_path / "facts")), "key", "f_")
+        assert found.filter("f_v is not null").count() == 360_000 + 20_000
+        found = found.select("id", "x", "f_v")
+        found.collect()
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in small:
+            spark.conf.unset(name)
 
 
 def test_long_document_is_written_in_order_by_many_tasks(spark, tmp_path):

@@ -1,7 +1,12 @@
+from pathlib import Path
+
 import pytest
 
+from pyspark.sql import functions as F
+
 from listwright.operators.listings import carry_forward, listings
 from listwright.sources.lists import read_lists
+from listwright.sources.reports import write_named_documents
 from listwright.streaming.list_drops import ingest_list_drops
 
 
@@ -9,7 +14,7 @@ def test_newlines_blanks_and_headers(spark, tmp_path):
     (tmp_path / "june.txt").write_bytes(b"  Ramen:\r\n\r\n Kazu \r\nToi & Moi\rBar:\n\nKazu")
     (tmp_path / "july.txt").write_bytes("Café\n".encode())
     rows = listings(read_lists(spark, str(tmp_path))).orderBy("list_id", "line_no").collect()
-    assert [tuple(r) for r in rows] == [
+    assert [(Path(r[0]).stem, *r[1:]) for r in rows] == [
         ("july", 0, None, "Café"),
         ("june", 2, "Ramen", "Kazu"),
         ("june", 3, "Ramen", "Toi and Moi"),
@@ -17,6 +22,29 @@ def test_newlines_blanks_and_headers(spark, tmp_path):
     ]
 
 
+def test_files_of_one_name_are_lists_of_their_own(spark, tmp_path):
+    for folder in ("a", "b + c"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "june.txt").write_text(f"{folder}:\nKazu\n")
+    (tmp_path / "a" / "may31").write_text("Kazu\nUnion\n")
+    (tmp_path / "a" / "may31.txt").write_text("Bar:\nKazu\n")
+    rows = listings(read_lists(spark, str(tmp_path / "*"))).collect()
+    got = {(r.list_id.split(str(tmp_path))[1], r.line_no, r.section) for r in rows}
+    assert len(rows) == len(got) and got == {
+        ("/a/june.txt", 1, "a"),
+        ("/b + c/june.txt", 1, "b + c"),
+        ("/a/may31", 0, None),
+        ("/a/may31", 1, None),
+        ("/a/may31.txt", 1, "Bar"),
+    }
+    out = tmp_path / "out"
+    lines = read_lists(spark, str(tmp_path / "*")).select("list_id", "line_no", F.concat("line", F.lit("\n")).alias("text"))
+    write_named_documents(lines, str(out), "_X.txt")
+    written = sorted(p.name for p in out.iterdir() if not p.name.startswith((".", "_")))
+    assert [n.split("-")[0] for n in written] == ["june", "june", "may31", "may31"]
+    assert sorted((out / n).read_text() for n in written) == ["Bar:\nKazu\n", "Kazu\nUnion\n", "a:\nKazu\n", "b + c:\nKazu\n"]
+
+
 def test_line_numbers_over_many_blocks(spark, tmp_path):
     lines = [f"name {i} {'x' * (i % 50)}" for i in range(20_000)]
     for name in ("a", "b"):
@@ -51,7 +79,7 @@ def test_dropped_lists_are_taken_once(spark, tmp_path):
 
     def run():
         ingest_list_drops(spark, str(drops), out, checkpoint).awaitTermination(120)
-        return {(r.list_id, r.line_no, r.search_name) for r in spark.read.parquet(out).collect()}
+        return {(Path(r.list_id).stem, r.line_no, r.search_name) for r in spark.read.parquet(out).collect()}
 
     (drops / "june6.txt").write_text("Ramen:\nKazu\n")
     assert run() == {("june6", 1, "Kazu")}
