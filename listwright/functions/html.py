@@ -21,6 +21,7 @@ _VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
 # Tag text before an attribute and after it: a quoted value, which follows "=", is passed over whole.
 _BEFORE = r"""[^>=]*?(?:=\s*+(?:"[^"]*"|'[^']*'|(?!["']))[^>=]*?)*?(?<=[\s"'/])"""
 _TAG_REST = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+'|(?!["']))[^>=]*+)*+>"""
+_IN_TAG = r"""[^<>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+'|(?!["']))[^<>=]*+)*+"""
 _LINK_TAG = rf"<a\b(?:{_TAG_REST}|[^>]*>)"
 # Elements whose end tag may be left out: tags that hold elements of the same kind deeper
 # down, and tags that end the element where they stand at its own depth.
@@ -84,7 +85,7 @@ def decode_references(text: Column) -> Column:
 
 def inner_text(fragment: Column) -> Column:
     """Text of an HTML fragment: tags out, references decoded, trimmed; NULL stays NULL."""
-    return trim_blanks(decode_references(F.regexp_replace(fragment, "<[^>]*>", "")))
+    return trim_blanks(decode_references(F.regexp_replace(fragment, f"(?i)</?[a-z]{_TAG_REST}|<[^>]*>", "")))
 
 
 def opening_tag(tag: str, attribute: str | None = None, value: str | None = None) -> str:
@@ -115,8 +116,8 @@ def _up_to_end(following: Column, tag: str) -> Column:
     """
     nesting, ending = _IMPLIED_ENDS.get(tag, (tag, ""))
     names = "|".join(filter(None, (nesting, ending)))
-    marked = rf"</?(?:{names})(?=[\s/>])"
-    unmarked = rf"[^<]*+(?:<(?!/?(?:{names})(?=[\s/>]))[^<]*+)*+"
+    marked = rf"</?(?:{names})(?=[\s/>]){_IN_TAG}"
+    unmarked = rf"[^<]*+(?:<(?!/?(?:{names})(?=[\s/>]))(?:[a-z]{_IN_TAG})?[^<]*+)*+"
     opens = rf"(?i)^<(?:{nesting})(?=[\s/>])" if nesting else r"^(?!)"
     closes = rf"(?i)^</(?:{nesting})(?=[\s/>])" if nesting else r"^(?!)"
 
