@@ -3,13 +3,19 @@ again with other values still meets its template; the values that fill the slots
 
 Windows of five template words join on their hash. Document windows first pass a bitmap of the benchmark's windows, whose
 size is fixed, so that only likely hits are shuffled; the join itself works for a benchmark of any size.
+
+Hits are settled by occurrence: a hit's diagonal is its place in the document less its place in the item, and a copy's hits
+lie on one diagonal, or on near ones where words were put in or left out. Diagonals are cut into spans, so that what a task
+holds is bounded by the item's length, not the text's.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +27,8 @@ from listwright.llm.common import Buffer, bitmap, column, in_arrow, in_bitmap, t
 
 WIDTH = 5
 PERCENT = 75
+# Diagonals that are settled together; those within an item's slack of an edge go to both sides.
+SPAN = 2048
 
 # Units of measure and number words.
 UNITS = frozenset(
@@ -99,8 +107,17 @@ def _windows(body: bytes, templates: Templates) -> tuple[list[bytes], np.ndarray
     return words, slot, window_hashes(hashes, WIDTH)
 
 
-_ITEMS = pa.schema([("window", pa.int64()), ("item_id", pa.int64()), ("pos", pa.int32()), ("item_windows", pa.int32()), ("item_slots", pa.list_(pa.string()))])
-_ITEMS_SQL = "window long, item_id long, pos int, item_windows int, item_slots array<string>"
+def _digest(body: bytes) -> int:
+    """Tells apart texts that share an id."""
+    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(body))))
+
+
+_ITEMS = pa.schema(
+    [("window", pa.int64()), ("item_id", pa.int64()), ("item", pa.int64()), ("pos", pa.int64()), ("item_windows", pa.int64()), ("item_slots", pa.list_(pa.string()))]
+)
+_ITEMS_SQL = "window long, item_id long, item long, pos long, item_windows long, item_slots array<string>"
+_LIKELY = pa.schema([("window", pa.int64()), ("doc_id", pa.int64()), ("body", pa.int64()), ("at", pa.int64()), ("doc_slots", pa.list_(pa.string()))])
+_LIKELY_SQL = "window long, doc_id long, body long, at long, doc_slots array<string>"
 
 
 def _item_windows(batches) -> Iterator[pa.RecordBatch]:
@@ -108,38 +125,44 @@ def _item_windows(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for item_id, body in zip(column(batch, "doc_id"), column(batch, "body")):
             words, slot, windows = _windows(body, templates)
+            digest = _digest(body)
             for pos, window in enumerate(windows.view(np.int64).tolist()):
-                yield from out.add((window, item_id, pos, len(windows), _values(words, slot, pos, WIDTH)), 64)
+                yield from out.add((window, item_id, digest, pos, len(windows), _values(words, slot, pos, WIDTH)), 64)
     yield from out.flush()
 
 
 def _likely(packed: bytes):
     def likely(batches) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("window", pa.int64()), ("doc_id", pa.int64()), ("doc_slots", pa.list_(pa.string()))])
         has = in_bitmap(packed)
-        templates, out = Templates(), Buffer(schema)
+        templates, out = Templates(), Buffer(_LIKELY)
         for batch in batches:
             for doc_id, body in zip(column(batch, "doc_id"), column(batch, "body")):
                 words, slot, windows = _windows(body, templates)
                 hits = np.nonzero(has(windows))[0]
+                digest = _digest(body) if len(hits) else 0
                 for at, window in zip(hits.tolist(), windows.view(np.int64)[hits].tolist()):
-                    yield from out.add((window, doc_id, _values(words, slot, at, WIDTH)), 64)
+                    yield from out.add((window, doc_id, digest, at, _values(words, slot, at, WIDTH)), 64)
         yield from out.flush()
 
     return likely
 
 
-_FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("percent", pa.float64()), ("renamed", pa.bool_())])
+_KEY = ("doc_id", "body", "item_id", "item")
+_FOUND = pa.schema([*((name, pa.int64()) for name in (*_KEY, "item_windows", "count")), ("same", pa.bool_()), ("verbatim", pa.list_(pa.int64()))])
+_FOUND_SQL = "doc_id long, body long, item_id long, item long, item_windows long, count long, same boolean, verbatim array<long>"
+
+Row = tuple[int, list[str], list[str]]
 
 
-def _consistent(rows: list[tuple[int, list[str], list[str]]]) -> tuple[int, bool]:
-    """Of windows (place in the item, item's values, document's values): how many places agree on what each item value
-    became, and whether any value changed. The most frequent mapping decides, ties to the value that sorts first."""
+def _settled(rows: list[Row]) -> tuple[set[int], dict[str, str]]:
+    """Of windows (place in the item, item's values, document's values): the places that agree on what each item value
+    became, and what it became. The most frequent mapping decides, ties to the value as it was, then to the one that sorts
+    first."""
     votes: dict[str, Counter] = {}
     for _, mine, theirs in rows:
         for a, b in zip(mine, theirs):
             votes.setdefault(a, Counter())[b] += 1
-    became = {a: min(of.items(), key=lambda kv: (-kv[1], kv[0]))[0] for a, of in votes.items()}
+    became = {a: min(of.items(), key=lambda kv: (-kv[1], kv[0] != a, kv[0]))[0] for a, of in votes.items()}
     taken = Counter(became.values())
     # Two item values may not become one, unless that is what all windows say of a value left as it was.
     wrong = {a for a, b in became.items() if taken[b] > 1 and a != b}
@@ -148,36 +171,99 @@ def _consistent(rows: list[tuple[int, list[str], list[str]]]) -> tuple[int, bool
         for place, mine, theirs in rows
         if all(became[a] == b and a not in wrong for a, b in zip(mine, theirs))
     }
+    return good, became
+
+
+def _consistent(rows: list[Row]) -> tuple[int, bool]:
+    """How many places agree, and whether any value changed."""
+    good, became = _settled(rows)
     return len(good), any(a != b for a, b in became.items())
 
 
+def slack(item_windows):
+    """How far apart the diagonals of one occurrence may lie."""
+    return 2 * item_windows + 128
+
+
+def _occurrence(diagonals: dict[int, list[Row]], anchor: int, near: list[int]) -> tuple[int, bool]:
+    """How many places the occurrence around a diagonal has, and whether its values are the item's.
+
+    The anchor's own windows settle the mapping; other diagonals, from near to far, only add places that agree with it.
+    So text farther off takes nothing away.
+    """
+    good, _ = _settled(diagonals[anchor])
+    became, taken = {}, {}
+
+    def fits(mine, theirs):
+        return all(became.get(a, b) == b and taken.get(b, a) == a for a, b in zip(mine, theirs))
+
+    def take(mine, theirs):
+        for a, b in zip(mine, theirs):
+            became[a] = b
+            taken[b] = a
+
+    rows = [row for row in diagonals[anchor] if row[0] in good]
+    places = set()
+    for diagonal in sorted(near, key=lambda d: (abs(d - anchor), d)):
+        for place, mine, theirs in rows if diagonal == anchor else diagonals[diagonal]:
+            if place not in places and fits(mine, theirs):
+                # A window may not tie two of its own slots together either.
+                if len(set(zip(mine, theirs))) == len(set(mine)) == len(set(theirs)):
+                    places.add(place)
+                    take(mine, theirs)
+    return len(places), all(a == b for a, b in became.items())
+
+
+def _best(rows: list[tuple], span: int, total: int) -> tuple[int, bool]:
+    """The best occurrence anchored in the span, if it reaches the share; rows are (diagonal, *Row), by diagonal."""
+    diagonals: dict[int, list[Row]] = {}
+    for row in rows:
+        diagonals.setdefault(row[0], []).append(row[1:])
+    order = list(diagonals)
+    sums = [0, *accumulate(len(diagonals[d]) for d in order)]
+    best = (0, True)
+    for anchor in sorted(order, key=lambda d: (-len(diagonals[d]), d)):
+        if anchor // SPAN != span:
+            continue
+        first, last = bisect_left(order, anchor - slack(total)), bisect_right(order, anchor + slack(total))
+        least = max(best[0], -(-PERCENT * total // 100))
+        if sums[last] - sums[first] < least:
+            continue
+        near = order[first:last]
+        if len({row[0] for d in near for row in diagonals[d]}) >= least:
+            best = max(best, _occurrence(diagonals, anchor, near))
+            if best == (total, True):
+                break
+    return best
+
+
 def _decide(batches) -> Iterator[pa.RecordBatch]:
-    """Stream rows sorted by (doc_id, item_id)."""
+    """Stream rows sorted by (key, span, diagonal): the best occurrence of each span and the places held word for word."""
     out, key, rows, total = Buffer(_FOUND), None, [], 0
 
     def decided():
-        count, renamed = _consistent(rows)
-        if 100 * count >= PERCENT * total:
-            yield (*key, 100.0 * count / total, renamed)
+        count, same = _best(rows, key[-1], total)
+        verbatim = sorted({place for _, place, mine, theirs in rows if mine == theirs})
+        yield from out.add((*key[:-1], total, count, same, verbatim), 64 + 8 * len(verbatim))
 
-    names = ("doc_id", "item_id", "pos", "item_slots", "doc_slots", "item_windows")
+    names = (*_KEY, "span", "item_windows", "diagonal", "pos", "item_slots", "doc_slots")
     for batch in batches:
         for row in zip(*(column(batch, name) for name in names)):
-            if row[:2] != key:
+            if row[:5] != key:
                 if key is not None:
-                    for found in decided():
-                        yield from out.add(found)
-                key, rows, total = row[:2], [], row[5]
-            rows.append(row[2:5])
+                    yield from decided()
+                key, rows, total = row[:5], [], row[5]
+            rows.append(row[6:])
     if key is not None:
-        for found in decided():
-            yield from out.add(found)
+        yield from decided()
     yield from out.flush()
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, percent, renamed): documents that hold at least 75 % of an item's template windows.
 
+    The share is that of the best occurrence, or of the windows held word for word anywhere in the text; so text beside an
+    occurrence never clears a document. Of texts or items that share an id, each is looked at by itself.
     ``renamed`` tells that slots hold other values than the item's. Words are split at white space, lower-cased (A-Z),
     punctuation at their ends dropped. Null, empty or wordless texts and items, and rows without an id, are in no
     pair. An item of fewer than five words has one window, found in documents that are nothing else. Repeated rows
@@ -186,10 +272,20 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     held = benchmark.filter("item_id IS NOT NULL").select(F.col("item_id").alias("doc_id"), "text")
     items = in_arrow(texts(held), _item_windows, _ITEMS_SQL).distinct()
     bodies = texts(docs.filter("doc_id IS NOT NULL"))
-    likely = in_arrow(bodies, _likely(bitmap(items.select("window"))), "window long, doc_id long, doc_slots array<string>")
-    hits = likely.distinct().join(items, "window").drop("window").distinct()
-    hits = hits.repartition("doc_id", "item_id").sortWithinPartitions("doc_id", "item_id", "pos")
-    return in_arrow(hits, _decide, "doc_id long, item_id long, percent double, renamed boolean")
+    likely = in_arrow(bodies, _likely(bitmap(items.select("window"))), _LIKELY_SQL)
+    hits = likely.distinct().join(items, "window").withColumn("diagonal", F.col("at") - F.col("pos")).drop("window", "at")
+    edges = (F.floor((F.col("diagonal") + sign * slack(F.col("item_windows"))) / SPAN) for sign in (-1, 1))
+    hits = hits.withColumn("span", F.explode(F.sequence(*edges)))
+    hits = hits.repartition(*_KEY, "span").sortWithinPartitions(*_KEY, "span", "diagonal", "pos")
+    found = in_arrow(hits, _decide, _FOUND_SQL)
+    found = found.groupBy(*_KEY, "item_windows").agg(
+        F.max(F.struct("count", "same")).alias("one"), F.size(F.array_distinct(F.flatten(F.collect_list("verbatim")))).alias("verbatim")
+    )
+    found = found.select("doc_id", "item_id", "item_windows", F.greatest("one", F.struct(F.col("verbatim").cast("long").alias("count"), F.lit(True).alias("same"))).alias("one"))
+    found = found.filter(100 * F.col("one.count") >= PERCENT * F.col("item_windows"))
+    percent = 100.0 * F.col("one.count") / F.col("item_windows")
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct(percent.alias("percent"), F.col("one.same").alias("same"))).alias("one"))
+    return best.select("doc_id", "item_id", "one.percent", (~F.col("one.same")).alias("renamed"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

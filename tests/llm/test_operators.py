@@ -219,6 +219,19 @@ def test_contamination(spark, docs):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0 == decontaminate.contaminated(docs, bench.limit(0)).count()
 
 
+def test_contamination_by_occurrence(spark):
+    item = "A train leaves the station at 9 with 120 people and travels 300 km to Paris in 4 hours, how fast was it on average?"
+    variant = item.replace("at 9", "at 7").replace("120", "455").replace("300", "200").replace("Paris", "Rome").replace("in 4", "in 2")
+    cut = item.split()
+    spread = " ".join(cut[:13]) + " pause" * 900 + " " + " ".join(cut[9:])
+    rows = [(1, f"{item} {variant}"), (2, f"{variant} And then. {item} {variant}"), (3, variant + " word" * 5000 + f" {item}"), (4, spread), (5, variant)]
+    rows += [(6, " ".join([*cut[:12], "then", *cut[12:]])), (7, variant.replace("455", "7"))]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r["doc_id"]: (r["percent"], r["renamed"]) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got[1] == got[2] == got[3] == got[4] == (100.0, False) and got[5] == (100.0, True)
+    assert got[6][0] >= 75 and not got[6][1] and 7 not in got
+
+
 def test_slots_must_map_one_to_one():
     rows = [(i, ["1a", "1b"], ["1x", "1y"]) for i in range(4)]
     assert decontaminate._consistent(rows) == (4, True)
