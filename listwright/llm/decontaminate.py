@@ -1,5 +1,6 @@
 """Benchmark decontamination by template: numbers, names and units become typed placeholders, so a question asked
-again with other values still meets its template; the values that fill the slots must then map one to one.
+again with other values still meets its template; the values that fill the slots must then map one to one. A capitalised
+word within a sentence is a name; one that begins a sentence is read both as a name and as it is.
 
 Windows of five template words join on their hash. Document windows first pass a bitmap of the benchmark's windows, whose
 size is fixed, so that only likely hits are shuffled; the join itself works for a benchmark of any size.
@@ -76,7 +77,8 @@ class Templates(dict):
             slot = _PLAIN
         self.slot[at] = slot
         self.hash[at] = xxhash.xxh3_64_intdigest(low)
-        self.capital[at] = slot == _PLAIN and bare[:1].isupper() and not bare[1:].isupper()
+        text = bare.decode(errors="replace")
+        self.capital[at] = slot == _PLAIN and text[:1].isupper() and not text[1:].isupper()
         self.ends[at] = word.rstrip(b")]\"'")[-1:] in (b".", b"!", b"?", b":")
         return at
 
@@ -86,13 +88,13 @@ class Templates(dict):
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         return self.slot[at], self.hash[at], self.capital[at], self.ends[at]
 
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Slot and template hash of each word. A capitalised word within a sentence is a name."""
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Slot and template hash of each word, and where a capitalised word begins a sentence. Within one it is a name."""
         parts = [self._some(words[at : at + self.most // 2]) for at in range(0, len(words) or 1, self.most // 2)]
         slot, hashes, capital, ends = (np.concatenate(column) for column in zip(*parts))
         starts = np.append(True, ends[:-1])[: len(ends)]
         slot = np.where(capital & ~starts, np.int8(_NAME_SLOT), slot)
-        return slot, np.where(slot > 0, _SLOT_HASH[slot], hashes)
+        return slot, np.where(slot > 0, _SLOT_HASH[slot], hashes), capital & starts
 
 
 def _values(words: list[bytes], slot: np.ndarray, at: int, width: int) -> list[str]:
@@ -101,10 +103,36 @@ def _values(words: list[bytes], slot: np.ndarray, at: int, width: int) -> list[s
     return [f"{slot[i]}{words[i].strip(_EDGES).lower().decode(errors='replace')}" for i in held if slot[i]]
 
 
-def _windows(body: bytes, templates: Templates) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def _windows(body: bytes, templates: Templates) -> tuple[list[bytes], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """The words, and readings of them: slots, windows, and which windows differ from those of the readings before.
+
+    A capitalised word that begins a sentence may be a name or not, so it is read both ways. Each second one of them is
+    read alike, so windows with up to two have all their readings; those with more (sentences of a word or two) have four.
+    """
     words = words_of(body)
-    slot, hashes = templates.of(words)
-    return words, slot, window_hashes(hashes, WIDTH)
+    slot, hashes, maybe = templates.of(words)
+    windows = window_hashes(hashes, WIDTH)
+    readings = [(slot, windows, np.ones(len(windows), bool))]
+    places = np.nonzero(maybe)[0]
+    width = min(WIDTH, len(words))
+    for as_names in (places, places[::2], places[1::2]):
+        if len(as_names) and (len(as_names) < len(places) or as_names is places):
+            some, changed = slot.copy(), hashes.copy()
+            some[as_names], changed[as_names] = _NAME_SLOT, _SLOT_HASH[_NAME_SLOT]
+            # Only windows that hold such a word; the mixed readings only those that hold one read either way.
+            new = _holding(as_names, len(words), width)
+            if as_names is not places:
+                new &= _holding(np.setdiff1d(places, as_names), len(words), width)
+            readings.append((some, window_hashes(changed, WIDTH), new))
+    return words, readings
+
+
+def _holding(places: np.ndarray, n: int, width: int) -> np.ndarray:
+    """Which windows of ``width`` of n words hold any of the places."""
+    sums = np.zeros(n + 1, np.int64)
+    sums[places + 1] = 1
+    sums = sums.cumsum()
+    return sums[width:] > sums[: n - width + 1]
 
 
 def _digest(body: bytes) -> int:
@@ -124,10 +152,12 @@ def _item_windows(batches) -> Iterator[pa.RecordBatch]:
     templates, out = Templates(), Buffer(_ITEMS)
     for batch in batches:
         for item_id, body in zip(column(batch, "doc_id"), column(batch, "body")):
-            words, slot, windows = _windows(body, templates)
+            words, readings = _windows(body, templates)
             digest = _digest(body)
-            for pos, window in enumerate(windows.view(np.int64).tolist()):
-                yield from out.add((window, item_id, digest, pos, len(windows), _values(words, slot, pos, WIDTH)), 64)
+            for slot, windows, new in readings:
+                at = np.nonzero(new)[0]
+                for pos, window in zip(at.tolist(), windows.view(np.int64)[at].tolist()):
+                    yield from out.add((window, item_id, digest, pos, len(windows), _values(words, slot, pos, WIDTH)), 64)
     yield from out.flush()
 
 
@@ -137,11 +167,14 @@ def _likely(packed: bytes):
         templates, out = Templates(), Buffer(_LIKELY)
         for batch in batches:
             for doc_id, body in zip(column(batch, "doc_id"), column(batch, "body")):
-                words, slot, windows = _windows(body, templates)
-                hits = np.nonzero(has(windows))[0]
-                digest = _digest(body) if len(hits) else 0
-                for at, window in zip(hits.tolist(), windows.view(np.int64)[hits].tolist()):
-                    yield from out.add((window, doc_id, digest, at, _values(words, slot, at, WIDTH)), 64)
+                words, readings = _windows(body, templates)
+                digest = None
+                for slot, windows, new in readings:
+                    hits = np.nonzero(has(windows) & new)[0]
+                    if digest is None and len(hits):
+                        digest = _digest(body)
+                    for at, window in zip(hits.tolist(), windows.view(np.int64)[hits].tolist()):
+                        yield from out.add((window, doc_id, digest, at, _values(words, slot, at, WIDTH)), 64)
         yield from out.flush()
 
     return likely

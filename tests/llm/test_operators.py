@@ -232,6 +232,26 @@ def test_contamination_by_occurrence(spark):
     assert got[6][0] >= 75 and not got[6][1] and 7 not in got
 
 
+def test_contamination_with_names_at_starts(spark):
+    items = [
+        "Tom has 5 apples. Tom gives 2 to Ann. Tom buys 6 more. How many does Tom have?",
+        "Émile pays 4 francs for each of the large maps that Émile bought from Ñata on the old market square.",
+        "Anna and her cousin walk. Boris sees the tall tower. Clara draws it on paper. Whose picture is the best?",
+    ]
+    swaps = [{"Tom": "Eve"}, {"Émile": "Óscar", "Ñata": "Иван"}, {"Anna": "Иван", "Boris": "Étienne", "Clara": "Mary"}]
+    rows = []
+    for i, (item, swap) in enumerate(zip(items, swaps)):
+        other = item
+        for a, b in swap.items():
+            other = other.replace(a, b)
+        rows += [(10 * i, item), (10 * i + 1, other), (10 * i + 2, f"So then. {other} After it.")]
+    rows.append((90, items[0].replace("Tom gives", "Eve gives").replace("Tom buys", "Max buys")))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r["doc_id"]: (r["item_ids"], r["renamed"]) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {10 * i + k: ([i], k > 0) for i in range(3) for k in range(3)}
+
+
 def test_slots_must_map_one_to_one():
     rows = [(i, ["1a", "1b"], ["1x", "1y"]) for i in range(4)]
     assert decontaminate._consistent(rows) == (4, True)
