@@ -7,7 +7,8 @@ size is fixed, so that only likely hits are shuffled; the join itself works for
 
 Hits are settled by occurrence: a hit's diagonal is its place in the document less its place in the item, and a copy's hits
 lie on one diagonal, or on near ones where words were put in or left out. Diagonals are cut into spans, so that what a task
-holds is bounded by the item's length, not the text's.
+holds is bounded by the item's length, not the text's. Windows of slots only, which any table of numbers is full of, are
+checked on the diagonals of other windows' hits alone.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listwright.llm.common import Buffer, bitmap, column, in_arrow, in_bitmap, texts, window_hashes, words_of
+from listwright.session import materialise
 
 WIDTH = 5
 PERCENT = 75
@@ -127,6 +129,11 @@ def _windows(body: bytes, templates: Templates) -> tuple[list[bytes], list[tuple
     return words, readings
 
 
+def _bare(slot: np.ndarray) -> np.ndarray:
+    """Which windows are of slots only."""
+    return ~_holding(np.nonzero(slot == _PLAIN)[0], len(slot), min(WIDTH, len(slot)))
+
+
 def _holding(places: np.ndarray, n: int, width: int) -> np.ndarray:
     """Which windows of ``width`` of n words hold any of the places."""
     sums = np.zeros(n + 1, np.int64)
@@ -141,11 +148,16 @@ def _digest(body: bytes) -> int:
 
 
 _ITEMS = pa.schema(
-    [("window", pa.int64()), ("item_id", pa.int64()), ("item", pa.int64()), ("pos", pa.int64()), ("item_windows", pa.int64()), ("item_slots", pa.list_(pa.string()))]
+    [
+        *((name, pa.int64()) for name in ("window", "item_id", "item", "pos", "item_windows")),
+        ("item_slots", pa.list_(pa.string())),
+        ("bare", pa.bool_()),
+        ("tabular", pa.bool_()),
+    ]
 )
-_ITEMS_SQL = "window long, item_id long, item long, pos long, item_windows long, item_slots array<string>"
-_LIKELY = pa.schema([("window", pa.int64()), ("doc_id", pa.int64()), ("body", pa.int64()), ("at", pa.int64()), ("doc_slots", pa.list_(pa.string()))])
-_LIKELY_SQL = "window long, doc_id long, body long, at long, doc_slots array<string>"
+_ITEMS_SQL = "window long, item_id long, item long, pos long, item_windows long, item_slots array<string>, bare boolean, tabular boolean"
+_LIKELY = pa.schema([*((name, pa.int64()) for name in ("window", "doc_id", "body", "at")), ("doc_slots", pa.list_(pa.string())), ("bare", pa.bool_())])
+_LIKELY_SQL = "window long, doc_id long, body long, at long, doc_slots array<string>, bare boolean"
 
 
 def _item_windows(batches) -> Iterator[pa.RecordBatch]:
@@ -154,10 +166,14 @@ def _item_windows(batches) -> Iterator[pa.RecordBatch]:
         for item_id, body in zip(column(batch, "doc_id"), column(batch, "body")):
             words, readings = _windows(body, templates)
             digest = _digest(body)
-            for slot, windows, new in readings:
+            bares = [_bare(slot) for slot, _, _ in readings]
+            # So few windows of such an item have a plain word that those alone may not lead to it.
+            tabular = bool(100 * np.logical_or.reduce(bares).sum() >= PERCENT * len(bares[0]))
+            for (slot, windows, new), bare in zip(readings, bares):
                 at = np.nonzero(new)[0]
                 for pos, window in zip(at.tolist(), windows.view(np.int64)[at].tolist()):
-                    yield from out.add((window, item_id, digest, pos, len(windows), _values(words, slot, pos, WIDTH)), 64)
+                    row = (window, item_id, digest, pos, len(windows), _values(words, slot, pos, WIDTH), bool(bare[pos]), tabular)
+                    yield from out.add(row, 64)
     yield from out.flush()
 
 
@@ -171,10 +187,12 @@ def _likely(packed: bytes):
                 digest = None
                 for slot, windows, new in readings:
                     hits = np.nonzero(has(windows) & new)[0]
-                    if digest is None and len(hits):
-                        digest = _digest(body)
-                    for at, window in zip(hits.tolist(), windows.view(np.int64)[hits].tolist()):
-                        yield from out.add((window, doc_id, digest, at, _values(words, slot, at, WIDTH)), 64)
+                    if not len(hits):
+                        continue
+                    digest = _digest(body) if digest is None else digest
+                    bare = _bare(slot)[hits].tolist()
+                    for at, window, no_word in zip(hits.tolist(), windows.view(np.int64)[hits].tolist(), bare):
+                        yield from out.add((window, doc_id, digest, at, _values(words, slot, at, WIDTH), no_word), 64)
         yield from out.flush()
 
     return likely
@@ -292,21 +310,42 @@ def _decide(batches) -> Iterator[pa.RecordBatch]:
     yield from out.flush()
 
 
+def _hits(likely: DataFrame, items: DataFrame) -> DataFrame:
+    """Document windows with the item windows they meet.
+
+    Windows with a plain word meet all items that have them. Those of slots only meet an item's on a diagonal that such
+    a hit has opened: at most one document window for each of the item's. A tabular item, whose windows of slots only would
+    do by themselves, also meets windows of slots only that hold its very values.
+    """
+    columns = (*_KEY, "item_windows", "diagonal", "pos", "item_slots", "doc_slots")
+    diagonal = (F.col("at") - F.col("pos")).alias("diagonal")
+    word, bare = items.filter("NOT bare").drop("bare", "tabular"), items.filter("bare").drop("bare")
+    word_likely, bare_likely = likely.filter("NOT bare").drop("bare"), likely.filter("bare").drop("bare")
+    opened = word_likely.join(word, "window").select("*", diagonal).select(*columns)
+    of_values = bare.filter("tabular").withColumnRenamed("window", "_window")
+    same = (F.col("window") == F.col("_window")) & (F.col("doc_slots") == F.col("item_slots"))
+    valued = bare_likely.join(of_values, same).select("*", diagonal).select(*columns)
+    ways = opened.select(*_KEY, "diagonal").union(valued.select(*_KEY, "diagonal")).distinct()
+    asked = ways.join(bare.drop("tabular"), ["item_id", "item"]).withColumn("at", F.col("diagonal") + F.col("pos"))
+    beside = bare_likely.join(asked, ["doc_id", "body", "at", "window"]).select(*columns)
+    return opened.union(beside)
+
+
 def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, percent, renamed): documents that hold at least 75 % of an item's template windows.
 
     The share is that of the best occurrence, or of the windows held word for word anywhere in the text; so text beside an
-    occurrence never clears a document. Of texts or items that share an id, each is looked at by itself.
+    occurrence never clears a document. An item nearly all numbers and names is found by its own values, not by others'. Of texts or items that share an id, each is looked at by itself.
     ``renamed`` tells that slots hold other values than the item's. Words are split at white space, lower-cased (A-Z),
     punctuation at their ends dropped. Null, empty or wordless texts and items, and rows without an id, are in no
     pair. An item of fewer than five words has one window, found in documents that are nothing else. Repeated rows
     change nothing.
     """
     held = benchmark.filter("item_id IS NOT NULL").select(F.col("item_id").alias("doc_id"), "text")
-    items = in_arrow(texts(held), _item_windows, _ITEMS_SQL).distinct()
+    items = materialise(in_arrow(texts(held), _item_windows, _ITEMS_SQL).distinct(), "item-windows")
     bodies = texts(docs.filter("doc_id IS NOT NULL"))
-    likely = in_arrow(bodies, _likely(bitmap(items.select("window"))), _LIKELY_SQL)
-    hits = likely.distinct().join(items, "window").withColumn("diagonal", F.col("at") - F.col("pos")).drop("window", "at")
+    likely = materialise(in_arrow(bodies, _likely(bitmap(items.select("window"))), _LIKELY_SQL).distinct(), "likely-windows")
+    hits = _hits(likely, items)
     edges = (F.floor((F.col("diagonal") + sign * slack(F.col("item_windows"))) / SPAN) for sign in (-1, 1))
     hits = hits.withColumn("span", F.explode(F.sequence(*edges)))
     hits = hits.repartition(*_KEY, "span").sortWithinPartitions(*_KEY, "span", "diagonal", "pos")

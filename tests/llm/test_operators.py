@@ -252,6 +252,24 @@ def test_contamination_with_names_at_starts(spark):
     assert got == {10 * i + k: ([i], k > 0) for i in range(3) for k in range(3)}
 
 
+def test_windows_of_slots_only(spark):
+    chance = random.Random(9)
+    numbers = " ".join(map(str, range(10, 40)))
+    items = [f"The table of squares reads {numbers} and so it goes on", " ".join(map(str, range(100, 130)))]
+    table = " ".join(str(chance.randrange(1000, 9999)) for _ in range(3000))
+    renamed = items[0].replace(numbers, " ".join(map(str, range(50, 80))))
+    rows = [(1, table), (2, f"{table} {items[0]} {table}"), (3, f"{table} {items[1]}"), (4, f"{renamed} {table}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r["doc_id"]: (r["item_ids"], r["percent"], r["renamed"]) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {2: ([0], 100.0, False), 3: ([1], 100.0, False), 4: ([0], 100.0, True)}
+    held = decontaminate.in_arrow(decontaminate.texts(bench.withColumnRenamed("item_id", "doc_id")), decontaminate._item_windows, decontaminate._ITEMS_SQL)
+    packed = decontaminate.bitmap(held.select("window"))
+    likely = decontaminate.in_arrow(decontaminate.texts(docs), decontaminate._likely(packed), decontaminate._LIKELY_SQL)
+    # Rows that reach the groups: the items' own windows, not document windows times item windows.
+    assert decontaminate._hits(likely.distinct(), held.distinct()).count() < 500
+
+
 def test_slots_must_map_one_to_one():
     rows = [(i, ["1a", "1b"], ["1x", "1y"]) for i in range(4)]
     assert decontaminate._consistent(rows) == (4, True)
