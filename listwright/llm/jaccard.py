@@ -14,6 +14,9 @@ counts, of fixed size, so that common columns fall out of nearly all prefixes.
    multiplied (bitmap against bitmap), and the best pairs between components are counted exactly, until no pair that
    the bounds let through is left between two components. So no group emits all its pairs, and no link
    between components is lost.
+
+Those are the components. ``links`` is the join itself: blocked products of the whole incidence add up the overlap of each
+pair of sets, and the size bounds discard. Its result has all pairs of a group, so components are not made from it.
 """
 
 from __future__ import annotations
@@ -140,7 +143,9 @@ def _ranks(sets: DataFrame) -> np.ndarray:
 _ENTRIES = pa.schema([("shingle", pa.int64()), ("set_id", pa.int64()), ("n", pa.int64())])
 
 
-def _incidence(ranks: np.ndarray):
+def _incidence(ranks: np.ndarray | None):
+    """Entries of each set's prefix; without ``ranks``, of the whole set."""
+
     def entries(batches) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
         for batch in batches:
@@ -155,8 +160,8 @@ def _incidence(ranks: np.ndarray):
                     seen.clear()
                 seen.add((n, key))
                 prefix = n - (-(-PERCENT * n // 100)) + 1
-                rank = ranks[_cells(members)]
-                if prefix < n:
+                if ranks is not None and prefix < n:
+                    rank = ranks[_cells(members)]
                     order = np.lexsort((members, rank))[:prefix]
                     members = members[order]
                 columns.append(members)
@@ -429,6 +434,94 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed.select("doc_id", "n", "set_id"), comps
 
 
+_PRODUCT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("overlap", pa.int64()), ("both", pa.int64())])
+
+
+def _add_up(batches) -> Iterator[pa.RecordBatch]:
+    """Stream rows sorted by (shingle, left, right, n): pairs of a block whose sizes let them link, with the columns they stand for."""
+
+    def product(mixed: bool, rows: list[tuple]) -> Iterator[tuple]:
+        ids, n, block = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+        ends = np.searchsorted(n, 100 * n // PERCENT, side="right")
+        for i in range(len(rows)):
+            at = np.arange(i + 1, int(ends[i]))
+            if mixed:  # pairs of one block are in that block's own product
+                at = at[block[at] != block[i]]
+            if len(at):
+                low, high = np.minimum(ids[at], ids[i]), np.maximum(ids[at], ids[i])
+                yield low, high, np.full(len(at), rows[0][3]), n[at] + n[i]
+
+    def flushed(parts):
+        return record_batch(_PRODUCT, *(np.concatenate(of) for of in zip(*parts)))
+
+    def groups():
+        key, rows = None, []
+        names = ("shingle", "left", "right", "set_id", "n", "block", "weight")
+        for batch in batches:
+            for row in zip(*(column(batch, name) for name in names)):
+                if row[:3] != key:
+                    yield key, rows
+                    key, rows = row[:3], []
+                rows.append(row[3:])
+        yield key, rows
+
+    parts, held = [], 0
+    for key, rows in groups():
+        for part in product(key[1] != key[2], rows) if len(rows) > 1 else ():
+            parts.append(part)
+            held += len(part[0])
+            if held >= 50_000:
+                yield flushed(parts)
+                parts, held = [], 0
+    if parts:
+        yield flushed(parts)
+
+
+def links(docs: DataFrame) -> DataFrame:
+    """(a, b, overlap, n_a_and_b): all pairs of distinct sets that link, a < b, with their overlap and the sum of their sizes.
+
+    A row for each pair: a group of k near copies has up to k * (k - 1) / 2. Columns that hold the same sets go through one
+    product, counted as often as there are such columns; long columns are cut into blocks.
+    """
+    entries = in_arrow(texts(docs.filter("doc_id IS NOT NULL")), _incidence(None), "shingle long, set_id long, n long")
+    entries = entries.repartition("shingle").sortWithinPartitions("shingle", "n", "set_id")
+    shared = in_arrow(entries, _shared, "shingle long, set_id long, n long, lead long, lead_n long").drop("lead", "lead_n")
+    shared = materialise(shared, "whole-columns")
+    lists = (
+        shared.groupBy("shingle")
+        .agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("set_id")).alias("x"), F.bit_xor(F.xxhash64("set_id", F.lit(1))).alias("y"))
+        .groupBy("size", "x", "y")
+        .agg(F.min("shingle").alias("shingle"), F.count("*").alias("weight"))
+        .select("shingle", "weight", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    )
+    block = F.pmod(F.xxhash64("set_id"), "blocks").cast("int").alias("block")
+    cut = shared.join(lists, "shingle").select("shingle", "set_id", "n", "weight", "blocks", block)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    cut = cut.select("*", other).withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
+    cut = cut.repartition("shingle", "left", "right").sortWithinPartitions("shingle", "left", "right", "n", "set_id")
+    pairs = in_arrow(cut, _add_up, "a long, b long, overlap long, both long")
+    summed = pairs.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.first("both").alias("n_a_and_b"))
+    return summed.filter(100 * F.col("overlap") >= PERCENT * (F.col("n_a_and_b") - F.col("overlap")))
+
+
+def members(docs: DataFrame) -> DataFrame:
+    """(doc_id, set_id): which documents have which set. Rows without an id or with an empty set are in none."""
+    found = in_arrow(texts(docs.filter("doc_id IS NOT NULL").select("doc_id", "text")), _sets, _SETS_SQL)
+    return found.filter("part IS NULL AND n > 0").select("doc_id", "set_id").distinct()
+
+
+def link_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, set_id, n_links): how many other documents each one links with; those with an equal set are among them."""
+    held = materialise(members(docs), "members")
+    copies = held.groupBy("set_id").agg(F.count("*").alias("copies"))
+    pairs = materialise(links(docs).select("a", "b"), "all-links")
+    both = pairs.union(pairs.select("b", "a")).toDF("set_id", "other")
+    far = both.join(copies.toDF("other", "linked"), "other").groupBy("set_id").agg(F.sum("linked").alias("linked"))
+    counted = copies.join(far, "set_id", "left")
+    n_links = (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")
+    return held.join(counted, "set_id").select("doc_id", "set_id", n_links)
+
+
 def document_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row per row of ``docs``.
 

@@ -68,6 +68,28 @@ def test_components(spark, docs):
     assert kept.columns == docs.columns and kept.filter("doc_id is null").count() == 1
 
 
+def test_links(docs, monkeypatch):
+    def shingles(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        width = min(5, len(words))
+        return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if words else set()
+
+    copies = docs.filter("doc_id BETWEEN 100 AND 105").withColumn("doc_id", docs["doc_id"] + 1000)
+    docs = docs.filter("doc_id <> 200").union(copies)
+    sets = {i: shingles(t) for i, t in held(docs) if i is not None}
+    want = {i: 0 for i, s in sets.items() if s}
+    for i in want:
+        for j in want:
+            common = len(sets[i] & sets[j])
+            want[i] += i != j and 100 * common >= 75 * (len(sets[i]) + len(sets[j]) - common)
+    for block in (1024, 8, 2):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        assert {r["doc_id"]: r["n_links"] for r in jaccard.link_counts(docs).collect()} == want
+    of_set = {r["set_id"]: sets[r["doc_id"]] for r in jaccard.members(docs).collect()}
+    found = {(r["a"], r["b"]): r["overlap"] for r in jaccard.links(docs).collect()}
+    assert found and all(len(of_set[a] & of_set[b]) == overlap for (a, b), overlap in found.items())
+
+
 def test_lines(docs):
     def key(line):
         return re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(SPACE))
