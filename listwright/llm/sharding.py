@@ -72,10 +72,12 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         plan.append((digest, first, parts))
         first += parts
     plan = F.broadcast(spark.createDataFrame(plan, "digest string, first long, parts long"))
-    mixed = F.xxhash64("doc_id", "digest", "size")
-    own = F.col("first") + F.pmod(mixed, F.col("parts"))
+    # Dealt by the row, not its values, so that rows alike in all spread too; written once, as a row's number is its scan's.
+    mixed = F.xxhash64(F.monotonically_increasing_id())
+    own = F.col("first") + F.pmod(F.col("mixed"), F.col("parts"))
     bucket = F.pmod(F.xxhash64("digest"), F.lit(BUCKETS)).cast("long")
-    dealt = rows.join(plan, "digest", "left").withColumn("item", F.coalesce(own, bucket)).drop("first", "parts")
+    dealt = rows.withColumn("mixed", mixed).join(plan, "digest", "left").withColumn("item", F.coalesce(own, bucket))
+    dealt = materialise(dealt.drop("first", "parts", "mixed"), "dealt")
     found = dealt.groupBy("item").agg(F.sum("size").alias("bytes"), F.sum("words").alias("words"), F.count("*").alias("rows"))
     found = found.orderBy("item").collect()  # at most BUCKETS and twice as many as large groups have parts
     where = place(np.array([[r[d] for d in DIMENSIONS] for r in found], float).reshape(-1, 3), shards)

@@ -158,6 +158,16 @@ def test_sharding(docs):
     assert sharding.shard(docs.limit(0), 4).count() == 0
 
 
+def test_sharding_of_rows_alike(spark):
+    rows = [(7, "the same words")] * 3000 + [(None, "the same words")] * 3000 + [(i, f"text {i}") for i in range(50)]
+    found = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 4).collect()
+    assert len(found) == len(rows)
+    sizes = [sum(r["size"] for r in found if r["shard"] == s) for s in range(4)]
+    assert max(sizes) <= 1.05 * min(sizes)
+    for s in range(4):
+        assert sorted(r["slot"] for r in found if r["shard"] == s) == list(range(sum(r["shard"] == s for r in found)))
+
+
 def test_sharding_is_even():
     chance = np.random.default_rng(1)
     items = np.column_stack([chance.lognormal(5, 1, 4000), chance.lognormal(3, 1, 4000), np.ones(4000)])
