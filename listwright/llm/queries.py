@@ -1,4 +1,4 @@
-"""The ten operators as queries over their whole tables, with SQL where SQL can say the same."""
+"""The operators as queries over their whole tables, with SQL where SQL can say the same."""
 
 from __future__ import annotations
 
@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listwright.llm import chat, decontaminate, jaccard, line_dedup, packing, pii, quality, sharding, toxicity, warc
+from listwright.llm import (
+    chat,
+    decontaminate,
+    filter_audit,
+    jaccard,
+    line_dedup,
+    packing,
+    periodic_runs,
+    pii,
+    quality,
+    sharding,
+    simhash_bk,
+    toxicity,
+    warc,
+)
 from listwright.llm.common import table
 
 # The conversation whose texts are control strings themselves.
@@ -57,6 +71,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_bk.near_components(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -128,6 +154,43 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), l AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         CAST(len(w) < 100 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 80 * len(w) AS INT)
+         + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS INT)
+         + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+         + 16 * CAST(coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false) AS INT) AS mask
+  FROM d LEFT JOIN l ON l.doc_id = d.doc_id
+), c AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM m GROUP BY part, mask
+), letters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5
+), steps AS (
+  SELECT filter_order, s.step, h.bit AS here,
+         (SELECT coalesce(sum(bit), 0) FROM letters WHERE instr(filter_order, letter) < s.step)::INT AS before
+  FROM orders, (SELECT unnest(range(1, 6))::INT AS step) s, letters h WHERE h.letter = filter_order[s.step]
+)
+SELECT part, filter_order, step,
+       CAST(coalesce(sum(n) FILTER (mask & (here + before) = 0), 0) AS BIGINT) AS kept,
+       CAST(coalesce(sum(n) FILTER (mask & here <> 0 AND mask & before = 0), 0) AS BIGINT) AS removed,
+       CAST(coalesce(sum(n) FILTER (mask & here <> 0 AND mask & before <> 0), 0) AS BIGINT) AS redundant,
+       CAST(coalesce(sum(n) FILTER (mask = here), 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(sum(n_good) FILTER (mask & here <> 0 AND mask & before = 0), 0) AS BIGINT) AS good_lost,
+       CAST(coalesce(sum(n_toxic) FILTER (mask & here <> 0 AND mask & before = 0), 0) AS BIGINT) AS toxic_lost,
+       CAST(coalesce(sum(n * (120 // bit_count(mask))) FILTER (mask & here <> 0), 0) AS BIGINT) AS shapley
+FROM c, steps GROUP BY part, filter_order, step
+"""
+
 #: name: (query, SQL or None)
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_toxicity": (op1_toxicity, None),
@@ -140,5 +203,8 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_packing": (op8_packing, None),
     "op9_benchmark_decontamination": (op9_benchmark_decontamination, None),
     "op10_line_dedup": (op10_line_dedup, OP10_SQL),
+    "op11_filter_audit": (op11_filter_audit, OP11_SQL),
+    "op12_simhash_near_dedup": (op12_simhash_near_dedup, None),
+    "op13_periodic_runs": (op13_periodic_runs, None),
     "pipeline": (pipeline, None),
 }
