@@ -87,21 +87,25 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def hashed_rows(rows) -> np.ndarray:
+    """A 64-bit hash of each column of some rows of word hashes, the first row's words first."""
+    out = rows[0] + np.uint64(len(rows))
+    with np.errstate(over="ignore"):
+        for row in rows[1:]:
+            out = (out ^ (out >> np.uint64(29))) * _MIX + row
+        out ^= out >> np.uint64(32)
+        out *= _MIX
+        out ^= out >> np.uint64(29)
+    return out
+
+
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """A 64-bit hash of every run of ``width`` words, in order; of the whole, if it has fewer words."""
     n = len(words)
     if n == 0:
         return np.empty(0, np.uint64)
     width = min(width, n)
-    count = n - width + 1
-    out = words[:count] + np.uint64(width)
-    with np.errstate(over="ignore"):
-        for i in range(1, width):
-            out = (out ^ (out >> np.uint64(29))) * _MIX + words[i : i + count]
-        out ^= out >> np.uint64(32)
-        out *= _MIX
-        out ^= out >> np.uint64(29)
-    return out
+    return hashed_rows([words[i : n - width + 1 + i] for i in range(width)])
 
 
 def words_of(body: bytes) -> list[bytes]:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listwright.llm.common import Buffer, bitmap, column, in_arrow, in_bitmap, texts, window_hashes, words_of
+from listwright.llm.common import Buffer, bitmap, column, hashed_rows, in_arrow, in_bitmap, texts, window_hashes, words_of
 from listwright.session import materialise
 
 WIDTH = 5
@@ -99,39 +99,49 @@ class Templates(dict):
         return slot, np.where(slot > 0, _SLOT_HASH[slot], hashes), capital & starts
 
 
-def _values(words: list[bytes], slot: np.ndarray, at: int, width: int) -> list[str]:
-    """What fills the slots of a window: kind and value of each."""
-    held = range(at, min(at + width, len(words)))
-    return [f"{slot[i]}{words[i].strip(_EDGES).lower().decode(errors='replace')}" for i in held if slot[i]]
+class Windows:
+    """All readings of a text's windows.
 
-
-def _windows(body: bytes, templates: Templates) -> tuple[list[bytes], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """The words, and readings of them: slots, windows, and which windows differ from those of the readings before.
-
-    A capitalised word that begins a sentence may be a name or not, so it is read both ways. Each second one of them is
-    read alike, so windows with up to two have all their readings; those with more (sentences of a word or two) have four.
+    A capitalised word that begins a sentence may be a name or not, so a window with k of them has 2^k readings. First come
+    the windows with none taken for a name, then those where some are: ``at`` is a window's place, ``names`` has a bit for
+    each of its words that is taken for one.
     """
-    words = words_of(body)
-    slot, hashes, maybe = templates.of(words)
-    windows = window_hashes(hashes, WIDTH)
-    readings = [(slot, windows, np.ones(len(windows), bool))]
-    places = np.nonzero(maybe)[0]
-    width = min(WIDTH, len(words))
-    for as_names in (places, places[::2], places[1::2]):
-        if len(as_names) and (len(as_names) < len(places) or as_names is places):
-            some, changed = slot.copy(), hashes.copy()
-            some[as_names], changed[as_names] = _NAME_SLOT, _SLOT_HASH[_NAME_SLOT]
-            # Only windows that hold such a word; the mixed readings only those that hold one read either way.
-            new = _holding(as_names, len(words), width)
-            if as_names is not places:
-                new &= _holding(np.setdiff1d(places, as_names), len(words), width)
-            readings.append((some, window_hashes(changed, WIDTH), new))
-    return words, readings
-
-
-def _bare(slot: np.ndarray) -> np.ndarray:
-    """Which windows are of slots only."""
-    return ~_holding(np.nonzero(slot == _PLAIN)[0], len(slot), min(WIDTH, len(slot)))
+
+    def __init__(self, body: bytes, templates: Templates):
+        self.words = words_of(body)
+        self.slot, hashes, maybe = templates.of(self.words)
+        self.width = min(WIDTH, len(self.words))
+        windows = window_hashes(hashes, WIDTH)
+        self.count = len(windows)
+        self.at, self.names, self.hash = np.arange(self.count), np.zeros(self.count, np.uint8), windows
+        if not maybe.any():
+            return
+        held = _holding(np.nonzero(maybe)[0], len(self.words), self.width)
+        at = np.nonzero(held)[0]
+        names = np.zeros(len(at), np.uint8)
+        for i in range(self.width):
+            some = np.nonzero(maybe[at + i])[0]
+            at = np.concatenate([at, at[some]])
+            names = np.concatenate([names, names[some] | np.uint8(1 << i)])
+        at, names = at[names > 0], names[names > 0]
+        read = np.empty((self.width, len(at)), np.uint64)
+        for i in range(self.width):
+            read[i] = np.where(names >> i & 1, _SLOT_HASH[_NAME_SLOT], hashes[at + i])
+        self.at, self.names = np.concatenate([self.at, at]), np.concatenate([self.names, names])
+        self.hash = np.concatenate([windows, hashed_rows(read)])
+
+    def bare(self, some: np.ndarray) -> np.ndarray:
+        """Which of some windows are of slots only."""
+        plain = np.zeros(len(some), bool)
+        for i in range(self.width):
+            plain |= (self.slot[self.at[some] + i] == _PLAIN) & (self.names[some] >> i & 1 == 0)
+        return ~plain
+
+    def values(self, one: int) -> list[str]:
+        """What fills the slots of a window: kind and value of each."""
+        at, names = int(self.at[one]), int(self.names[one])
+        slots = [_NAME_SLOT if names >> i & 1 else self.slot[at + i] for i in range(self.width)]
+        return [f"{slot}{self.words[at + i].strip(_EDGES).lower().decode(errors='replace')}" for i, slot in enumerate(slots) if slot]
 
 
 def _holding(places: np.ndarray, n: int, width: int) -> np.ndarray:
@@ -164,16 +174,14 @@ def _item_windows(batches) -> Iterator[pa.RecordBatch]:
     templates, out = Templates(), Buffer(_ITEMS)
     for batch in batches:
         for item_id, body in zip(column(batch, "doc_id"), column(batch, "body")):
-            words, readings = _windows(body, templates)
+            windows = Windows(body, templates)
             digest = _digest(body)
-            bares = [_bare(slot) for slot, _, _ in readings]
+            bare = windows.bare(np.arange(len(windows.at)))
             # So few windows of such an item have a plain word that those alone may not lead to it.
-            tabular = bool(100 * np.logical_or.reduce(bares).sum() >= PERCENT * len(bares[0]))
-            for (slot, windows, new), bare in zip(readings, bares):
-                at = np.nonzero(new)[0]
-                for pos, window in zip(at.tolist(), windows.view(np.int64)[at].tolist()):
-                    row = (window, item_id, digest, pos, len(windows), _values(words, slot, pos, WIDTH), bool(bare[pos]), tabular)
-                    yield from out.add(row, 64)
+            tabular = bool(100 * len(np.unique(windows.at[bare])) >= PERCENT * windows.count)
+            for i, (pos, window) in enumerate(zip(windows.at.tolist(), windows.hash.view(np.int64).tolist())):
+                row = (window, item_id, digest, pos, windows.count, windows.values(i), bool(bare[i]), tabular)
+                yield from out.add(row, 64)
     yield from out.flush()
 
 
@@ -183,16 +191,15 @@ def _likely(packed: bytes):
         templates, out = Templates(), Buffer(_LIKELY)
         for batch in batches:
             for doc_id, body in zip(column(batch, "doc_id"), column(batch, "body")):
-                words, readings = _windows(body, templates)
-                digest = None
-                for slot, windows, new in readings:
-                    hits = np.nonzero(has(windows) & new)[0]
-                    if not len(hits):
-                        continue
-                    digest = _digest(body) if digest is None else digest
-                    bare = _bare(slot)[hits].tolist()
-                    for at, window, no_word in zip(hits.tolist(), windows.view(np.int64)[hits].tolist(), bare):
-                        yield from out.add((window, doc_id, digest, at, _values(words, slot, at, WIDTH), no_word), 64)
+                windows = Windows(body, templates)
+                hits = np.nonzero(has(windows.hash))[0]
+                if not len(hits):
+                    continue
+                digest = _digest(body)
+                for i, at, window, no_word in zip(
+                    hits.tolist(), windows.at[hits].tolist(), windows.hash.view(np.int64)[hits].tolist(), windows.bare(hits).tolist()
+                ):
+                    yield from out.add((window, doc_id, digest, at, windows.values(i), no_word), 64)
         yield from out.flush()
 
     return likely
