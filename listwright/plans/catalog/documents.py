@@ -1,11 +1,16 @@
 """Reports over customers as enriched listings, a list per nation."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from listwright.fixed_values import REPORT_SUFFIX
 from listwright.functions import rtf as R
 from listwright.operators import report as D
 from listwright.operators.matching import needs_review
 from listwright.plans.catalog.shared import documents, table
+from listwright.session import shared_folder
+from listwright.sources.reports import read_documents, write_named_documents
 
 
 def enriched_customers(spark, sf_dir):
@@ -118,6 +123,26 @@ def assemble_document(spark, sf_dir):
     return D.document_parts(write_report(spark, sf_dir), part_lines=100)
 
 
+def written_reports(spark, sf_dir):
+    """Reports as written: every file's name, size and digest, read back."""
+    folder = f"{shared_folder(spark).rstrip('/')}/reports-{uuid.uuid4().hex}"
+    write_named_documents(write_report(spark, sf_dir), folder, REPORT_SUFFIX, part_lines=250)
+    read = read_documents(spark, folder)
+    return read.select("file", F.length("text").cast("bigint").alias("chars"), F.sha2("text", 256).alias("sha256"))
+
+
+_WRITTEN_SQL = f"""
+  WITH blocks AS (
+    SELECT list_id, floor(line_no / 250.0) AS block, line_no, text, count(*) OVER (PARTITION BY list_id) AS n
+    FROM ({ROWS_SQL})
+  ), sizes AS (
+    SELECT list_id, block, sum(count(*)) OVER (PARTITION BY list_id ORDER BY block) - count(*) AS before FROM blocks GROUP BY list_id, block
+  ), parts AS (SELECT *, CAST(before // 250 AS INT) AS part, max(CAST(before // 250 AS INT)) OVER (PARTITION BY list_id) + 1 AS parts FROM sizes)
+  SELECT list_id || '_HYPERLINKED' || CASE WHEN parts > 1 THEN '-' || lpad(part::VARCHAR, 5, '0') ELSE '' END || '.rtf' AS file,
+    sum(length(text))::BIGINT AS chars, sha256(string_agg(text, '' ORDER BY line_no)) AS sha256
+  FROM blocks JOIN parts USING (list_id, block) GROUP BY 1"""
+
+
 def write_profile_list(spark, sf_dir):
     return D.profile_list_rows(enriched_customers(spark, sf_dir), "twitter")
 
@@ -137,6 +162,7 @@ QUERIES = {
     "escape_text": (escape_text, _ESCAPE_SQL),
     "report_blocks": (report_blocks, BLOCKS_SQL),
     "write_report": (write_report, ROWS_SQL),
+    "written_reports": (written_reports, _WRITTEN_SQL),
     "assemble_document": (
         assemble_document,
         "SELECT list_id, CASE WHEN line_no < 0 THEN -1 ELSE line_no // 100 END AS part_no,"

@@ -1,13 +1,16 @@
-"""Report files, one folder per list."""
+"""Report files: a folder per list, or named documents that are put in place all at once."""
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from listwright.sources.lists import list_name
+from listwright.session import materialise
+from listwright.sources.document_sink import reachable, settle, write_files
+from listwright.sources.lists import decoded_path, list_name
+
+# Lines after which a document goes on in another file.
+PART_LINES = 100_000
 
 
 def write_documents(rows: DataFrame, path: str) -> None:
@@ -38,31 +41,49 @@ def document_names(lists: DataFrame, suffix: str) -> DataFrame:
     return lists.select("list_id").distinct().select("list_id", F.concat(name, mark, F.lit(suffix)).alias("document"))
 
 
-def write_named_documents(rows: DataFrame, path: str, suffix: str) -> None:
-    """Write (list_id, line_no, text) as one file per list under ``path``, named after the list.
+def file_parts(rows: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
+    """(document, block, part, parts): which part of its document a block of lines goes to.
+
+    Only the blocks' counts meet. Blocks are put together to parts of ``part_lines`` lines, at most twice that.
+    """
+    blocks = rows.groupBy("document", _block(part_lines).alias("block")).agg(F.count(F.lit(1)).alias("lines"))
+    of_document = Window.partitionBy("document")
+    before = F.sum("lines").over(of_document.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    part = F.expr(f"coalesce(before, 0L) div {part_lines}").cast("int")
+    parts = blocks.withColumn("before", before).withColumn("part", part)
+    return parts.select("document", "block", "lines", "part", (F.max("part").over(of_document) + 1).alias("parts"))
+
+
+def _block(part_lines: int) -> Column:
+    return F.floor(F.col("line_no") / part_lines)
+
+
+def write_named_documents(rows: DataFrame, path: str, suffix: str, part_lines: int = PART_LINES) -> None:
+    """Write (list_id, line_no, text) as files under ``path``, one per list, named after the list.
 
-    The tasks write as :func:`write_documents` does; then the files, one or few per list, get
-    their names. A list written by several tasks has numbered files, which in order are the
-    document: ``june_X.rtf`` or ``june_X-00000.rtf``, ``june_X-00001.rtf``, ...
+    The texts in order, with nothing between, are the document. One of more than ``part_lines`` lines is cut into numbered
+    files, which in order are the document: ``june_X-00000.rtf``, ``june_X-00001.rtf``, ... So no task writes more than a
+    few of them at a time. All files take the place of what stood under ``path`` at once, or none does.
+    Rows without a list, and null texts, are left out.
     """
-    spark = rows.sparkSession
-    named = rows.join(document_names(rows, suffix), "list_id")
-    write_documents(named.select(F.col("document").alias("list_id"), "line_no", "text"), path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    child = spark._jvm.org.apache.hadoop.fs.Path
-    _, dot, extension = suffix.rpartition(".")
-    for listed in files.listStatus(folder):
-        kept = listed.getPath()
-        _, equals, escaped = kept.getName().partition("=")
-        if not equals:
-            continue
-        document = unquote(escaped)
-        parts = sorted(part.getPath().getName() for part in files.listStatus(kept))
-        for number, part in enumerate(parts):
-            name = document
-            if len(parts) > 1:
-                name = f"{document.removesuffix(dot + extension)}-{number:05d}{dot}{extension}"
-            if not files.rename(child(kept, part), child(folder, name)):
-                raise OSError(f"cannot name {name}")
-        files.delete(kept, True)
+    rows = rows.filter("list_id IS NOT NULL AND line_no IS NOT NULL AND text IS NOT NULL")
+    named = rows.join(document_names(rows, suffix), "list_id").select("document", "line_no", "text")
+    parts = materialise(file_parts(named, part_lines), "report-parts")
+    wanted = parts.agg(
+        F.count_distinct("document", "part").alias("files"), F.coalesce(F.sum("lines"), F.lit(0)).alias("lines")
+    ).first()
+    stem, dot, extension = suffix.rpartition(".")
+    number = F.concat(F.lit("-"), F.lpad(F.col("part").cast("string"), 5, "0"), F.lit(dot + extension))
+    plain = F.expr(f"left(document, length(document) - {len(dot + extension)})")
+    file = F.when(F.col("parts") > 1, F.concat(plain, number)).otherwise(F.col("document"))
+    placed = named.withColumn("block", _block(part_lines)).join(parts.drop("lines"), ["document", "block"])
+    files = placed.select(file.alias("file"), "line_no", "text")
+    files = files.repartition("file").sortWithinPartitions("file", "line_no")
+    write_files(files, path, wanted["files"], wanted["lines"])
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text) of the files under ``path``, each whole."""
+    settle(reachable(spark, path))
+    name = decoded_path(F.substring_index(F.col("_metadata.file_path"), "/", -1))
+    return spark.read.text(path, wholetext=True).select(name.alias("file"), F.col("value").alias("text"))
