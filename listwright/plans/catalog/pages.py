@@ -96,6 +96,31 @@ SELECT page_id, i::BIGINT AS pos, regexp_extract(links[i + 1], 'href="([^"]*)"',
 FROM found, unnest(range(len(links))) AS u(i)"""
 
 
+def page_nodes(spark, sf_dir):
+    """How many elements of each kind every page has, and how many characters stand in them."""
+    nodes = X.page_nodes(table(spark, sf_dir, "pages")).filter("tag <> '#text'")
+    return nodes.groupBy("page_id", "tag").agg(F.count("*").alias("nodes"))
+
+
+_NODES_SQL = rf"""
+WITH tags AS (SELECT page_id, unnest(regexp_extract_all({SHOWN_SQL}, '(?i)<([a-z][a-z0-9]*)', 1)) AS tag FROM pages)
+SELECT page_id, lower(tag) AS tag, count(*) AS nodes FROM tags GROUP BY page_id, lower(tag)"""
+
+
+def nodes_within(spark, sf_dir):
+    """Links inside the navigation of every page, by intervals."""
+    nodes = materialise(X.page_nodes(table(spark, sf_dir, "pages")).filter("tag IN ('nav', 'a')"), "nav-nodes", "tag")
+    inside = X.nodes_within(nodes.filter("tag = 'nav'"), nodes.filter("tag = 'a'"))
+    return inside.select("page_id", "href", F.btrim("text").alias("text"))
+
+
+_WITHIN_SQL = rf"""
+WITH found AS (
+  SELECT page_id, unnest(regexp_extract_all(regexp_extract({SHOWN_SQL}, '(?s)<nav>(.*?)</nav>', 1), '(?s)<a\b[^>]*>.*?</a>')) AS link
+  FROM pages)
+SELECT page_id, regexp_extract(link, 'href="([^"]*)"', 1) AS href, {text_sql('link')} AS text FROM found"""
+
+
 def _result_pages(spark, sf_dir):
     """The crawled pages with their navigation as a ranked result list."""
     html = F.regexp_replace("html", "<li>(.*?)</li>", '<h3 class="r">$1</h3>')
@@ -210,6 +235,8 @@ QUERIES = {
         f"""SELECT page_id, regexp_extract({SHOWN_SQL}, '(?s)<nav>.*?<a href="([^"]*)"', 1) AS href FROM pages""",
     ),
     "anchors": (anchors, _ANCHORS_SQL),
+    "page_nodes": (page_nodes, _NODES_SQL),
+    "nodes_within": (nodes_within, _WITHIN_SQL),
     "result_links": (result_links, _RESULTS_SQL),
     "site_links": (site_links, _SITES_SQL),
     "supplier_facts": (supplier_facts, _SUPPLIER_FACTS_SQL),
