@@ -5,14 +5,16 @@ better of two means: for every word of one name the best ratio among the words o
 other. All work happens on distinct name keys and distinct words.
 
 Candidates are found without loss. If a mean over n words exceeds t, then with h words set
-aside some other word must have a partner with ratio above (t*n - h) / (n - h). So every
-name sets aside its most frequent words, as long as that bound stays above the floor of the
-word-pair table, and meets the other table through the rest. Where no word is frequent,
-nothing is set aside and the floor is the threshold itself.
+aside some other word must have a partner with ratio above (t*n - h) / (n - h). So a name
+may set up to half its words aside and meet the other table through the rest, if their
+partners are known down to a ratio of 2t - 1. Which words, and how many, is its cheapest
+choice by the number of places they lead to at the ratios they then need; so a word in every
+name is set aside, and no word is called frequent.
 
 The set of *all* pairs over a low threshold can be quadratic by itself once a word is
-frequent. ``best_matches`` never builds it: names are settled from the highest score down,
-and the more names share a word, the more of them settle where few words must meet.
+frequent. ``best_matches`` never builds it: it is a threshold algorithm. Rounds go from a
+high score down; a name is done when the best page found scores no less than any page not
+yet seen could, and what it has found raises what the next round must look for.
 """
 
 from __future__ import annotations
@@ -28,14 +30,10 @@ from listwright.functions.similarity import match_score, token_ratio, with_match
 from listwright.functions.text import name_tokens
 from listwright.session import materialise
 
-# A word that leads to more places of the other table than this, or to a hundred times as
-# many pairs of places, is set aside where the bound allows it, and the word-pair table then
-# goes down to this floor. Both change the work, never the result.
-FREQUENT_PLACES = 10_000
-PAIR_FLOOR = 0.6
-# Scores at which best matches settle before the threshold, where words are frequent: the
-# first with the word pairs above the threshold, the second with those down to the floor.
-HIGH_SCORES = (0.9, 0.8)
+# Scores down to which the rounds of best matches look, before the threshold.
+ROUNDS = (0.8,)
+# Steps of ratio between the floor and 1 at which it is known how many places a word leads to.
+LEVELS = 8
 _SLACK = 1e-9
 
 
@@ -104,59 +102,59 @@ def token_pairs(left: DataFrame, right: DataFrame, floor: float = ACCEPT_ABOVE)
     )
 
 
-def _reach(
-    pairs: DataFrame, own: str, other: str, own_counts: DataFrame, other_counts: DataFrame
-) -> DataFrame:
-    """(token, places, own_places): how many places of the other table each word leads to
-    through all its partners. A misspelt frequent word leads to as many as the word itself."""
-    partners = other_counts.withColumnRenamed("token", other)
-    return (
-        pairs.join(partners, other)
-        .groupBy(F.col(own).alias("token"))
-        .agg(F.sum("places").alias("places"))
-        .join(own_counts.withColumnRenamed("places", "own_places"), "token")
-    )
-
-
-def _reaches(pairs: DataFrame, counts: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    return (
-        _reach(pairs, "tok_a", "tok_b", counts[0], counts[1]),
-        _reach(pairs, "tok_b", "tok_a", counts[1], counts[0]),
-    )
+def pair_floor(score: float) -> float:
+    """The ratio down to which word pairs must be known, for names to set half their words
+    aside when looking for scores above ``score``."""
+    return float(max(2 * _fraction(score) - 1, Fraction(1, 4)))
 
 
-def _is_frequent(frequent: int) -> Column:
-    places, own = F.col("places"), F.col("own_places")
-    return (places > frequent) | (places * own > 100 * frequent)
+def _levels(floor: float) -> list[float]:
+    return [floor + (1 - floor) * i / LEVELS for i in range(LEVELS)]
 
 
-def _any_frequent(pairs: DataFrame, counts: tuple[DataFrame, DataFrame], frequent: int) -> bool:
-    of_a, of_b = _reaches(pairs, counts)
-    return not of_a.unionByName(of_b).filter(_is_frequent(frequent)).isEmpty()
+def _reach(pairs: DataFrame, own: str, other: str, floor: float, other_counts: DataFrame) -> DataFrame:
+    """(token, reach): to how many places of the other table each word leads through partners
+    above each level of ratio. A misspelt frequent word leads to as many as the word itself."""
+    partners = other_counts.withColumnRenamed("token", other)
+    above = [F.sum(F.when(F.col("ratio") > level, F.col("places")).otherwise(0)) for level in _levels(floor)]
+    return pairs.join(partners, other).groupBy(F.col(own).alias("token")).agg(F.array(*above).alias("reach"))
 
 
-def _meeting_words(
-    names: DataFrame, reach: DataFrame, threshold: float, floor: float, frequent: int
-) -> DataFrame:
+def _meeting_words(names: DataFrame, reach: DataFrame, score: float, floor: float) -> DataFrame:
     """(name_key, token, need): words a name meets the other table through, and the ratio
-    a partner must exceed. ``reach`` says how many places each word leads to."""
-    if floor >= threshold:
-        return _postings(names).withColumn("need", F.lit(threshold - _SLACK))
-    share = (_fraction(threshold) - _fraction(floor)) / (1 - _fraction(floor))
-    by_frequency = Window.partitionBy("name_key").orderBy(F.desc("places"), "token")
-    n = F.size(words_of(F.col("name_key")))
-    most_aside = F.expr(f"size(split(name_key, ' ')) * {share.numerator} div {share.denominator}")
-    common = F.count_if(_is_frequent(frequent)).over(Window.partitionBy("name_key"))
-    need = (F.lit(threshold) * F.col("n") - F.col("aside")) / (F.col("n") - F.col("aside"))
-    return (
+    a partner must exceed for the pair to score above ``beat``, the name's own bound, which
+    is no less than ``score``."""
+    share = max(Fraction(0), (_fraction(score) - _fraction(floor)) / (1 - _fraction(floor)))
+    none = F.array(*[F.lit(0).cast("long")] * LEVELS)
+    word = F.struct((-F.col("reach")[0]).alias("most"), "token", "reach")
+    whole = (
         _postings(names)
         .join(reach, "token", "left")
-        .fillna(0, ["places", "own_places"])
-        .withColumn("place", F.row_number().over(by_frequency))
-        .withColumn("n", n)
-        .withColumn("aside", F.least(most_aside, common))
-        .filter("place > aside")
-        .select("name_key", "token", (need - F.lit(_SLACK)).alias("need"))
+        .withColumn("reach", F.coalesce("reach", none))
+        .groupBy("name_key", "beat")
+        .agg(F.sort_array(F.collect_list(word)).alias("words"))
+    )
+    n = F.size("words")
+
+    def need(aside: Column) -> Column:
+        return (F.col("beat") * n - aside) / (n - aside) - F.lit(_SLACK)
+
+    def level(aside: Column) -> Column:
+        step = F.floor((need(aside) - F.lit(floor)) * LEVELS / F.lit(1 - floor)).cast("int")
+        return F.least(F.greatest(step, F.lit(0)), F.lit(LEVELS - 1))
+
+    def cost(aside: Column) -> Column:
+        opened = F.slice("words", aside + 1, F.greatest(n - aside, F.lit(0)))
+        places = F.aggregate(opened, F.lit(0).cast("long"), lambda sum_, w: sum_ + w["reach"][level(aside)])
+        return F.struct(places.alias("places"), aside.alias("aside"))
+
+    most = F.expr(f"size(words) * {share.numerator} div {share.denominator}").cast("int")
+    best = F.array_min(F.transform(F.sequence(F.lit(0), most), cost))["aside"]
+    chosen = whole.withColumn("aside", best)
+    return chosen.select(
+        "name_key",
+        need(F.col("aside")).alias("need"),
+        F.explode(F.slice("words", F.col("aside") + 1, n - F.col("aside"))["token"]).alias("token"),
     )
 
 
@@ -172,27 +170,28 @@ def both_word_counts(left: DataFrame, right: DataFrame) -> tuple[DataFrame, Data
 def match_candidates(
     left: DataFrame,
     right: DataFrame,
-    threshold: float,
+    score: float,
     floor: float,
-    frequent: int,
     counts: tuple[DataFrame, DataFrame],
     pairs: DataFrame,
 ) -> DataFrame:
-    """Distinct (key_a, key_b) that include every pair scoring above ``threshold``.
+    """Distinct (key_a, key_b) that include every pair scoring above ``score``, and above
+    ``beat`` of the left name where it has one.
 
     ``left`` and ``right`` hold distinct ``name_key``; ``counts`` are their word counts and
     ``pairs`` their word pairs above ``floor`` (both may cover more words). The joins run on
-    words; a frequent word's postings are split by AQE's skew handling.
+    words; the postings of a word in many names are split by AQE's skew handling.
     """
-    reach_a, reach_b = _reaches(pairs, counts)
-    meet_a = _meeting_words(left, reach_a, threshold, floor, frequent)
+    left = left if "beat" in left.columns else left.withColumn("beat", F.lit(score))
+    right = right.select("name_key").withColumn("beat", F.lit(score))
+    meet_a = _meeting_words(left, _reach(pairs, "tok_a", "tok_b", floor, counts[1]), score, floor)
     from_a = (
         meet_a.join(pairs, (meet_a.token == pairs.tok_a) & (pairs.ratio > meet_a.need))
         .select(F.col("name_key").alias("key_a"), F.col("tok_b").alias("token"))
         .join(_postings(right), "token")
         .select("key_a", F.col("name_key").alias("key_b"))
     )
-    meet_b = _meeting_words(right, reach_b, threshold, floor, frequent)
+    meet_b = _meeting_words(right, _reach(pairs, "tok_b", "tok_a", floor, counts[0]), score, floor)
     from_b = (
         meet_b.join(pairs, (meet_b.token == pairs.tok_b) & (pairs.ratio > meet_b.need))
         .select(F.col("name_key").alias("key_b"), F.col("tok_a").alias("token"))
@@ -208,21 +207,13 @@ def _scored(candidates: DataFrame, threshold: float) -> DataFrame:
 
 
 def match_pairs(
-    left: DataFrame,
-    right: DataFrame,
-    threshold: float = ACCEPT_ABOVE,
-    floor: float = PAIR_FLOOR,
-    frequent: int = FREQUENT_PLACES,
+    left: DataFrame, right: DataFrame, threshold: float = ACCEPT_ABOVE, floor: float | None = None
 ) -> DataFrame:
     """Every (key_a, key_b, score) with score above ``threshold``."""
+    floor = pair_floor(threshold) if floor is None else floor
     counts = both_word_counts(left, right)
-    pairs = materialise(token_pairs(*counts, threshold), "token-pairs")
-    if floor < threshold and _any_frequent(pairs, counts, frequent):
-        pairs = materialise(token_pairs(*counts, floor), "token-pairs")
-    else:
-        floor = threshold
-    found = match_candidates(left, right, threshold, floor, frequent, counts, pairs)
-    return _scored(found, threshold)
+    pairs = materialise(token_pairs(*counts, floor), "token-pairs")
+    return _scored(match_candidates(left, right, threshold, floor, counts, pairs), threshold)
 
 
 def _rarest_word(names: DataFrame, counts: DataFrame) -> DataFrame:
@@ -278,38 +269,36 @@ def _settle(names: DataFrame, settled: DataFrame, label: str) -> tuple[DataFrame
     return both.filter("score is not null"), both.filter("score is null").select("name_key")
 
 
-def _fuzzy_best(
-    names: DataFrame,
-    pages: DataFrame,
-    counts: tuple[DataFrame, DataFrame],
-    threshold: float,
-    frequent: int,
-) -> DataFrame:
-    """Best page per name by the fuzzy join. A name settled at a high score is done: all
-    pairs above that score were found."""
+def _fuzzy_best(names: DataFrame, pages: DataFrame, threshold: float) -> DataFrame:
+    """Best page per name by the threshold algorithm: rounds look for pairs that score above
+    a bound, from high bounds down; a name whose best is over the bound is settled. One that has
+    found less carries it on: only pairs that score no less are looked for then."""
     keys = pages.select("name_key")
-
-    def best_above(rest, score, floor, counts, pairs):
-        found = match_candidates(rest, keys, score, floor, frequent, counts, pairs)
-        return _best_of(_scored(found, score), pages)
-
-    pairs = materialise(token_pairs(*counts, threshold), "token-pairs")
-    if not _any_frequent(pairs, counts, frequent):
-        return best_above(names, threshold, threshold, counts, pairs)
-    highest, high = (max(score, threshold) for score in HIGH_SCORES)
-    first, rest = _settle(names, best_above(names, highest, threshold, counts, pairs), "settled")
-    counts, floor = both_word_counts(rest, keys), min(PAIR_FLOOR, threshold)
-    pairs = materialise(token_pairs(*counts, floor), "token-pairs")
-    second, rest = _settle(rest, best_above(rest, high, floor, counts, pairs), "settled")
-    last = best_above(rest, threshold, floor, counts, pairs)
-    return first.unionByName(second).unionByName(last.select(first.columns))
+    columns = ["name_key", "page_id", "page_name", "score"]
+    rest = names.select("name_key", *[F.lit(None).cast(pages.schema[c].dataType).alias(c) for c in columns[1:3]])
+    rest = rest.withColumn("score", F.lit(None).cast("double"))
+    settled = None
+    for bound in sorted({max(score, threshold) for score in (*ROUNDS, threshold)}, reverse=True):
+        floor = pair_floor(bound)
+        counts = both_word_counts(rest, keys)
+        pairs = materialise(token_pairs(*counts, floor), "token-pairs")
+        # What is found so far may be beaten, or tied by a page before it.
+        asking = rest.select("name_key", F.greatest(F.lit(bound), F.col("score") - _SLACK).alias("beat"))
+        found = _scored(match_candidates(asking, keys, bound, floor, counts, pairs), threshold)
+        both = _best_of(found, pages).select(columns).unionByName(rest.filter("score IS NOT NULL").select(columns))
+        order = F.struct((-F.col("score")).alias("s"), F.col("page_id").alias("p"))
+        best = both.groupBy("name_key").agg(F.min_by(F.struct(*columns[1:]), order).alias("best")).select("name_key", "best.*")
+        state = materialise(rest.select("name_key").join(best, "name_key", "left").select(columns), "best-so-far")
+        done = state.filter(F.col("score") > bound)
+        settled = done if settled is None else settled.unionByName(done)
+        rest = state.filter(F.coalesce(F.col("score") <= bound, F.lit(True)))
+    return settled
 
 
 def best_matches(
     listings: DataFrame,
     page_names: DataFrame,
     threshold: float = ACCEPT_ABOVE,
-    frequent: int = FREQUENT_PLACES,
 ) -> DataFrame:
     """Best page of every listing, or none if no page scores above ``threshold``.
 
@@ -318,7 +307,7 @@ def best_matches(
     same set of words, then to the lowest page.
 
     Most names are settled by an equi-join on the name key, the next by containment; only
-    the rest need the fuzzy join, where words are frequent from high scores down.
+    the rest need the fuzzy join, in rounds from high scores down.
     """
     pages = (
         with_name_key(page_names.select("page_id", "page_name"), "page_name")
@@ -337,5 +326,5 @@ def best_matches(
     contained, rest = _settle(rest, _best_of(inside, pages), "contained-names")
     best = same.unionByName(contained)
     if not rest.isEmpty():
-        best = best.unionByName(_fuzzy_best(rest, pages, counts, threshold, frequent).select(columns))
+        best = best.unionByName(_fuzzy_best(rest, pages, threshold).select(columns))
     return keyed.join(best, "name_key", "left").drop("name_key")

@@ -39,12 +39,12 @@ def table(spark, values, column="n"):
     return spark.createDataFrame([(v,) for v in values], f"{column} string")
 
 
-@pytest.mark.parametrize("floor, frequent", [(0.6, 10_000), (0.6, 5), (0.5, 20)])
-def test_pairs_equal_brute_force(spark, floor, frequent):
+@pytest.mark.parametrize("floor", [0.75, 0.6, 0.5, None])
+def test_pairs_equal_brute_force(spark, floor):
     left, right = names(80, 5), names(80, 6)
     found = M.match_pairs(
         M.distinct_names(table(spark, left), "n"), M.distinct_names(table(spark, right), "n"),
-        floor=floor, frequent=frequent,
+        floor=floor,
     )
     got = {(r.key_a, r.key_b): r.score for r in found.collect()}
     wanted = {}
@@ -56,15 +56,16 @@ def test_pairs_equal_brute_force(spark, floor, frequent):
     assert got == pytest.approx(wanted, abs=1e-8)
 
 
-@pytest.mark.parametrize("frequent", [10_000, 10])
-def test_best_match_equals_brute_force(spark, frequent):
-    listed, paged = names(120, 7), names(120, 8) + ["restaurant", "cafe union"]
+@pytest.mark.parametrize("seed, rounds", [(7, (0.8,)), (9, ()), (11, (0.95, 0.9, 0.85, 0.8))])
+def test_best_match_equals_brute_force(spark, monkeypatch, seed, rounds):
+    monkeypatch.setattr(M, "ROUNDS", rounds)
+    listed, paged = names(120, seed), names(120, seed + 1) + ["restaurant", "cafe union"]
     listings = spark.createDataFrame(
         [("l", i, n) for i, n in enumerate(listed + ["Le De", "cafe union", "UNION Café"])],
         "list_id string, line_no long, search_name string",
     )
     pages = spark.createDataFrame([(i, n) for i, n in enumerate(paged)], "page_id long, page_name string")
-    got = {r.line_no: (r.page_id, r.score) for r in M.best_matches(listings, pages, frequent=frequent).collect()}
+    got = {r.line_no: (r.page_id, r.score) for r in M.best_matches(listings, pages).collect()}
     assert len(got) == listings.count()
     assert got[120] == (None, None)
     for line, name in enumerate(listed + ["", "cafe union", "union cafe"]):
@@ -98,6 +99,23 @@ def test_a_third_of_all_names_alike(spark):
     assert best.filter("search_name = page_name and score = 1").count() == 600
 
 
+@pytest.mark.parametrize("count", [200, 800])
+def test_a_word_in_every_name_stays_linear(spark, count):
+    """No name meets the others through the word that all have: candidates grow with names, not their square."""
+    rng = random.Random(count)
+
+    def made(n):
+        return ["restaurant " + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=12)) for _ in range(n)]
+
+    left, right = (M.distinct_names(table(spark, made(count)), "n") for _ in range(2))
+    counts = M.both_word_counts(left, right)
+    for score in (0.9, 0.8, 0.75):
+        floor = M.pair_floor(score)
+        pairs = M.token_pairs(*counts, floor)
+        met = M.match_candidates(left, right, score, floor, counts, pairs).count()
+        assert met <= 2 * pairs.filter("tok_a <> 'restaurant'").count() < count * count / 20
+
+
 def test_known_review_flags(spark):
     golden = spark.createDataFrame(FLAGS, "search_name string, found_name string, flagged boolean")
     row = review_agreement(golden).first()
