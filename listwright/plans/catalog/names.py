@@ -126,13 +126,45 @@ FROM part LEFT JOIN placed ON a = translate(p_name, 'ai', 'eo') AND place = 1"""
 
 
 def match_titles(spark, sf_dir):
-    """Best other page for every page title. Too many word pairs for the plain SQL."""
+    """Best other page for every page title."""
     texts = materialise(page_texts(spark, sf_dir), "page-texts")
     listings = texts.select(
         F.lit("titles").alias("list_id"), F.col("page_id").alias("line_no"), F.col("title").alias("search_name")
     )
     names = texts.select("page_id", F.col("ad").alias("page_name"))
-    return M.best_matches(listings, names)
+    return M.best_matches(listings, names).withColumn("score", F.round("score", 6))
+
+
+def _words_key_sql(tokens):
+    return f"array_to_string(list_sort({tokens}), ' ')"
+
+
+_TITLE_KEYS = (
+    f"titles AS (SELECT page_id, title, {tokens_sql('title')} AS t FROM texts),"
+    f" ads AS (SELECT page_id, ad, {tokens_sql('ad')} AS t FROM texts)"
+)
+MATCH_TITLES_SQL = f"""
+WITH texts AS MATERIALIZED ({_TEXTS_SQL}), {_TITLE_KEYS},
+listed AS (SELECT DISTINCT {_words_key_sql('t')} AS k FROM titles WHERE len(t) > 0),
+paged AS (SELECT {_words_key_sql('t')} AS k, min(page_id) AS page_id, arg_min(ad, page_id) AS ad FROM ads WHERE len(t) > 0 GROUP BY 1),
+{scores_sql(
+    "SELECT {'a': listed.k, 'b': paged.k} AS id, string_split(listed.k, ' ') AS ta, string_split(paged.k, ' ') AS tb FROM listed, paged"
+)},
+best AS (
+  SELECT id.a AS k, paged.page_id, ad, score,
+         row_number() OVER (PARTITION BY id.a ORDER BY score DESC, id.a = id.b DESC, paged.page_id) AS place
+  FROM scored JOIN paged ON paged.k = id.b WHERE score > 0.75)
+SELECT 'titles' AS list_id, titles.page_id AS line_no, title AS search_name, best.page_id, ad AS page_name, round(score, 6) AS score
+FROM titles LEFT JOIN best ON best.k = {_words_key_sql('t')} AND place = 1"""
+
+# Words of lengths too far apart cannot be that alike; the others are compared one by one.
+TOKEN_PAIRS_SQL = f"""
+WITH texts AS MATERIALIZED ({_TEXTS_SQL}),
+words AS MATERIALIZED (SELECT DISTINCT unnest({tokens_sql('title')}) AS w FROM texts),
+near AS (
+  SELECT a.w AS tok_a, b.w AS tok_b FROM words a, words b
+  WHERE a.w < b.w AND 2.0 * least(length(a.w), length(b.w)) / (length(a.w) + length(b.w)) > 0.75)
+SELECT tok_a, tok_b, round(r, 6) AS ratio FROM (SELECT tok_a, tok_b, {ratio_sql('tok_a', 'tok_b')} AS r FROM near) WHERE r > 0.75"""
 
 
 def token_pairs(spark, sf_dir):
@@ -156,6 +188,6 @@ QUERIES = {
         " FROM pairs LEFT JOIN scored USING (id)",
     ),
     "name_changed": (name_changed, f"SELECT page_id, title <> ad AS name_changed FROM ({_TEXTS_SQL})"),
-    "match_titles": (match_titles, None),
-    "token_pairs": (token_pairs, None),
+    "match_titles": (match_titles, MATCH_TITLES_SQL),
+    "token_pairs": (token_pairs, TOKEN_PAIRS_SQL),
 }
