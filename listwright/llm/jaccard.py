@@ -85,8 +85,8 @@ def _differ(n, m):
     return n + m - 2 * least_overlap(n, m)
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("parity", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
-_SETS_SQL = "doc_id long, n long, set_id long, parity binary, part int, counts binary"
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
+_SETS_SQL = "doc_id long, n long, set_id long, part int, counts binary"
 
 
 def _cells(members: np.ndarray) -> np.ndarray:
@@ -102,8 +102,7 @@ def _sets(batches) -> Iterator[pa.RecordBatch]:
         for doc_id, body in zip(column(batch, "doc_id"), column(batch, "body")):
             members = shingles(body, hashes)
             n = len(members)
-            row = (doc_id, n, set_hash(members) if n else None, parity(members) if n else None, None, None)
-            yield from out.add(row, 2 * n)
+            yield from out.add((doc_id, n, set_hash(members) if n else None, None, None))
             gathered.append(members)
             held += n
             if held > 500_000:
@@ -114,7 +113,7 @@ def _sets(batches) -> Iterator[pa.RecordBatch]:
     if counts.any():
         for part, some in enumerate(np.split(counts, PARTS)):
             packed = zlib.compress(some.tobytes(), 1)
-            yield from out.add((None, None, None, None, part, packed), len(packed))
+            yield from out.add((None, None, None, part, packed), len(packed))
     yield from out.flush()
 
 
@@ -237,8 +236,8 @@ def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 _MEMBERS = pa.schema([("doc_id", pa.int64()), ("set_id", pa.int64()), ("members", pa.binary())])
 
 
-def _members(packed: bytes):
-    """The sets of documents that may be asked for."""
+def _members(packed: bytes, as_parity: bool = False):
+    """The sets, or their parity bitmaps, of documents that may be asked for."""
 
     def members(batches) -> Iterator[pa.RecordBatch]:
         hashes, out, has = WordHashes(), Buffer(_MEMBERS), in_bitmap(packed)
@@ -247,7 +246,8 @@ def _members(packed: bytes):
                 row = batch.slice(at, 1)
                 found = shingles(column(row, "body")[0], hashes)
                 if len(found):
-                    yield from out.add((column(row, "doc_id")[0], set_hash(found), found.tobytes()), found.nbytes)
+                    held = parity(found) if as_parity else found.tobytes()
+                    yield from out.add((column(row, "doc_id")[0], set_hash(found), held), len(held))
         yield from out.flush()
 
     return members
@@ -268,6 +268,20 @@ def _overlaps(batches) -> Iterator[pa.RecordBatch]:
     yield from out.flush()
 
 
+def _asked_for(docs: DataFrame, asked: DataFrame, holder: str, as_parity: bool = False) -> DataFrame:
+    """(doc_id, set_id, members) of the documents that stand in a column of ``asked`` and of few others: not of all texts."""
+    likely = bitmap(asked.select(F.xxhash64(holder)))
+    bodies = texts(docs, F.xxhash64("doc_id").alias("hash"))
+    return in_arrow(bodies, _members(likely, as_parity), "doc_id long, set_id long, members binary")
+
+
+def _with_parity(docs: DataFrame, sets: DataFrame, shared: DataFrame) -> DataFrame:
+    """(set_id, n, doc_id, parity) of the sets that stand in a shared column; the others never need a bitmap."""
+    met = materialise(sets.join(shared.select("set_id").distinct(), "set_id"), "sets-that-meet")
+    made = _asked_for(docs, met, "doc_id", as_parity=True).withColumnRenamed("members", "parity").dropDuplicates(["doc_id", "set_id"])
+    return materialise(met.join(made, ["doc_id", "set_id"]).select("set_id", "n", "doc_id", "parity"), "set-bitmaps")
+
+
 def _links(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of (a, b), the pairs whose overlap, counted exactly, links them.
 
@@ -282,10 +296,7 @@ def _links(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     )
     asked = others.unionByName(centres).join(sets.select(F.col("set_id").alias("wanted"), F.col("doc_id").alias("holder")), "wanted")
     asked = materialise(asked, "asked")
-    # Only the sets of documents asked for are made and sent, not all texts.
-    likely = bitmap(asked.select(F.xxhash64("holder")))
-    bodies = texts(docs, F.xxhash64("doc_id").alias("hash"))
-    members = in_arrow(bodies, _members(likely), "doc_id long, set_id long, members binary")
+    members = _asked_for(docs, asked, "holder")
     same = (F.col("doc_id") == F.col("holder")) & (F.col("set_id") == F.col("wanted"))
     sent = members.join(asked, same).select("centre", "part", "role", "set_id", "members")
     sent = sent.repartition("centre", "part").sortWithinPartitions("centre", "part", "role")
@@ -395,17 +406,18 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     docs = docs.select("doc_id", "text")
     found = materialise(in_arrow(texts(docs), _sets, _SETS_SQL), "shingle-sets")
-    placed = found.filter("part IS NULL").select("doc_id", "n", "set_id", "parity")
+    placed = found.filter("part IS NULL").select("doc_id", "n", "set_id")
     ranks = _ranks(found)
     sets = materialise(
         placed.filter("n > 0 AND doc_id IS NOT NULL")
         .groupBy("set_id", "n")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("parity").alias("parity")),
+        .agg(F.min("doc_id").alias("doc_id")),
         "distinct-sets",
     )
     entries = in_arrow(texts(docs.filter("doc_id IS NOT NULL")), _incidence(ranks), "shingle long, set_id long, n long")
     entries = entries.repartition("shingle").sortWithinPartitions("shingle", "n", "set_id")
     shared = materialise(in_arrow(entries, _shared, "shingle long, set_id long, n long, lead long, lead_n long"), "shared-columns")
+    sets = _with_parity(docs, sets, shared)
     stars = shared.filter("lead <> set_id").select(F.col("lead").alias("a"), F.col("set_id").alias("b")).distinct()
     stars = materialise(_near(stars, sets), "near-stars")
     # First each set with its nearest centre; then the pairs of stars that this leaves in two components.
@@ -431,7 +443,7 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if more.isEmpty():
             break
         columns, most = shared.join(more, "shingle"), 16 * most
-    return placed.select("doc_id", "n", "set_id"), comps
+    return placed, comps
 
 
 _PRODUCT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("overlap", pa.int64()), ("both", pa.int64())])
