@@ -11,7 +11,9 @@ import zlib
 
 import numpy as np
 
-WINDOW, STRIDE = 32, 24  # words of a window; words between the starts of two: windows overlap by eight
+WINDOW = 32  # words; a window starts at every word that has so many from it on, and at the first
+STRIDE = 24  # words between the starts of the windows that are learnt from
+STRETCH = 128  # window starts whose words the network reads in one go
 LONGEST = 12  # characters; a longer word is several inputs
 CHARS, BUCKETS = 512, 4096
 CHAR_SIZE, WORD_SIZE, HIDDEN = 16, 8, 8
@@ -26,7 +28,7 @@ def words_of(text: str) -> list[str]:
 
 
 def window_starts(n: int) -> range:
-    """Starts of the windows of n words: every one of them lies in a window."""
+    """Starts of the windows of n words that are learnt from: every one of them lies in a window."""
     return range(0, max(n - (WINDOW - STRIDE), 1) if n else 0, STRIDE)
 
 
@@ -266,50 +268,76 @@ class Scorer(dict):
             self.inputs[first + some] = parts
         self.new = []
 
-    def _windows(self, grid: np.ndarray) -> np.ndarray:
-        """Chances of windows [T, B] of word numbers (0: no word)."""
+    def _best(self, grid: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The highest chance of any window of stretches [T, B] of word numbers (0: no word), each of ``sizes`` words.
+
+        The states are those of the stretch. As the score is linear in what attention pools, a window's score is a
+        quotient of two sums over its words; sums over all windows come from sums over 2, 4, 8 ... words.
+        """
         p, out = self.p, np.empty(grid.shape[1], _F)
-        for at in range(0, grid.shape[1], 1024):
-            ids = grid[:, at : at + 1024]
+        for at in range(0, grid.shape[1], 512):
+            ids = grid[:, at : at + 512]
             a = self.inputs[ids]
-            sides = [
-                recurrent(a[..., i * 3 * HIDDEN : (i + 1) * 3 * HIDDEN], p[f"wr{s}"], None, s == "b")
-                for i, s in enumerate("fb")
-            ]
-            vectors, _ = pooled(np.concatenate(sides, axis=2), p["wat"], (ids > 0)[..., None])
+            states = np.concatenate(
+                [
+                    recurrent(a[..., i * 3 * HIDDEN : (i + 1) * 3 * HIDDEN], p[f"wr{s}"], None, s == "b")
+                    for i, s in enumerate("fb")
+                ],
+                axis=2,
+            )
+            energy = np.where(ids > 0, states @ p["wat"], -np.inf)
+            weight = np.exp(energy - energy.max(axis=0))
+            told = weight * (states @ p["out"])
+            width = 1
+            while width < WINDOW:  # a power of two
+                weight, told = weight[:-width] + weight[width:], told[:-width] + told[width:]
+                width *= 2
+            # Windows that end within the words; of fewer words than a window, the one that holds all.
+            whole = np.arange(len(weight))[:, None] <= np.maximum(sizes[at : at + 512] - WINDOW, 0)
+            logit = np.where(whole, told / np.maximum(weight, 1e-30), -np.inf).max(axis=0) + p["bias"][0]
             # Within what a float tells from 0 and 1, so that scores keep their order.
-            out[at : at + 1024] = _sigmoid(np.clip(vectors @ p["out"] + p["bias"][0], -15, 15))
+            out[at : at + 512] = _sigmoid(np.clip(logit, -15, 15))
         return out
 
     def _numbered(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """The highest chance of any window of each text; 0 without words."""
+        """The highest chance of any window of each text, whichever word it starts at; 0 without words."""
         out = np.zeros(len(texts), float)
-        held, owners, size = [], [], 0
+        held, owners, sizes, size = [], [], [], 0
+        longest = STRETCH + WINDOW - 1
 
         def settle():
-            nonlocal held, owners, size
+            nonlocal held, owners, sizes, size
             if self.new:
                 self._learn()
             if held:
-                np.maximum.at(out, np.concatenate(owners), self._windows(np.concatenate(held, axis=1)))
-            held, owners, size = [], [], 0
-
-        part = self.most // 4 // STRIDE * STRIDE  # words numbered at a time; parts overlap like windows
+                lengths = np.array(sizes)
+                # Stretches of like length go together, cut to the longest.
+                for low, high in zip((0, 32, 48, 64, 96, 128), (32, 48, 64, 96, 128, longest)):
+                    some = np.nonzero((lengths > low) & (lengths <= high))[0]
+                    if len(some):
+                        grid = np.zeros((max(high, WINDOW), len(some)), np.int64)
+                        for column, i in enumerate(some.tolist()):
+                            grid[: sizes[i], column] = held[i]
+                        np.maximum.at(out, np.array(owners)[some], self._best(grid, lengths[some]))
+            held, owners, sizes, size = [], [], [], 0
+
+        part = self.most // 4 // STRETCH * STRETCH  # words numbered at a time
         for i, text in enumerate(texts):
             words = words_of(text)
-            for begin in window_starts(len(words))[:: part // STRIDE]:
-                some = words[begin : begin + part + WINDOW - STRIDE]
+            for begin in range(0, max(len(words) - WINDOW + 1, min(len(words), 1)), part):
+                some = words[begin : begin + part + WINDOW - 1]
                 if len(self) + len(some) > self.most:
                     settle()
                     self.clear()
                 ids = self._numbered(some)
-                starts = np.array(window_starts(len(ids)))
-                padded = np.append(ids, np.zeros(WINDOW, np.int64))
-                held.append(padded[starts[None, :] + np.arange(WINDOW)[:, None]])
-                owners.append(np.full(len(starts), i))
+                for start in range(0, max(len(ids) - WINDOW + 1, 1), STRETCH):
+                    stretch = ids[start : start + longest]
+                    held.append(stretch)
+                    owners.append(i)
+                    sizes.append(len(stretch))
                 size += len(ids)
                 if size > 100_000:
                     settle()
