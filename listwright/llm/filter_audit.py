@@ -78,7 +78,8 @@ def copies(docs: DataFrame) -> DataFrame:
     """(doc_id, part, hash) of documents whose text a smaller doc_id has; a row for each such row of ``docs``."""
     holders = _keyed(docs).filter("doc_id IS NOT NULL").groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     repeated = materialise(holders.filter("low < high").select("hash"), "repeated-hashes")
-    asked = _in_bitmap(_keyed(docs.filter("doc_id IS NOT NULL"), _text().alias("body")), repeated)
+    # Written, since the optimizer would move the join below the bitmap and send all texts to it.
+    asked = materialise(_in_bitmap(_keyed(docs.filter("doc_id IS NOT NULL"), _text().alias("body")), repeated), "asked-texts")
     first = asked.groupBy("hash", "body").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
     first = materialise(first.filter("first_doc < last_doc").select("hash", "body", "first_doc"), "first-holders")
     first = first.select(F.col("hash").alias("_hash"), F.col("body").alias("_body"), "first_doc")
