@@ -131,6 +131,7 @@ def page_facts(pages: DataFrame) -> DataFrame:
             search=first_text("a", "class", "spell"),
             review=first_text("h1", "class", "biz-page-title"),
             directory=first_text("h1", "itemprop", "name"),
+            profile=first_text("a", "class", "js-user-profile-link"),
         ).alias("name"),
         of(
             search=F.coalesce(P.phone_loose(cell), once(T.first(phone_nodes), lambda node: T.raw_text(text, node))),

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from listwright.fixed_values import ACCEPT_ABOVE, REVIEW_BELOW
 from listwright.functions.signatures import similarity_keys
 from listwright.functions.similarity import match_score, token_ratio, with_match_score
-from listwright.functions.text import name_tokens
+from listwright.functions.text import clean_name, name_tokens
 from listwright.session import materialise
 
 # Scores down to which the rounds of best matches look, before the threshold.
@@ -57,9 +57,17 @@ def distinct_names(df: DataFrame, name: str) -> DataFrame:
     ).distinct()
 
 
-def score_pairs(df: DataFrame, left: str, right: str, score: str = "score") -> DataFrame:
-    """Score two name columns of one table, row by row."""
-    return with_match_score(df, name_tokens(F.col(left)), name_tokens(F.col(right)), score)
+def found_tokens(name: Column, both_sides: bool = False) -> Column:
+    """Words of a found name. Searched names have ``&`` spelled out, and with ``both_sides``
+    found ones too; known review flags depend on their not having it."""
+    return name_tokens(clean_name(name) if both_sides else name)
+
+
+def score_pairs(
+    df: DataFrame, left: str, right: str, score: str = "score", both_sides: bool = False
+) -> DataFrame:
+    """Score two name columns of one table, searched and found, row by row."""
+    return with_match_score(df, name_tokens(F.col(left)), found_tokens(F.col(right), both_sides), score)
 
 
 def needs_review(score: Column) -> Column:

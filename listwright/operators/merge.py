@@ -14,7 +14,7 @@ from listwright.functions.addresses import standard_address
 from listwright.functions.phones import phone_format
 from listwright.functions.similarity import with_match_score
 from listwright.functions.text import lookup_key, name_tokens
-from listwright.operators.matching import needs_review
+from listwright.operators.matching import needs_review, score_pairs
 from listwright.sources.pages import look_up, spread_key
 
 ROW = ("list_id", "line_no")
@@ -124,17 +124,23 @@ def with_directory_page(rows: DataFrame, facts: DataFrame) -> DataFrame:
     return _take_address(merged, raw).select(*rows.columns)
 
 
-def with_profile_page(rows: DataFrame, facts: DataFrame) -> DataFrame:
-    pages = _of_source(facts, "profile", "link")
+def with_profile_page(rows: DataFrame, facts: DataFrame, above: float | None = None) -> DataFrame:
+    """The first profile that the lookup finds, and how alike its name is to the listing's.
+
+    The lookup takes what comes first, which may be somebody else's: ``profile_score`` tells, and with ``above`` only
+    profiles that score more are taken. It is NULL where no profile was looked up or found.
+    """
+    pages = _of_source(facts, "profile", "link", "name")
     asked = _ask(rows, pages, "t_", need_profile(), lookup_key(F.col("found_name"), "profile"))
-    return asked.withColumn("twitter", F.coalesce("twitter", "t_link")).select(*rows.columns)
+    scored = with_match_score(asked, name_tokens(F.col("found_name")), name_tokens(F.col("t_name")), "profile_score")
+    if above is not None:
+        scored = scored.withColumn("t_link", F.when(F.col("profile_score") > above, F.col("t_link")))
+    return scored.withColumn("twitter", F.coalesce("twitter", "t_link")).select(*rows.columns, "profile_score")
 
 
-def finish(rows: DataFrame) -> DataFrame:
+def finish(rows: DataFrame, both_sides: bool = False) -> DataFrame:
     """Website fallback, phone format, score and flags."""
-    scored = with_match_score(
-        rows, name_tokens(F.col("search_name")), name_tokens(F.col("found_name")), "score"
-    )
+    scored = score_pairs(rows, "search_name", "found_name", both_sides=both_sides)
     return (
         scored.withColumn("website", F.coalesce("website", "fallback_website"))
         .withColumn("phone", phone_format(F.col("phone")))
@@ -153,6 +159,7 @@ def finish(rows: DataFrame) -> DataFrame:
             "website",
             "facebook",
             "twitter",
+            "profile_score",
             "yelp",
             "yellowpages",
             "urbanspoon",
@@ -160,12 +167,15 @@ def finish(rows: DataFrame) -> DataFrame:
     )
 
 
-def enrich(listings: DataFrame, facts: DataFrame) -> DataFrame:
+def enrich(
+    listings: DataFrame, facts: DataFrame, profile_above: float | None = None, both_sides: bool = False
+) -> DataFrame:
     """One enriched row per listing.
 
-    ``facts`` is the written table of :func:`listwright.operators.facts.lookup_facts`.
+    ``facts`` is the written table of :func:`listwright.operators.facts.lookup_facts`. Profiles need a score of more than
+    ``profile_above``, if given; ``both_sides`` spells ``&`` out in found names too when they are scored.
     """
     rows = default_rows(listings)
-    for add in (with_search_page, with_review_page, with_directory_page, with_profile_page):
+    for add in (with_search_page, with_review_page, with_directory_page):
         rows = add(rows, facts)
-    return finish(rows)
+    return finish(with_profile_page(rows, facts, profile_above), both_sides)

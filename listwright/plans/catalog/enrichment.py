@@ -3,8 +3,9 @@ from customers in which every rule of precedence has its cases."""
 
 from pyspark.sql import functions as F
 
-from listwright.functions.text import lookup_key
+from listwright.functions.text import clean_name, lookup_key
 from listwright.operators import facts as X
+from listwright.operators import matching as M
 from listwright.operators import merge as G
 from listwright.operators.listings import listings
 from listwright.plans.catalog.shared import (
@@ -125,7 +126,10 @@ def customer_pages(spark, sf_dir):
               '<li class="phone">514-555-3333</li><li class="website"><a itemprop="url" href="http://www.listed'),
         key, F.lit('.test">w</a></li>'),
     )
-    profile = F.concat(F.lit('<a class="js-user-profile-link" href="/p'), key, F.lit('">p</a>'))
+    profile = F.concat(
+        F.lit('<a class="js-user-profile-link" href="/p'), key, F.lit('">'),
+        F.when(balance > 3000, F.concat("c_name", F.lit(" Café"))).otherwise(F.lit("Somebody Else")), F.lit("</a>"),
+    )
 
     def page(source, lookup, url, html):
         none = F.lit(None).cast("string")
@@ -151,8 +155,39 @@ def enrich_listings(spark, sf_dir):
     """Lists through the whole merge against the made crawl."""
     facts = materialise(X.lookup_facts(X.page_facts(customer_pages(spark, sf_dir))), "page-facts", "source")
     enriched = G.enrich(listings(list_lines(spark, sf_dir)), facts)
-    return enriched.withColumn("score", F.round("score", 6))
+    return enriched.withColumns({c: F.round(c, 6) for c in ("score", "profile_score")})
+
+
+def checked_profiles(spark, sf_dir):
+    """The profiles that remain when a lookup's hit must carry the listing's name."""
+    facts = materialise(X.lookup_facts(X.page_facts(customer_pages(spark, sf_dir))), "page-facts", "source")
+    enriched = G.enrich(listings(list_lines(spark, sf_dir)), facts, profile_above=0.75)
+    return enriched.select("list_id", "line_no", "twitter", F.round("profile_score", 6).alias("profile_score"))
+
+
+def review_flag_both_sides(spark, sf_dir):
+    """Review flags of names with ``&``, spelled out on one side and on both."""
+    name = F.concat("c_name", F.lit(" & "), F.substr("c_mktsegment", F.lit(1), F.lit(3)))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", clean_name(name).alias("search_name"), name.alias("found_name"))
+    one = M.score_pairs(rows, "search_name", "found_name", "one_side")
+    both = M.score_pairs(one, "search_name", "found_name", "both_sides", both_sides=True)
+    return both.select(
+        "c_custkey",
+        M.needs_review(F.col("one_side")).alias("one_side"),
+        M.needs_review(F.col("both_sides")).alias("both_sides"),
+    )
+
 
+def _side_sql(found):
+    pairs = f"SELECT c_custkey AS id, {tokens_sql('search_name')} AS ta, {tokens_sql(found)} AS tb FROM sides"
+    return f"(WITH {scores_sql(pairs)} SELECT id, score < 0.8 AS flag FROM scored)"
+
+
+_BOTH_SIDES_SQL = f"""
+WITH sides AS (
+  SELECT c_custkey, c_name || ' & ' || left(c_mktsegment, 3) AS found_name, replace(found_name, '&', 'and') AS search_name FROM customer)
+SELECT one.id AS c_custkey, one.flag AS one_side, both_of.flag AS both_sides
+FROM {_side_sql('found_name')} one JOIN {_side_sql("replace(found_name, '&', 'and')")} both_of ON one.id = both_of.id"""
 
 ENRICH_SQL = rf"""
 WITH named AS (
@@ -183,7 +218,13 @@ found AS (
 merged AS (
   SELECT *, coalesce(told_name, CASE WHEN listed THEN 'Directory ' || c_name END, search_name) AS found_name,
          coalesce(phone, CASE WHEN listed THEN '514.555.3333' END) AS merged_phone FROM found),
-{scores_sql(f"SELECT k AS id, {tokens_sql('search_name')} AS ta, {tokens_sql('found_name')} AS tb FROM merged")}
+{scores_sql(f"SELECT k AS id, {tokens_sql('search_name')} AS ta, {tokens_sql('found_name')} AS tb FROM merged")},
+profiles AS (
+  SELECT k, found_name, CASE WHEN bal > 3000 THEN c_name || ' Café' ELSE 'Somebody Else' END AS profile
+  FROM merged WHERE found_name = title AND bal <= 8000),
+profile_scores AS (
+  WITH {scores_sql(f"SELECT k AS id, {tokens_sql('found_name')} AS ta, {tokens_sql('profile')} AS tb FROM profiles")}
+  SELECT id AS profile_id, score AS profile_score FROM scored)
 SELECT list_id, line_no, section, search_name, found_name, round(score, 6) AS score, score < 0.8 AS needs_review,
        found_name <> search_name AS name_changed, address, listed AND address IS NULL AS address_error,
        merged_phone AS phone,
@@ -191,9 +232,14 @@ SELECT list_id, line_no, section, search_name, found_name, round(score, 6) AS sc
        CASE WHEN bal > 5000 THEN 'https://www.facebook.com/c' || k END AS facebook,
        CASE WHEN bal > 8000 THEN 'https://twitter.com/c' || k
             WHEN found_name = title THEN 'twitter.com/p' || k END AS twitter,
+       round(profile_score, 6) AS profile_score,
        CASE WHEN reviewed THEN 'https://www.yelp.com/biz/' || k END AS yelp,
        yellowpages, NULL::VARCHAR AS urbanspoon
-FROM merged JOIN scored ON id = k"""
+FROM merged JOIN scored ON id = k LEFT JOIN profile_scores ON profile_id = k"""
+
+_CHECKED_SQL = f"""
+SELECT list_id, line_no, profile_score, CASE WHEN twitter LIKE 'https:%' OR profile_score > 0.75 THEN twitter END AS twitter
+FROM ({ENRICH_SQL})"""
 
 QUERIES = {
     "merge_precedence": (merge_precedence, _PRECEDENCE_SQL),
@@ -209,4 +255,6 @@ QUERIES = {
         " WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')",
     ),
     "enrich_listings": (enrich_listings, ENRICH_SQL),
+    "checked_profiles": (checked_profiles, _CHECKED_SQL),
+    "review_flag_both_sides": (review_flag_both_sides, _BOTH_SIDES_SQL),
 }

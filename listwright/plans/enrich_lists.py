@@ -15,13 +15,15 @@ from listwright.sources.pages import read_pages
 from listwright.sources.reports import write_named_documents
 
 
-def enrich_lists(spark: SparkSession, list_path: str, pages_path: str) -> DataFrame:
-    """Enriched rows of all lists under ``list_path``.
+def enrich_lists(
+    spark: SparkSession, list_path: str, pages_path: str, profile_above: float | None = None, both_sides: bool = False
+) -> DataFrame:
+    """Enriched rows of all lists under ``list_path``; for the options see :func:`listwright.operators.merge.enrich`.
 
     The facts are written once: five lookups read them, the HTML is read a single time.
     """
     facts = materialise(lookup_facts(page_facts(read_pages(spark, pages_path))), "page-facts", "source")
-    return enrich(listings(read_lists(spark, list_path)), facts)
+    return enrich(listings(read_lists(spark, list_path)), facts, profile_above, both_sides)
 
 
 def report_lists(spark: SparkSession, list_path: str, pages_path: str, out: str) -> DataFrame:

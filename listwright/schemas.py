@@ -20,5 +20,5 @@ ENRICHED = _table(
     list_id=_S, line_no=_L, section=_S, search_name=_S, found_name=_S,
     score=T.DoubleType(), needs_review=T.BooleanType(),
     address=_S, address_error=T.BooleanType(), phone=_S, website=_S,
-    facebook=_S, twitter=_S, yelp=_S, yellowpages=_S, urbanspoon=_S,
+    facebook=_S, twitter=_S, profile_score=T.DoubleType(), yelp=_S, yellowpages=_S, urbanspoon=_S,
 )

@@ -9,6 +9,7 @@ from listwright.fixed_values import RTF_CLOSE, RTF_HEADER
 from listwright.functions import html as H
 from listwright.functions.text import lookup_key
 from listwright.operators.facts import anchors, page_facts
+from listwright.operators.matching import needs_review, score_pairs
 from listwright.operators.report import document_parts, document_rows, report_blocks
 from listwright.plans.enrich_lists import enrich_lists, report_lists
 from listwright.schemas import ENRICHED, PAGE_FACTS, PAGES
@@ -178,6 +179,25 @@ def test_enriched_rows(spark, crawl, lists):
     assert rows[5].found_name == "Broken" and not rows[5].address_error
 
 
+def test_profiles_must_carry_the_name(spark, crawl, lists):
+    """The profile that the lookup finds is called ``k``: it is taken, but not where its name is checked."""
+    rows = {r.line_no: r for r in enrich_lists(spark, lists, crawl).collect()}
+    assert rows[2].twitter == "twitter.com/kazu_mtl" and rows[2].profile_score < 0.75 and rows[3].profile_score is None
+    checked = {r.line_no: r for r in enrich_lists(spark, lists, crawl, profile_above=0.75).collect()}
+    assert checked[2].twitter is None and checked[2].profile_score == rows[2].profile_score
+    assert {r.found_name for r in checked.values()} == {r.found_name for r in rows.values()}
+
+
+def test_ampersands_on_both_sides(spark):
+    names = [("Fitz and Follwell Co.", "Fitz & Follwell Co."), ("a and b", "a and b"), (None, "a & b"), ("a and b", None)]
+    df = spark.createDataFrame(names, "search_name string, found_name string")
+    one, both = (
+        [r["flag"] for r in score_pairs(df, "search_name", "found_name", both_sides=b).select(needs_review(F.col("score")).alias("flag")).collect()]
+        for b in (False, True)
+    )
+    assert (one, both) == ([True, False, True, True], [False, False, True, True])
+
+
 def test_written_reports(spark, crawl, lists, tmp_path):
     rates = report_lists(spark, lists, crawl, str(tmp_path)).first()
     assert (rates.names, rates.address, rates.phone, rates.website) == (5, 3, 3, 3)
