@@ -42,11 +42,12 @@ def number_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def scanned_lines(text: DataFrame) -> DataFrame:
+def scanned_lines(text: DataFrame, *more: Column) -> DataFrame:
     return text.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("value").alias("line"),
+        *more,
     )
 
 
