@@ -9,8 +9,10 @@ A piece's place follows from its rank among the pieces of its length, which is c
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,26 @@ def tokenizer(path: str | None = None):
     )
 
 
+# Runs of white space that are longer do not fit the stack of the pattern's engine.
+LONG_SPACE = re.compile(r"\s{10000}")
+
+
+@lru_cache(maxsize=1)
+def file_tokenizer():
+    """The tokenizer file of the same vocabulary: slower, but it takes any text."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def token_ids(coder, text: str) -> np.ndarray:
-    return np.append(coder.encode_to_numpy(text, allowed_special="all"), END).astype("<u4")
+    """The text's ids and the id 0."""
+    if LONG_SPACE.search(text):
+        ids = file_tokenizer().encode(text, add_special_tokens=False).ids
+    else:
+        ids = coder.encode_to_numpy(text, allowed_special="all")
+    return np.append(ids, END).astype("<u4")
 
 
 _PIECES = pa.schema(
@@ -80,26 +100,19 @@ def combinations(window: int, lengths: np.ndarray) -> np.ndarray:
     return np.concatenate(found).astype(np.int64) if found else np.empty((0, 3), np.int64)
 
 
-# Three-length combinations considered, at most: the ones of the most frequent lengths. Pairs are all considered.
-MOST_TRIPLES = 20_000
+# The solver stops when no repeat count can improve the fit by more than this share of the largest count.
+GAP = 1e-3
+MOST_STEPS = 4000
 
 
-def repeat_counts(histogram: np.ndarray, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """Combinations and how often each is used, within the histogram (a count for each length below the window).
+def least_squares(combos: np.ndarray, histogram: np.ndarray) -> np.ndarray:
+    """x >= 0 that minimises |A x - h|^2, A holding a combination a column: accelerated projected gradients.
 
-    Minimises |A x - h|^2 over x >= 0 by accelerated projected gradients, A holding a combination a column; then rounds
-    down and, from the largest rest on, up while the histogram allows.
+    The distance that a projected gradient step still goes tells how far x is from the optimum; it starts afresh
+    where the momentum points uphill.
     """
     window = len(histogram)
-    combos = combinations(window, np.nonzero(histogram)[0])
-    if not len(combos):
-        return combos, np.zeros(0, np.int64)
     weight = histogram.astype(float)
-    scarce = np.minimum(np.where(combos[:, 0] > 0, weight[combos[:, 0]], np.inf), np.minimum(weight[combos[:, 1]], weight[combos[:, 2]]))
-    pairs = combos[:, 0] == 0
-    triples = np.nonzero(~pairs)[0]
-    triples = triples[np.argsort(-scarce[triples], kind="stable")[:MOST_TRIPLES]]
-    combos = combos[np.sort(np.append(np.nonzero(pairs)[0], triples))]
     weight[0] = 0
 
     def times(x: np.ndarray) -> np.ndarray:
@@ -116,10 +129,33 @@ def repeat_counts(histogram: np.ndarray, steps: int = 400) -> tuple[np.ndarray,
     bound = float((times(np.ones(len(combos)))[combos].sum(axis=1)).max())
     x = y = np.zeros(len(combos))
     t = 1.0
-    for _ in range(steps):
-        new = np.maximum(0, y - gradient(y) / bound)
-        faster = (1 + np.sqrt(1 + 4 * t * t)) / 2
+    for step in range(MOST_STEPS):
+        slope = gradient(y)
+        new = np.maximum(0, y - slope / bound)
+        if step % 20 == 0 and optimality_gap(x, gradient(x)) <= GAP * max(1.0, weight.max()):
+            break
+        if slope @ (new - x) > 0:
+            t, faster = 1.0, 1.0
+        else:
+            faster = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y, x, t = new + (t - 1) / faster * (new - x), new, faster
+    return x
+
+
+def optimality_gap(x: np.ndarray, slope: np.ndarray) -> float:
+    """How far the conditions of the optimum are missed: no slope where x > 0, none downhill where x = 0."""
+    return float(np.abs(x - np.maximum(0, x - slope)).max(initial=0))
+
+
+def repeat_counts(histogram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Combinations and how often each is used, within the histogram (a count for each length below the window).
+
+    The least squares solution is rounded down and, from the largest rest on, up while the histogram allows.
+    """
+    combos = combinations(len(histogram), np.nonzero(histogram)[0])
+    if not len(combos):
+        return combos, np.zeros(0, np.int64)
+    x = least_squares(combos, histogram)
     counts = np.floor(x).astype(np.int64)
     left = histogram.astype(np.int64).copy()
     left[0] = 0
@@ -211,7 +247,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, all_ids
     """Pieces of documents and their places: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids).
 
     A document's ids are those of its text (null: empty) and the id 0; each lies in exactly one piece. All sequences
-    but at most one are full. ``ids`` holds a piece's ids as little-endian 32-bit numbers with ``all_ids``, else null.
+    but at most one are full. Texts of any length, runs of white space too, are read whole. ``ids`` holds a piece's ids as little-endian 32-bit numbers with ``all_ids``, else null.
     Rows without an id or with one that repeats are documents like others. An empty table gives no rows.
     """
     pieces = materialise(in_arrow(texts(docs), _cut(path, window, all_ids), _PIECES_SQL), "pieces")
