@@ -78,6 +78,13 @@ def host_denylist(spark, sf_dir):
     return K.allowed_links(_urls(spark, sf_dir), "url", JUNK_HOSTS)
 
 
+def host_denylist_table(spark, sf_dir):
+    """Links whose host has no label in common with the hosts of links that have a fragment."""
+    urls = _urls(spark, sf_dir)
+    denied = urls.filter(F.contains("url", F.lit("#"))).select(F.get(U.host_labels(F.col("url")), F.lit(0)).alias("label"))
+    return K.allowed_links_by_table(urls, denied)
+
+
 def _some_cut(spark, sf_dir):
     """Links of which those with a fragment are cut down to their host."""
     host = F.regexp_extract("url", "^https?://[^/]+", 0)
@@ -111,6 +118,10 @@ def strip_www(spark, sf_dir):
 _LABELS_SQL = "string_split(split_part(split_part(url, '//', 2), '/', 1), '.')"
 _JUNK_SQL = "('spam-farm', 'cheap-pills', 'casino-win', 'free-bets')"
 _ALLOWED_SQL = f"{_LABELS_SQL}[1] <> '' AND len(list_filter({_LABELS_SQL}, lambda w: w IN {_JUNK_SQL})) = 0"
+_DENIED_TABLE_SQL = f"""
+WITH denied AS (SELECT DISTINCT {_LABELS_SQL}[1] AS label FROM pages WHERE contains(url, '#'))
+SELECT page_id, url FROM pages
+WHERE {_LABELS_SQL}[1] <> '' AND NOT EXISTS (SELECT 1 FROM denied WHERE list_contains({_LABELS_SQL}, label))"""
 _ROOT_SQL = "regexp_matches(url, '^https?://[^/]+/*$')"
 
 QUERIES = {
@@ -149,6 +160,7 @@ QUERIES = {
         f"SELECT page_id, array_to_string({_LABELS_SQL}, ' ') AS labels, {_LABELS_SQL}[1] <> '' AS has_host FROM pages",
     ),
     "host_denylist": (host_denylist, f"SELECT page_id, url FROM pages WHERE {_ALLOWED_SQL}"),
+    "host_denylist_table": (host_denylist_table, _DENIED_TABLE_SQL),
     "root_urls_only": (root_urls_only, f"SELECT * FROM ({_SOME_CUT_SQL}) WHERE {_ROOT_SQL}"),
     "first_website": (
         first_website,
