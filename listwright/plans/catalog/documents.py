@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from listwright.fixed_values import REPORT_SUFFIX
 from listwright.functions import rtf as R
+from listwright.operators import measures as G
 from listwright.operators import report as D
 from listwright.operators.matching import needs_review
 from listwright.plans.catalog.shared import documents, table
@@ -152,7 +153,29 @@ def run_report(spark, sf_dir):
     return rates.withColumn("mean_score", F.round("mean_score", 6))
 
 
+def run_measures(spark, sf_dir):
+    """Three runs over a third of the customers each, added up."""
+    rows = enriched_customers(spark, sf_dir).withColumn("section", F.when(F.col("line_no") % 5 > 0, F.concat(F.lit("s"), F.col("line_no") % 2)))
+    days = [G.sketches(rows.filter(F.col("line_no") % 3 == day)) for day in range(3)]
+    whole = G.merged(days[0].unionByName(days[1]).unionByName(days[2]))
+    # Distinct phones are an estimate: they have a test instead.
+    return G.measured(whole, 0.1, 0.5).drop("distinct_phones")
+
+
+_MEASURES_SQL = f"""
+WITH rows AS (
+  SELECT *, CASE WHEN line_no % 5 > 0 THEN 's' || (line_no % 2) END AS section, floor(score * 1000)::INTEGER AS raw_bin FROM ({ENRICHED_SQL})),
+keyed AS (
+  SELECT 'section' AS level, list_id, section, * EXCLUDE (list_id, section) FROM rows
+  UNION ALL SELECT 'list', list_id, NULL, * EXCLUDE (list_id, section) FROM rows
+  UNION ALL SELECT 'total', NULL, NULL, * EXCLUDE (list_id, section) FROM rows)
+SELECT level, list_id, section, count(*) AS names, count(address) AS address, count(phone) AS phone, count(website) AS website,
+       count(facebook) AS facebook, count(twitter) AS twitter, count(*) FILTER (needs_review) AS flagged, count(score) AS scored,
+       quantile_disc(least(raw_bin, 1000), 0.1) / 1000 AS score_10, quantile_disc(least(raw_bin, 1000), 0.5) / 1000 AS score_50
+FROM keyed GROUP BY level, list_id, section"""
+
 QUERIES = {
+    "run_measures": (run_measures, _MEASURES_SQL),
     "attributes_long": (attributes_long, _LONG_SQL),
     "link_markup": (
         link_markup,
