@@ -1,4 +1,4 @@
-"""Sharding by vector bin packing: bytes, words and rows are balanced together.
+"""Sharding by vector bin packing: bytes, tokens and rows are balanced together.
 
 Rows are gathered into items: equal texts stay together, small groups share one of a fixed number of buckets by hash,
 and a group too large for one item is dealt into several. So the number of items has a bound of its own and only they
@@ -7,10 +7,17 @@ are placed on the driver: from large to small, each where the dot product with t
 
 from __future__ import annotations
 
+import hashlib
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from listwright.llm.common import Buffer, column, in_arrow, texts
+from listwright.llm.packing import token_ids, tokenizer
 from listwright.session import materialise
 
 SHARDS = 40
@@ -18,25 +25,36 @@ SHARDS = 40
 LARGE = 64
 BUCKETS = 8192
 ROW_BYTES = 16
-DIMENSIONS = ("bytes", "words", "rows")
+DIMENSIONS = ("bytes", "tokens", "rows")
 ITEM_SQL = "item long, shard int, first_slot long"
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, text_crc32, words, high, low): measures and a 128-bit hash of each text (null: empty)."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    bare = docs.select("doc_id", text.alias("text"), F.md5(text).alias("digest"))
-    return bare.select(
-        "doc_id",
-        (F.octet_length("text") + ROW_BYTES).cast("long").alias("size"),
-        F.crc32("text").alias("text_crc32"),
-        F.size(F.array_remove(F.split("text", "[ \\t\\n\\r\\x0B\\f]+"), "")).cast("long").alias("words"),
-        "digest",
-    )
+_SIZED = pa.schema([(name, pa.int64()) for name in ("doc_id", "size", "text_crc32", "tokens")] + [("digest", pa.string())])
+_SIZED_SQL = "doc_id long, size long, text_crc32 long, tokens long, digest string"
+
+
+def _sizes(path: str | None):
+    def sizes(batches) -> Iterator[pa.RecordBatch]:
+        coder, out = tokenizer(path), Buffer(_SIZED)
+        for batch in batches:
+            for doc_id, body in zip(column(batch, "doc_id"), column(batch, "body")):
+                tokens = len(token_ids(coder, body.decode()))
+                yield from out.add((doc_id, len(body) + ROW_BYTES, zlib.crc32(body), tokens, hashlib.md5(body).hexdigest()))
+        yield from out.flush()
+
+    return sizes
+
+
+def sized(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, size, text_crc32, tokens, digest): measures and a 128-bit hash of each text (null: empty).
+
+    Tokens are the ids of the byte-level tokenizer and the id that ends a text, as they are packed.
+    """
+    return in_arrow(texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), _sizes(path), _SIZED_SQL)
 
 
 def place(items: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each item (a row of bytes, words, rows), by the dot product with what each shard has left."""
+    """The shard of each item (a row of bytes, tokens, rows), by the dot product with what each shard has left."""
     totals = items.sum(axis=0)
     shares = items / np.where(totals > 0, totals, 1)
     left = np.full((shards, items.shape[1]), 1.0 / shards)
@@ -51,16 +69,17 @@ def place(items: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
-def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, path: str | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard), a row per row of ``docs``.
 
-    The law is ``bytes``: shards have nearly equal sizes (and words and rows), as far as single rows allow. Equal texts
+    The law is ``bytes``: shards have nearly equal sizes (and tokens and rows), as far as single rows allow. Equal texts
     share a shard unless they are over 1/64 of one. ``slot`` counts 0, 1, ... within a shard. Null texts are empty;
-    rows without an id, repeated rows and ties are rows like others. An empty table gives no rows.
+    rows without an id, repeated rows and ties are rows like others. Texts of any length are read whole; other columns play no
+    part. An empty table gives no rows. ``path`` names the tokenizer's ranks.
     """
     spark: SparkSession = docs.sparkSession
-    rows = materialise(sized(docs), "sized")
-    groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes"), F.sum("words").alias("words"), F.count("*").alias("rows"))
+    rows = materialise(sized(docs, path), "sized")
+    groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
     groups = materialise(groups, "groups")
     totals = groups.agg(*(F.sum(name).alias(name) for name in DIMENSIONS)).first()
     limits = {name: max(1.0, (totals[name] or 0) / (shards * LARGE)) for name in DIMENSIONS}
@@ -78,7 +97,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     bucket = F.pmod(F.xxhash64("digest"), F.lit(BUCKETS)).cast("long")
     dealt = rows.withColumn("mixed", mixed).join(plan, "digest", "left").withColumn("item", F.coalesce(own, bucket))
     dealt = materialise(dealt.drop("first", "parts", "mixed"), "dealt")
-    found = dealt.groupBy("item").agg(F.sum("size").alias("bytes"), F.sum("words").alias("words"), F.count("*").alias("rows"))
+    found = dealt.groupBy("item").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
     found = found.orderBy("item").collect()  # at most BUCKETS and twice as many as large groups have parts
     where = place(np.array([[r[d] for d in DIMENSIONS] for r in found], float).reshape(-1, 3), shards)
     slots, placed = [0] * shards, []

@@ -7,7 +7,7 @@ import time
 import numpy as np
 import pytest
 
-from listwright.llm import decontaminate, packing, pii
+from listwright.llm import decontaminate, packing, pii, sharding
 from listwright.llm.common import window_hashes
 
 LONG = {
@@ -130,3 +130,20 @@ def test_readings_find_other_names(spark):
     docs = spark.createDataFrame([(1, f"some text before {other} and after it"), (2, "nothing of the kind here")], "doc_id long, text string")
     bench = spark.createDataFrame([(9, item)], "item_id long, text string")
     assert [(r["doc_id"], r["item_ids"], r["renamed"]) for r in decontaminate.contaminated(docs, bench).collect()] == [(1, [9], True)]
+
+
+def test_shards_balance_tokens(spark):
+    """Texts without spaces and texts of many short words have the same bytes but not the same tokens."""
+    chance = random.Random(8)
+    rows = [(i, "".join(chance.choices("0123456789#%é", k=900)) if i % 4 == 0 else "the and of to in " * 53) for i in range(400)]
+    rows = [(i, t + str(i)) for i, t in rows] + [(None, None), (7, ""), (7, "")]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, tokens int, digest string")
+    coder = packing.tokenizer()
+    tokens = {i: len(packing.token_ids(coder, t or "")) for i, t in rows if i is not None and i != 7}
+    got = {r["doc_id"]: r["tokens"] for r in sharding.sized(docs).collect() if r["doc_id"] not in (None, 7)}
+    assert got == tokens
+    found = sharding.shard(docs, 5).collect()
+    assert len(found) == len(rows)
+    for measure in (lambda r: r["size"], lambda r: tokens.get(r["doc_id"], 1), lambda r: 1):
+        sums = [sum(measure(r) for r in found if r["shard"] == s) for s in range(5)]
+        assert max(sums) <= 1.05 * sum(sums) / 5, sums
