@@ -74,13 +74,14 @@ def needs_review(score: Column) -> Column:
     return F.coalesce(score < REVIEW_BELOW, F.lit(True))
 
 
-def _postings(names: DataFrame) -> DataFrame:
+def word_places(names: DataFrame) -> DataFrame:
+    """Names with each of their words as ``token``."""
     return names.withColumn("token", F.explode(words_of(F.col("name_key"))))
 
 
 def word_counts(names: DataFrame) -> DataFrame:
     """In how many word places of distinct names each word stands."""
-    return _postings(names).groupBy("token").agg(F.count(F.lit(1)).alias("places"))
+    return word_places(names).groupBy("token").agg(F.count(F.lit(1)).alias("places"))
 
 
 def _dealt(words: DataFrame) -> DataFrame:
@@ -88,19 +89,18 @@ def _dealt(words: DataFrame) -> DataFrame:
     return words.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token")
 
 
+def similarity_key_rows(words: DataFrame, floor: float, left: bool) -> DataFrame:
+    """(token, key): keys that any two words more alike than ``floor`` share, one from either side."""
+    keys = similarity_keys(F.col("token"), _fraction(floor), left=left)
+    return _dealt(words).select("token", F.explode(keys).alias("key"))
+
+
 def token_pairs(left: DataFrame, right: DataFrame, floor: float = ACCEPT_ABOVE) -> DataFrame:
     """All (tok_a, tok_b, ratio) with ratio above ``floor`` between two tables of distinct
     ``token``; found by an equi-join on similarity keys. Making keys is the costly part, so
     the words, a small table for their number, are dealt out to all cores."""
-    bound = _fraction(floor)
-    keyed_left = _dealt(left).select(
-        F.col("token").alias("tok_a"),
-        F.explode(similarity_keys(F.col("token"), bound, left=True)).alias("key"),
-    )
-    keyed_right = _dealt(right).select(
-        F.col("token").alias("tok_b"),
-        F.explode(similarity_keys(F.col("token"), bound, left=False)).alias("key"),
-    )
+    keyed_left = similarity_key_rows(left, floor, left=True).withColumnRenamed("token", "tok_a")
+    keyed_right = similarity_key_rows(right, floor, left=False).withColumnRenamed("token", "tok_b")
     return (
         keyed_left.join(keyed_right, "key")
         .select("tok_a", "tok_b")
@@ -120,7 +120,7 @@ def _levels(floor: float) -> list[float]:
     return [floor + (1 - floor) * i / LEVELS for i in range(LEVELS)]
 
 
-def _reach(pairs: DataFrame, own: str, other: str, floor: float, other_counts: DataFrame) -> DataFrame:
+def word_reach(pairs: DataFrame, own: str, other: str, floor: float, other_counts: DataFrame) -> DataFrame:
     """(token, reach): to how many places of the other table each word leads through partners
     above each level of ratio. A misspelt frequent word leads to as many as the word itself."""
     partners = other_counts.withColumnRenamed("token", other)
@@ -128,7 +128,7 @@ def _reach(pairs: DataFrame, own: str, other: str, floor: float, other_counts: D
     return pairs.join(partners, other).groupBy(F.col(own).alias("token")).agg(F.array(*above).alias("reach"))
 
 
-def _meeting_words(names: DataFrame, reach: DataFrame, score: float, floor: float) -> DataFrame:
+def meeting_words(names: DataFrame, reach: DataFrame, score: float, floor: float) -> DataFrame:
     """(name_key, token, need): words a name meets the other table through, and the ratio
     a partner must exceed for the pair to score above ``beat``, the name's own bound, which
     is no less than ``score``."""
@@ -136,7 +136,7 @@ def _meeting_words(names: DataFrame, reach: DataFrame, score: float, floor: floa
     none = F.array(*[F.lit(0).cast("long")] * LEVELS)
     word = F.struct((-F.col("reach")[0]).alias("most"), "token", "reach")
     whole = (
-        _postings(names)
+        word_places(names)
         .join(reach, "token", "left")
         .withColumn("reach", F.coalesce("reach", none))
         .groupBy("name_key", "beat")
@@ -192,24 +192,25 @@ def match_candidates(
     """
     left = left if "beat" in left.columns else left.withColumn("beat", F.lit(score))
     right = right.select("name_key").withColumn("beat", F.lit(score))
-    meet_a = _meeting_words(left, _reach(pairs, "tok_a", "tok_b", floor, counts[1]), score, floor)
+    meet_a = meeting_words(left, word_reach(pairs, "tok_a", "tok_b", floor, counts[1]), score, floor)
     from_a = (
         meet_a.join(pairs, (meet_a.token == pairs.tok_a) & (pairs.ratio > meet_a.need))
         .select(F.col("name_key").alias("key_a"), F.col("tok_b").alias("token"))
-        .join(_postings(right), "token")
+        .join(word_places(right), "token")
         .select("key_a", F.col("name_key").alias("key_b"))
     )
-    meet_b = _meeting_words(right, _reach(pairs, "tok_b", "tok_a", floor, counts[0]), score, floor)
+    meet_b = meeting_words(right, word_reach(pairs, "tok_b", "tok_a", floor, counts[0]), score, floor)
     from_b = (
         meet_b.join(pairs, (meet_b.token == pairs.tok_b) & (pairs.ratio > meet_b.need))
         .select(F.col("name_key").alias("key_b"), F.col("tok_a").alias("token"))
-        .join(_postings(left), "token")
+        .join(word_places(left), "token")
         .select(F.col("name_key").alias("key_a"), "key_b")
     )
     return from_a.unionByName(from_b).distinct()
 
 
-def _scored(candidates: DataFrame, threshold: float) -> DataFrame:
+def scored_pairs(candidates: DataFrame, threshold: float) -> DataFrame:
+    """Candidates (key_a, key_b) that score above ``threshold``, with their score."""
     score = match_score(words_of(F.col("key_a")), words_of(F.col("key_b")))
     return candidates.withColumn("score", score).filter(F.col("score") > threshold)
 
@@ -221,7 +222,7 @@ def match_pairs(
     floor = pair_floor(threshold) if floor is None else floor
     counts = both_word_counts(left, right)
     pairs = materialise(token_pairs(*counts, floor), "token-pairs")
-    return _scored(match_candidates(left, right, threshold, floor, counts, pairs), threshold)
+    return scored_pairs(match_candidates(left, right, threshold, floor, counts, pairs), threshold)
 
 
 def _rarest_word(names: DataFrame, counts: DataFrame) -> DataFrame:
@@ -230,7 +231,7 @@ def _rarest_word(names: DataFrame, counts: DataFrame) -> DataFrame:
     by_rarity = Window.partitionBy("name_key").orderBy("places", "token")
     whole = Window.partitionBy("name_key")
     return (
-        _postings(names)
+        word_places(names)
         .join(counts, "token", "left")
         .withColumn("place", F.row_number().over(by_rarity))
         .withColumn("missing", F.count_if(F.col("places").isNull()).over(whole))
@@ -248,12 +249,12 @@ def _contained(
 
     a_in_b = (
         _rarest_word(left, counts[1]).withColumnRenamed("name_key", "key_a")
-        .join(_postings(right).withColumnRenamed("name_key", "key_b"), "token")
+        .join(word_places(right).withColumnRenamed("name_key", "key_b"), "token")
         .filter(inside("key_a", "key_b"))
     )
     b_in_a = (
         _rarest_word(right, counts[0]).withColumnRenamed("name_key", "key_b")
-        .join(_postings(left).withColumnRenamed("name_key", "key_a"), "token")
+        .join(word_places(left).withColumnRenamed("name_key", "key_a"), "token")
         .filter(inside("key_b", "key_a"))
     )
     return a_in_b.select("key_a", "key_b").unionByName(b_in_a.select("key_a", "key_b"))
@@ -292,7 +293,7 @@ def _fuzzy_best(names: DataFrame, pages: DataFrame, threshold: float) -> DataFra
         pairs = materialise(token_pairs(*counts, floor), "token-pairs")
         # What is found so far may be beaten, or tied by a page before it.
         asking = rest.select("name_key", F.greatest(F.lit(bound), F.col("score") - _SLACK).alias("beat"))
-        found = _scored(match_candidates(asking, keys, bound, floor, counts, pairs), threshold)
+        found = scored_pairs(match_candidates(asking, keys, bound, floor, counts, pairs), threshold)
         both = _best_of(found, pages).select(columns).unionByName(rest.filter("score IS NOT NULL").select(columns))
         order = F.struct((-F.col("score")).alias("s"), F.col("page_id").alias("p"))
         best = both.groupBy("name_key").agg(F.min_by(F.struct(*columns[1:]), order).alias("best")).select("name_key", "best.*")
@@ -303,6 +304,16 @@ def _fuzzy_best(names: DataFrame, pages: DataFrame, threshold: float) -> DataFra
     return settled
 
 
+def page_keys(page_names: DataFrame) -> DataFrame:
+    """(name_key, page_name, page_id): the lowest page of each set of words; names without words are left out."""
+    return (
+        with_name_key(page_names.select("page_id", "page_name"), "page_name")
+        .filter("name_key is not null")
+        .groupBy("name_key")
+        .agg(F.min_by("page_name", "page_id").alias("page_name"), F.min("page_id").alias("page_id"))
+    )
+
+
 def best_matches(
     listings: DataFrame,
     page_names: DataFrame,
@@ -317,13 +328,7 @@ def best_matches(
     Most names are settled by an equi-join on the name key, the next by containment; only
     the rest need the fuzzy join, in rounds from high scores down.
     """
-    pages = (
-        with_name_key(page_names.select("page_id", "page_name"), "page_name")
-        .filter("name_key is not null")
-        .groupBy("name_key")
-        .agg(F.min_by("page_name", "page_id").alias("page_name"), F.min("page_id").alias("page_id"))
-    )
-    pages = materialise(pages, "page-names")
+    pages = materialise(page_keys(page_names), "page-names")
     keyed = with_name_key(listings, "search_name")
     columns = ["name_key", "page_id", "page_name", "score"]
 

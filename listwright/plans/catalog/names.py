@@ -1,5 +1,7 @@
 """Name matching."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from listwright.fixed_values import ACCEPT_ABOVE
@@ -7,6 +9,7 @@ from listwright.functions.binding import once
 from listwright.functions.similarity import token_ratio
 from listwright.functions.text import split_tokens
 from listwright.operators import matching as M
+from listwright.operators import name_index as I
 from listwright.plans.catalog.shared import (
     SHOWN_SQL,
     element_sql,
@@ -17,7 +20,7 @@ from listwright.plans.catalog.shared import (
     table,
     tokens_sql,
 )
-from listwright.session import materialise
+from listwright.session import materialise, shared_folder
 from listwright.sources.lists import lines_of_texts
 
 
@@ -96,6 +99,16 @@ def accept_match(spark, sf_dir):
     return best.withColumn("score", F.round("score", 6))
 
 
+def match_kept_names(spark, sf_dir):
+    """The same from a kept index of the part names, for the listings of a third of the brands at a time."""
+    folder = f"{shared_folder(spark).rstrip('/')}/part-names-{uuid.uuid4().hex}"
+    index = I.write_name_index(_part_names(spark, sf_dir), folder)
+    third = F.pmod(F.crc32("list_id"), F.lit(3))
+    listed = _misspelt_parts(spark, sf_dir)
+    best = [I.match_new(listed.filter(third == part), index) for part in range(3)]
+    return best[0].unionByName(best[1]).unionByName(best[2]).withColumn("score", F.round("score", 6))
+
+
 _PART_PAIRS_SQL = (
     "WITH left_names AS (SELECT DISTINCT translate(p_name, 'ai', 'eo') AS a FROM part),"
     " right_names AS (SELECT p_name AS b, min(p_partkey) AS page_id FROM part GROUP BY p_name),"
@@ -182,6 +195,7 @@ QUERIES = {
     ),
     "match_candidates": (match_candidates, MATCH_CANDIDATES_SQL),
     "accept_match": (accept_match, ACCEPT_SQL),
+    "match_kept_names": (match_kept_names, ACCEPT_SQL),
     "review_flag": (
         review_flag,
         f"{_TITLE_AD_SQL} SELECT id AS page_id, coalesce(score < 0.8, TRUE) AS needs_review"
