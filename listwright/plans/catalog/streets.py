@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from listwright.functions import addresses as A
+from listwright.operators import gazetteer as Z
 from listwright.operators.addresses import standardise_addresses
 from listwright.plans.catalog.shared import joined_words, table
 
@@ -134,6 +135,19 @@ SELECT s_suppkey, unnest(regexp_extract_all(text, '\d{{1,5}}[ ][\w -\.,]*[mM]ont
        len(regexp_extract_all(text, '\d{{1,5}}[ ][A-Za-z -\.,]*[mM]ontr[eé]al[\w -\.,]{{2,15}}'))::BIGINT AS narrow
 FROM (SELECT s_suppkey, 'Visit us: ' || raw || '; tel.' AS text FROM ({SUPPLIER_ADDRESSES_SQL}))"""
 
+def find_addresses_by_street(spark, sf_dir):
+    """Addresses without a city, of streets known from every second supplier."""
+    raw = supplier_addresses(spark, sf_dir)
+    known = Z.streets(raw.filter("s_suppkey % 2 = 0"), "raw")
+    text = F.concat(F.lit("Since 10 years at "), F.substring_index("raw", " ,", 1), F.lit("; call 514 555 1234 or visit."))
+    return Z.find_addresses(raw.select("s_suppkey", text.alias("text")), known, "s_suppkey").drop("pos")
+
+
+_BY_STREET_SQL = f"""{_STEPS_SQL},
+known AS (SELECT DISTINCT array_to_string(expanded, ' ') AS phrase FROM done WHERE s_suppkey % 2 = 0 AND number IS NOT NULL)
+SELECT s_suppkey, number, standard AS street, number || ' ' || standard AS address
+FROM done WHERE number IS NOT NULL AND array_to_string(expanded, ' ') IN (SELECT phrase FROM known)"""
+
 QUERIES = {
     "house_number": (house_number, f"{_STEPS_SQL} SELECT s_suppkey, number FROM done"),
     "street_part": (street_part, f"{_STEPS_SQL} SELECT s_suppkey, street FROM done"),
@@ -156,4 +170,5 @@ QUERIES = {
     ),
     "punctuation_free_address": (punctuation_free_address, _FREE_SQL),
     "find_addresses_in_text": (find_addresses_in_text, _FIND_SQL),
+    "find_addresses_by_street": (find_addresses_by_street, _BY_STREET_SQL),
 }
