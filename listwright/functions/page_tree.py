@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -136,9 +137,23 @@ def page_nodes(html: str, wanted: frozenset[str] | None = None) -> tuple[str, li
     return page.done()
 
 
+# Bytes of HTML whose nodes are held at a time; of at least one page.
+HELD = 1 << 22
+
+
+def _slices(batch: pa.RecordBatch, at: str) -> Iterator[pa.RecordBatch]:
+    start = held = 0
+    for i, size in enumerate(pc.binary_length(batch.column(at)).to_pylist()):
+        if held and held + (size or 0) > HELD:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size or 0
+    yield batch.slice(start)
+
+
 def _trees(at: str, schema: pa.Schema, wanted: frozenset[str] | None):
     def trees(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, at)):
             texts, nodes, offsets = [], [], [0]
             for html in batch.column(at).to_pylist():
                 text, found = (None, []) if html is None else page_nodes(html, wanted)
@@ -157,7 +172,7 @@ def _trees(at: str, schema: pa.Schema, wanted: frozenset[str] | None):
 def with_tree(pages: DataFrame, tags: set[str] | None = None, html: str = "html") -> DataFrame:
     """``pages`` with ``text`` and ``nodes`` in place of the HTML. ``tags`` names the nodes that are wanted (None: all).
 
-    Of a null page the text is null and there are no nodes. A page is one row's work; batches are bounded in bytes.
+    Of a null page the text is null and there are no nodes. A page is one row's work; the nodes of few pages are held at a time.
     """
     wanted = None if tags is None else frozenset(tags)
     kept = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in pages.schema if field.name != html)

@@ -77,6 +77,15 @@ def test_marker_cells(spark):
     assert list(got[i] for i in range(len(cases))) == list(cases.values())
 
 
+def test_pages_are_held_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(T, "HELD", 40)
+    htmls = {i: f"<p>{'x' * (i % 50)}<a href=/{i}>l{i}</a>" for i in range(200)} | {200: None, 201: ""}
+    df = spark.createDataFrame(list(htmls.items()), "page_id long, html string").coalesce(1)
+    rows = T.with_tree(df).collect()
+    assert {r["page_id"]: r["text"] for r in rows} == {i: None if h is None else page_nodes(h)[0] for i, h in htmls.items()}
+    assert all([n["href"] for n in r["nodes"] if n["tag"] == "a"] == [f"/{r['page_id']}"] for r in rows if r["page_id"] < 200)
+
+
 def test_trees_of_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (3, "<a href=''>é😀</a><a>t", "z")], "page_id long, html string, nodes_of string")
     rows = {r["page_id"]: r for r in T.with_tree(df).collect()}
