@@ -37,6 +37,17 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", body, *more)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores put behind those that ``df`` has."""
+    taken = {name.lower() for name in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

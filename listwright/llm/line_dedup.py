@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listwright.llm.common import Buffer, column, in_arrow, texts
+from listwright.llm.common import Buffer, column, fresh, in_arrow, texts
 from listwright.session import materialise
 
 LEAST_KEY = 10  # code points
@@ -124,13 +124,12 @@ def kept_lines(body: bytes, keep: bytes | None) -> list[bytes]:
     return [line for i, line in enumerate(lines) if i >= len(bits) or bits[i]]
 
 
-def with_bitmaps(docs: DataFrame) -> DataFrame:
-    """``docs`` with the columns ``_dropped`` and ``_keep``, null where a document loses nothing."""
-    keeps = keep_bitmaps(docs).select(
-        F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("n_dropped").alias("_dropped"), F.col("keep").alias("_keep")
-    )
-    same = (F.col("doc_id") == F.col("_doc")) & (_text_hash() == F.col("_hash"))
-    return docs.join(keeps, same, "left").drop("_doc", "_hash")
+def with_bitmaps(docs: DataFrame, keep: str = "_keep") -> DataFrame:
+    """``docs`` with the column ``keep``: null where a document loses nothing."""
+    doc, text = fresh(docs, "_doc", "_hash")
+    keeps = keep_bitmaps(docs).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text), F.col("keep").alias(keep))
+    same = (docs["doc_id"] == keeps[doc]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == keeps[text])
+    return docs.join(keeps, same, "left").drop(doc, text)
 
 
 def _digests(batches) -> Iterator[pa.RecordBatch]:
@@ -150,18 +149,21 @@ def line_digests(docs: DataFrame) -> DataFrame:
     return in_arrow(texts(marked, "_keep"), _digests, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
-def _rewritten(batches) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at = batch.schema.get_field_index("text")
-        new = [
-            text if keep is None else b"\n".join(kept_lines(text.encode(), keep)).decode()
-            for text, keep in zip(column(batch, "text"), column(batch, "_keep"))
-        ]
-        batch = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
-        yield batch.drop_columns(["_keep"])
+def _rewritten(keep_name: str):
+    def rewritten(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            new = [
+                text if keep is None else b"\n".join(kept_lines(text.encode(), keep)).decode()
+                for text, keep in zip(column(batch, "text"), column(batch, keep_name))
+            ]
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
+            yield batch.drop_columns([keep_name])
+
+    return rewritten
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, with the lines gone from ``text``."""
-    kept = with_bitmaps(docs).drop("_dropped")
-    return in_arrow(kept, _rewritten, docs.schema)
+    (keep,) = fresh(docs, "_keep")
+    return in_arrow(with_bitmaps(docs, keep), _rewritten(keep), docs.schema)
