@@ -98,11 +98,12 @@ def similarity_key_rows(words: DataFrame, floor: float, left: bool) -> DataFrame
 def token_pairs(left: DataFrame, right: DataFrame, floor: float = ACCEPT_ABOVE) -> DataFrame:
     """All (tok_a, tok_b, ratio) with ratio above ``floor`` between two tables of distinct
     ``token``; found by an equi-join on similarity keys. Making keys is the costly part, so
-    the words, a small table for their number, are dealt out to all cores."""
+    the words, a small table for their number, are dealt out to all cores. A word has up to
+    thousands of keys, which the size of its table does not tell: neither side is broadcast."""
     keyed_left = similarity_key_rows(left, floor, left=True).withColumnRenamed("token", "tok_a")
     keyed_right = similarity_key_rows(right, floor, left=False).withColumnRenamed("token", "tok_b")
     return (
-        keyed_left.join(keyed_right, "key")
+        keyed_left.join(keyed_right.hint("merge"), "key")
         .select("tok_a", "tok_b")
         .distinct()
         .withColumn("ratio", token_ratio(F.col("tok_a"), F.col("tok_b")))

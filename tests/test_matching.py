@@ -5,6 +5,7 @@ from test_similarity import plain_score
 
 from listwright.operators import matching as M
 from listwright.operators.report import review_agreement
+from listwright.session import materialise
 
 WORDS = ["restaurant", "cafe", "ramen", "sumo", "kazu", "union", "rico", "napoleon", "brulerie", "santropol",
          "quatre", "boutique", "green", "spot", "moishes", "steakhouse", "steak", "house", "x", "bar"]
@@ -116,6 +117,15 @@ def test_a_word_in_every_name_stays_linear(spark, count):
         assert met <= 2 * pairs.filter("tok_a <> 'restaurant'").count() < count * count / 20
 
 
+def test_keys_of_few_words_are_not_broadcast(spark, capsys):
+    """The words' table is small, the table of their keys may be a thousand times as large."""
+    words = materialise(table(spark, ["brulerie", "brulerri", "napoleon", "cafe"], "token"), "few-words")
+    pairs = M.token_pairs(words, words)
+    pairs.explain()
+    assert "Broadcast" not in capsys.readouterr().out
+    assert {(r.tok_a, r.tok_b) for r in pairs.filter("tok_a < tok_b").collect()} == {("brulerie", "brulerri")}
+
+
 def test_known_review_flags(spark):
     golden = spark.createDataFrame(FLAGS, "search_name string, found_name string, flagged boolean")
     row = review_agreement(golden).first()
