@@ -10,7 +10,7 @@ from listwright.operators import measures as G
 from listwright.operators import report as D
 from listwright.operators.matching import needs_review
 from listwright.plans.catalog.shared import documents, table
-from listwright.session import shared_folder
+from listwright.session import on_its_file_system, shared_folder
 from listwright.sources.reports import read_documents, write_named_documents
 
 
@@ -126,7 +126,8 @@ def assemble_document(spark, sf_dir):
 
 def written_reports(spark, sf_dir):
     """Reports as written: every file's name, size and digest, read back."""
-    folder = f"{shared_folder(spark).rstrip('/')}/reports-{uuid.uuid4().hex}"
+    # The folder may be named as only Spark understands it; the report's writers open it themselves.
+    folder = f"{on_its_file_system(spark, shared_folder(spark)).rstrip('/')}/reports-{uuid.uuid4().hex}"
     write_named_documents(write_report(spark, sf_dir), folder, REPORT_SUFFIX, part_lines=250)
     read = read_documents(spark, folder)
     return read.select("file", F.length("text").cast("bigint").alias("chars"), F.sha2("text", 256).alias("sha256"))

@@ -56,3 +56,27 @@ def materialise(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(df.columns)
+
+
+def materialise_bucketed(df: DataFrame, label: str, *keys: str, distinct: bool = False, order: tuple[str, ...] = ()) -> DataFrame:
+    """Like :func:`materialise`, in as many buckets by ``keys`` as a shuffle has parts, sorted by ``keys`` and ``order``.
+
+    Grouping and windows by ``keys``, or by more columns, need no shuffle then. With ``distinct`` repeated rows are
+    left out in the same shuffle that deals the rows out.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"{label}_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, *keys)
+    rows = (dealt.distinct() if distinct else dealt).sortWithinPartitions(*keys, *order)
+    written = rows.write.bucketBy(buckets, *keys).sortBy(*keys, *order)
+    written.option("path", f"{shared_folder(spark).rstrip('/')}/{name}").saveAsTable(name)
+    return spark.table(name).select(df.columns)
+
+
+def on_its_file_system(spark: SparkSession, folder: str) -> str:
+    """A folder that is there, with the file system that Spark finds it on; through mounts, as of viewfs, that behind them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.mkdirs(path)
+    return files.resolvePath(path).toString()

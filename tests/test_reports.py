@@ -5,7 +5,9 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from listwright import session
 from listwright.operators.report import document_parts, document_rows
+from listwright.plans.catalog import documents
 from listwright.sources import document_sink
 from listwright.sources.reports import read_documents, write_named_documents
 
@@ -105,3 +107,16 @@ def test_paths_name_their_file_system_on_a_cluster(spark, monkeypatch):
     with pytest.raises(ValueError):
         document_sink.reachable(Session(), "/tmp/x")
     assert document_sink.reachable(Session(), "hdfs://h/x") == "hdfs://h/x"
+
+
+def test_report_in_a_shared_folder_named_without_a_file_system(spark, monkeypatch, tmp_path):
+    """On a cluster spark.checkpoint.dir may be a bare path, which Spark finds on its default file system."""
+    customers = [(i, f"Customer {i}", i % 2, 100.0 * i, "MACHINERY") for i in range(20)]
+    columns = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    spark.createDataFrame(customers, columns).write.parquet(f"{tmp_path}/in/customer.parquet")
+    spark.createDataFrame([(0, "A"), (1, "B")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/in/nation.parquet")
+    for module in (session, documents):
+        monkeypatch.setattr(module, "shared_folder", lambda spark: f"{tmp_path}/shared")
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    files = {r["file"] for r in documents.written_reports(spark, f"{tmp_path}/in").collect()}
+    assert files == {"A_HYPERLINKED.rtf", "B_HYPERLINKED.rtf"}
