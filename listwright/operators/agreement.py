@@ -10,15 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from listwright.session import materialise
+from listwright.session import materialise, materialise_bucketed
 
 ROUNDS = 5
 KEY = ("listing", "attribute")
 
 
 def _claims(claims: DataFrame) -> DataFrame:
-    """Distinct claims; a null or empty value claims nothing."""
-    return claims.select(*KEY, "value", "source").dropna().filter(F.col("value") != "").distinct()
+    """Distinct claims, written in buckets by attribute of a listing; a null or empty value claims nothing.
+
+    They are shuffled once: all that follows on an attribute's values reads its bucket.
+    """
+    given = claims.select(*KEY, "value", "source").dropna().filter(F.col("value") != "")
+    return materialise_bucketed(given, "claims", *KEY, distinct=True, order=("value",))
 
 
 def _shares(claims: DataFrame, reliability: DataFrame) -> DataFrame:
@@ -33,21 +37,25 @@ def _shares(claims: DataFrame, reliability: DataFrame) -> DataFrame:
 def source_reliability(claims: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(source, claims, reliability): the mean share of a source's values, after a fixed number of rounds from equal trust.
 
-    A round is a join of the claims with the sources' reliability and two aggregates; only a row a source goes on
-    to the next one. A source with very many claims is summed up before it is shuffled.
+    A round is a join of the claims with the sources' reliability, two windows within their buckets and an aggregate; only a
+    row a source goes on to the next one. A source with very many claims is summed up before it is shuffled.
     """
-    held = materialise(_claims(claims), "claims")
-    return _rounds(held, rounds)
+    return _rounds(_claims(claims), rounds)
 
 
 def _rounds(held: DataFrame, rounds: int) -> DataFrame:
     reliability = held.groupBy("source").agg(F.count("*").alias("claims"), F.lit(1.0).alias("reliability"))
     reliability = materialise(reliability, "reliability")
+    # Both windows take their rows in one order, so that they are sorted once.
+    of_value = F.sum("reliability").over(Window.partitionBy(*KEY, "value"))
+    ordered = Window.partitionBy(*KEY).orderBy("value")
+    of_all = F.sum("reliability").over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     for _ in range(rounds):
-        shares = _shares(held, reliability.select("source", "reliability")).select(*KEY, "value", "share")
-        rated = held.join(shares, [*KEY, "value"]).groupBy("source").agg(
-            F.count("*").alias("claims"), F.avg("share").alias("reliability")
+        voted = held.join(reliability.select("source", "reliability"), "source").select(
+            "source", of_value.alias("votes"), of_all.alias("whole")
         )
+        share = F.when(F.col("whole") > 0, F.col("votes") / F.col("whole")).otherwise(0.0)
+        rated = voted.groupBy("source").agg(F.count("*").alias("claims"), F.avg(share).alias("reliability"))
         reliability = materialise(rated, "reliability")
     return reliability
 
@@ -59,7 +67,7 @@ def agreed_values(claims: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     many values are claimed. Ties, to nine places, go to more sources, then to the value that sorts first. ``claims`` has
     listing, attribute, value and source; nulls, empty values and repeated claims add nothing.
     """
-    held = materialise(_claims(claims), "claims")
+    held = _claims(claims)
     shares = _shares(held, _rounds(held, rounds).select("source", "reliability"))
     order = F.struct((-F.round("share", 9)).alias("s"), (-F.col("sources")).alias("n"), F.col("value").alias("v"))
     best = F.min_by(F.struct("value", "share", "sources"), order).alias("best")

@@ -63,6 +63,14 @@ def test_reliable_few_beat_unreliable_many(spark):
     assert A.agreed_values(df.limit(0)).count() == 0
 
 
+def test_claims_are_shuffled_once(spark, capsys):
+    """Votes and shares are counted within the buckets that the claims were written in."""
+    claims = [(str(i), "phone", f"p{i % 3}", f"s{j}") for i in range(30) for j in range(4)]
+    A.agreed_values(spark.createDataFrame(claims, CLAIMS), 1).explain()
+    plan = capsys.readouterr().out
+    assert "Bucketed: true" in plan and "hashpartitioning" not in plan
+
+
 def at(minutes):
     return datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=minutes)
 
