@@ -285,7 +285,8 @@ def _with_parity(docs: DataFrame, sets: DataFrame, shared: DataFrame) -> DataFra
 def _links(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of (a, b), the pairs whose overlap, counted exactly, links them.
 
-    Each b is sent to its a; a centre with many is sent to several parts, so none gathers in one task.
+    Each b is sent to its a; a centre with many is sent to several parts, so none gathers in one task. Where rows share an id
+    a pair may come out again.
     """
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     others = pairs.join(parts, "a").select(
@@ -300,7 +301,7 @@ def _links(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     same = (F.col("doc_id") == F.col("holder")) & (F.col("set_id") == F.col("wanted"))
     sent = members.join(asked, same).select("centre", "part", "role", "set_id", "members")
     sent = sent.repartition("centre", "part").sortWithinPartitions("centre", "part", "role")
-    return in_arrow(sent, _overlaps, "a long, b long").distinct()
+    return in_arrow(sent, _overlaps, "a long, b long")
 
 
 _BEST = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("more", pa.int64())])
