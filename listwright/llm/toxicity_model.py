@@ -324,7 +324,7 @@ class Scorer(dict):
                         np.maximum.at(out, np.array(owners)[some], self._best(grid, lengths[some]))
             held, owners, sizes, size = [], [], [], 0
 
-        part = self.most // 4 // STRETCH * STRETCH  # words numbered at a time
+        part = max(self.most // 4 // STRETCH, 1) * STRETCH  # words numbered at a time
         for i, text in enumerate(texts):
             words = words_of(text)
             for begin in range(0, max(len(words) - WINDOW + 1, min(len(words), 1)), part):
