@@ -13,6 +13,16 @@ from listwright.functions.binding import once
 from listwright.sources.pages import one_per_key
 
 
+# The nodes that facts of a kind of page are made of; a review's address may be marked on any tag.
+_TAGS = {
+    "search": {"a", "img", "td", "tr", "table", "div", "h3", T.TEXT},
+    "review_search": {"a"},
+    "review": None,
+    "directory": {"a", "h1", "address", "span", "li"},
+    "profile": {"a"},
+}
+
+
 def _filled(value: Column) -> Column:
     return once(value, lambda v: F.nullif(v, F.lit("")))
 
@@ -41,6 +51,14 @@ def _links(text: Column, nodes: Column) -> Column:
     return F.filter(F.transform(T.elements(nodes, "a"), described), lambda link: link["href"].isNotNull())
 
 
+def _hrefs(nodes: Column) -> Column:
+    """All links in document order, without their text: array of (href, has_class)."""
+    def described(link: Column) -> Column:
+        return F.struct(link["href"].alias("href"), link["class"].isNotNull().alias("has_class"))
+
+    return F.filter(F.transform(T.elements(nodes, "a"), described), lambda link: link["href"].isNotNull())
+
+
 def _link_within(nodes: Column, outer: Column, attribute: str | None = None, value: str | None = None) -> Column:
     return once(outer, lambda node: T.first(T.within(T.elements(nodes, "a", attribute, value), node))["href"])
 
@@ -117,9 +135,9 @@ def page_facts(pages: DataFrame) -> DataFrame:
     )
     search = source == "search"
     prepared = (
-        T.with_tree(pages)
+        T.with_tree(pages, set(), tags_of=_TAGS, kind="source")
         .withColumn("cell", F.when(search, _filled(_marker_cell(text, nodes))))
-        .withColumn("anchors", F.when(search, _links(text, nodes)))
+        .withColumn("anchors", F.when(search, _hrefs(nodes)))
         .withColumn("results", F.when(search, _results(nodes)))
     )
     return prepared.select(

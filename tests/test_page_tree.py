@@ -96,3 +96,14 @@ def test_trees_of_odd_rows(spark):
     nodes = X.page_nodes(df)
     inside = X.nodes_within(nodes.filter("tag = 'a'"), nodes.filter("tag = 'b'"))
     assert inside.count() == 0 and X.page_nodes(df.limit(0)).count() == 0
+
+
+def test_nodes_wanted_by_kind(spark):
+    """Facts of a kind of page get the nodes that they are made of, not all."""
+    html = '<h1 class="t">Name</h1><p>much <b>else</b></p><a href="/x">link</a>'
+    pages = spark.createDataFrame([(i, kind, html) for i, kind in enumerate(("profile", "review", "other", None))], "page_id int, source string, html string")
+    trees = T.with_tree(pages, set(), tags_of={"profile": {"a"}, "review": None}, kind="source")
+    found = {r["source"]: [n["tag"] for n in r["nodes"]] for r in trees.collect()}
+    everything = [node[0] for node in page_nodes(html)[1]]
+    assert found == {"profile": ["a"], "review": everything, "other": [], None: []}
+    assert {r["text"] for r in trees.collect()} == {"Namemuch elselink"}
